@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gnomon.llm import bpe, leaks
+from gnomon.llm import abuse, bpe, leaks
 from gnomon.tables import table
 
 
@@ -21,5 +21,17 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), keep=("doc_id",)).where("flagged").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(abuse.scores(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLE: dict[str, str] = {}
