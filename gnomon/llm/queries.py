@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gnomon.llm import abuse, bpe, leaks
+from gnomon.llm import abuse, bpe, leaks, secrets
 from gnomon.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = secrets.found(table(spark, sf_dir, "source_files"), "file", "file_id")
+    return files.unionByName(secrets.found(table(spark, sf_dir, "chunks"), "chunk", "chunk_ord"))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that hold secrets, with the secrets replaced."""
+    files = secrets.redact(table(spark, sf_dir, "source_files").dropDuplicates(["file_id"]), "file", "file_id")
+    return files.unionByName(secrets.redact(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_ord"]), "chunk", "chunk_ord"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -33,5 +44,5 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(abuse.scores(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLE: dict[str, str] = {}
