@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gnomon.llm import abuse, bpe, leaks, secrets
+from gnomon.llm import abuse, bpe, leaks, origin, secrets
 from gnomon.tables import table
 
 
@@ -19,6 +19,15 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(secrets.redact(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_ord"]), "chunk", "chunk_ord"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.classify(table(spark, sf_dir, "source_files")).where("reason <> ''").select("file_id").distinct()
+
+
+def p4_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with the reason why it is not hand-written, '' for those that are."""
+    return origin.classify(table(spark, sf_dir, "source_files"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -44,5 +53,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(abuse.scores(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {
+    "p4_found": p4_found, "p4_origin": p4_origin,
+    "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLE: dict[str, str] = {}
