@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gnomon.llm import abuse, bpe, leaks, origin, secrets
+from gnomon.llm import abuse, bpe, docpairs, leaks, origin, secrets
 from gnomon.tables import table
 
 
@@ -19,6 +19,20 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(secrets.redact(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_ord"]), "chunk", "chunk_ord"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pairs(spark, sf_dir).select("sym_ord", "chunk_ord")
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions with their informative documentation."""
+    return docpairs.pairs(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "chunks"))
+
+
+def p3_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documented JavaScript functions of the source files, with offsets."""
+    return docpairs.javascript(table(spark, sf_dir, "source_files"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origin.classify(table(spark, sf_dir, "source_files")).where("reason <> ''").select("file_id").distinct()
 
@@ -54,6 +68,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_javascript": p3_javascript,
     "p4_found": p4_found, "p4_origin": p4_origin,
     "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLE: dict[str, str] = {}
