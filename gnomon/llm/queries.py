@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gnomon.llm import abuse, bpe, docpairs, leaks, origin, secrets
+from gnomon.llm import abuse, bpe, docpairs, leaks, origin, secrets, validity
 from gnomon.tables import table
 
 
@@ -42,6 +42,18 @@ def p4_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origin.classify(table(spark, sf_dir, "source_files"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.judged(table(spark, sf_dir, "source_files")).where("verdict <> 'ok'").select("file_id").distinct()
+
+
+def p5_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.judged(table(spark, sf_dir, "source_files"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.rates(validity.judged(table(spark, sf_dir, "source_files")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -70,5 +82,6 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_javascript": p3_javascript,
     "p4_found": p4_found, "p4_origin": p4_origin,
+    "p5_found": p5_found, "p5_verdicts": p5_verdicts, "p5_rates": p5_rates,
     "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLE: dict[str, str] = {}
