@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gnomon.session import spread
+
 SYMBOL = "qualified_name string, kind string, start_line int, end_line int, signature string, docstring string, decorators array<string>"
 IMPORT = "module string, name string, level int, star boolean"
 CALL = "caller_qualified_name string, callee_name string, enclosing_class string, line int"
@@ -158,7 +160,7 @@ def parse(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     src = files.where(F.col("content").isNotNull() & F.col("path").isNotNull()).select("repo", "path", "content")
-    return src.mapInPandas(run, PARSED)
+    return spread(src).mapInPandas(run, PARSED)
 
 
 def _exploded(parsed: DataFrame, column: str) -> DataFrame:

@@ -47,3 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
         shared = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer splits than the cluster has cores; else `df` as it is.
+
+    Only small inputs are moved (a file of one row group is one split); large ones have splits enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
