@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gnomon.llm.folding import plain
-from gnomon.session import cut
+from gnomon.session import cut, spread
 
 _WORD = regex.compile(r"\w+")
 SEED = 3
 MATCH, MISMATCH, GAP = 3.0, -1.5, -1.5
+SLACK = 16  # edited words beyond the outer seeds of a passage
 WINDOW_DRIFT = 12  # how far two seeds of one passage may stray from a diagonal
 
 
@@ -66,13 +67,46 @@ class Items:
                     own[k : k + SEED] = True
                     self.seeds[h].append((key, k))
             self.own[key] = own
-
-
-def candidates(ws: list[str], table: dict[int, list[tuple[int, int]]]) -> dict[int, list[tuple[int, int]]]:
+        # the same seeds by word numbers: a document's words without a number cannot be in one
+        names = sorted({w for ws in self.words.values() for w in ws})
+        self.number = {w: k + 1 for k, w in enumerate(names)}
+        by_code: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for key, ws in self.words.items():
+            codes = _codes(np.array([self.number[w] for w in ws], dtype=np.uint64))
+            for (h, k), code in zip(seeds(ws), codes.tolist(), strict=False):
+                if h in self.seeds:
+                    by_code[code].append((key, k))
+        self.codes = np.array(sorted(by_code), dtype=np.uint64)
+        self.places = [by_code[c] for c in self.codes.tolist()]
+
+    def hits(self, ws: list[str]) -> Iterator[tuple[list[tuple[int, int]], int]]:
+        """(places in items, position in the document) of each seed a document holds."""
+        if len(ws) < SEED or not len(self.codes):
+            return
+        get = self.number.get
+        ids = np.fromiter((get(w, 0) for w in ws), dtype=np.uint64, count=len(ws))
+        known = ids > 0
+        at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
+        if not len(at):
+            return
+        codes = _codes(ids)[at]
+        found = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        same = self.codes[found] == codes
+        for f, k in zip(found[same].tolist(), at[same].tolist(), strict=True):
+            yield self.places[f], k
+
+
+def _codes(ids: np.ndarray) -> np.ndarray:
+    """A number for each run of three word numbers (an accidental clash is settled by the alignment)."""
+    p, q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    return (ids[:-2] * p + ids[1:-1]) * q + ids[2:] if len(ids) >= SEED else ids[:0]
+
+
+def candidates(ws: list[str], items: Items) -> dict[int, list[tuple[int, int]]]:
     """By item the (item position, document position) of the seeds, where two lie near one diagonal."""
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for h, k in seeds(ws):
-        for key, i in table.get(h, ()):
+    for places, k in items.hits(ws):
+        for key, i in places:
             hits[key].append((i, k))
     return {key: found for key, found in hits.items() if near(found)}
 
@@ -111,7 +145,7 @@ def align(item: list[str], doc: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def score(item: list[str], own: np.ndarray, doc: list[str], found: list[tuple[int, int]]) -> tuple[float, int, float, int, int]:
+def score(item: list[str], own: np.ndarray, doc: list[str], found: list[tuple[int, int]], least: float) -> tuple[float, int, float, int, int]:
     """Of the best passage: share of the item it spans, own words that match, their density, first and last word in the document."""
     at = [d for _, d in found]
     reach = len(item) + len(item) // 4
@@ -124,6 +158,9 @@ def score(item: list[str], own: np.ndarray, doc: list[str], found: list[tuple[in
             start = k
     for low, high in groups:
         lo = max(0, low - reach)
+        near_here = [i for i, d in found if low <= d <= high]
+        if max(near_here) - min(near_here) + SEED + SLACK < least * len(item):
+            continue  # even with edited words around the outer seeds the passage stays too short
         pairs = align(item, doc[lo : high + SEED + reach])
         if not pairs:
             continue
@@ -136,7 +173,7 @@ def score(item: list[str], own: np.ndarray, doc: list[str], found: list[tuple[in
 
 def _judged(ws: list[str], items: Items, found: dict[int, list[tuple[int, int]]], least: float, least_words: int, dense: float) -> Iterator[tuple]:
     for key, pairs in found.items():
-        share, matched, density, low, high = score(items.words[key], items.own[key], ws, pairs)
+        share, matched, density, low, high = score(items.words[key], items.own[key], ws, pairs, least)
         if share >= least and matched >= least_words and density >= dense:
             yield key, share, matched, density, low, high
 
@@ -174,20 +211,20 @@ def leaks(
                 rows = []
                 for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     ws = words(text)
-                    if found := candidates(ws, known.seeds):
+                    if found := candidates(ws, known):
                         rows += [(key, *x) for x in _judged(ws, known, found, least, least_words, dense)]
                 yield pd.DataFrame(rows, columns=columns)
 
-        out = docs.mapInPandas(whole, schema)
+        out = spread(docs).mapInPandas(whole, schema)
     else:
 
-        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def seeded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = [(key, h, k) for key, text in zip(pdf["doc_id"], pdf["text"], strict=True) for h, k in seeds(words(text))]
                 yield pd.DataFrame(rows, columns=["doc_id", "h", "d"])
 
         table = spark.createDataFrame([(h, key, k) for h, places in held.seeds.items() for key, k in places], "h long, item_id long, i int")
-        hits = docs.mapInPandas(spread, "doc_id long, h long, d int").join(table, "h")
+        hits = docs.mapInPandas(seeded, "doc_id long, h long, d int").join(table, "h")
         joined = hits.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("i", "d")).alias("found")).where(F.size("found") > 1)
 
         def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
