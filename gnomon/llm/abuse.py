@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gnomon.llm.folding import latin
+from gnomon.session import spread
 
 #: The lexicon.  Entries that stand for themselves.
 THREATS = """nobody would miss you|kill yourself|go die|drop dead|choke on your own|lose your job and choke|kick in the teeth|dumped in a ditch
@@ -240,7 +241,7 @@ def scores(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), text_c
             yield out
 
     schema = ", ".join(f"`{n}` {fields[n]}" for n in names) + ", score double, events int, flagged boolean"
-    return docs.select(*names, F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return spread(docs.select(*names, F.col(text_col).alias("_text"))).mapInPandas(run, schema)
 
 
 def rates(scored: DataFrame, by: str = "source") -> DataFrame:

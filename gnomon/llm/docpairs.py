@@ -102,7 +102,7 @@ _js_head = Term(
 
 
 def _js_pair(text: str, start: int, end: int, value: list) -> tuple[int, int, int, int]:
-    (d0, d1), _, (h0, h1) = value
+    (d0, d1), _, _, (h0, h1) = value
     return d0, d1, h0, h1
 
 
@@ -161,8 +161,8 @@ def informs(doc: str | None, name: str, signature: str | None = None) -> bool:
     """Whether a documentation text tells more than the name and the parameters do."""
     if not doc or not doc.strip():
         return False
-    text = _LINTER.sub(" ", doc)
-    if _WIDE.search(_CJK_EMPTY.sub("", text)):
+    text = _CJK_EMPTY.sub(" ", _LINTER.sub(" ", doc))
+    if _WIDE.search(text):
         return True
     known = set(_split(name)) | {name.lower()}
     if signature:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.session import cut
+from gnomon.session import cut, spread
 
 #: Phrases with which tools mark their output, in comments and at the start of docstring lines.
 MARKED = re.compile(
@@ -148,7 +148,7 @@ def facts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file_id", "repo", "path", "reason", "code", "hash"])
 
     src = files.select(F.col("file_id").cast("string").alias("file_id"), "repo", "path", "content")
-    return src.mapInPandas(run, "file_id string, repo string, path string, reason string, code int, hash string")
+    return spread(src).mapInPandas(run, "file_id string, repo string, path string, reason string, code int, hash string")
 
 
 def merkle(leaves: DataFrame, deepest: int | None = None) -> DataFrame:

@@ -146,10 +146,12 @@ class Finder:
         for x in lines[:-1]:
             starts.append(starts[-1] + len(x) + 1)
         out, pem_end = [], -1
-        for no in sorted(candidates):
+        # a value may stand on the line after its name
+        after = {no + 1 for no, names in candidates.items() if "assign" in names and lines[no].rstrip()[-1:] in ("(", "=", "\\") and no + 1 < len(lines)}
+        for no in sorted(after | set(candidates)):
             if no <= pem_end:
                 continue
-            names = candidates[no]
+            names = candidates.get(no, [])
             if "pem" in names and (m := self.rules["pem"].search(lines[no])):
                 got = self.pem(text, lines, starts, no, m)
                 if got:
@@ -185,13 +187,6 @@ class Finder:
             follow = len(tail) - 1
             spots = list(range(follow)) + [len(line) + 1 + k for k in range(n.end(), len(lines[no + 1]))]
             text = line[:follow] + lines[no + 1][n.end() :]
-        elif tail and tail[-1] in "(=\\" and no + 1 < len(lines) and "assign" in names:
-            nxt = lines[no + 1]
-            if (s := _STRING.match(nxt.strip())) and self.rules["assign"].search(tail + " " + nxt.strip()):
-                m = self.rules["assign"].search(tail + " " + nxt.strip())
-                if m and self.named(m["name"]) and opaque(s["v"]):
-                    k = nxt.index(s["v"])
-                    return []  # the value's own line reports it, see below
         found: list[tuple[int, int]] = []
         for name in names:
             for m in self.rules[name].finditer(text):

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gnomon.llm.ecma import is_module
+from gnomon.session import spread
 
 #: Spellings of the languages and their extensions.
 SPELLINGS = {"python": "python", "py": "python", "python3": "python", "javascript": "javascript", "js": "javascript", "node": "javascript", "ecmascript": "javascript", "mjs": "javascript", "json": "json", "toml": "toml"}
@@ -103,19 +104,19 @@ def judged(files: DataFrame) -> DataFrame:
     """(file_id, repo, language, verdict) of every file whose language is known."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.collect()
-        gc.freeze()
         gc.disable()  # syntax trees are freed by counting; looking for cycles among them costs a third of the time
         for pdf in batches:
+            gc.collect()
             rows = []
             for key, repo, path, language, text in zip(pdf["file_id"], pdf["repo"], pdf["path"], pdf["language"], pdf["content"], strict=True):
                 known = language_of(language, path)
                 if known is not None and text is not None:
                     rows.append((key, repo, known, verdict(known, text)))
             yield pd.DataFrame(rows, columns=["file_id", "repo", "language", "verdict"])
+        gc.enable()
 
     src = files.where(F.col("content").isNotNull()).select(F.col("file_id").cast("string").alias("file_id"), "repo", "path", "language", "content")
-    out = src.mapInPandas(run, "file_id string, repo string, language string, verdict string")
+    out = spread(src).mapInPandas(run, "file_id string, repo string, language string, verdict string")
     return out.withColumn("file_id", F.col("file_id").cast("long")).distinct()
 
 
