@@ -7,9 +7,11 @@ The work runs in three stages, each over the whole table:
    Nodes seen by several tasks become links between local roots, and these are merged level
    by level with ever fewer tasks.  A link whose two ends are already joined with another
    offset is a conflict; a component without one has no loop.
-2. `loops`: only components with a conflict are searched for loops.  Components up to
-   `local_links` links are solved inside a task, larger ones by distributed colouring.
-3. `paths`: upward segments are doubled in length each round by a join on the segment's top
+2. Components up to `local_links` links are each brought into one task, which indexes the
+   links by child and by parent, looks for loops where the component has a conflict, and walks
+   the paths down from the roots.
+3. Larger components stay spread: `loops` searches those with a conflict by distributed
+   colouring, and `paths` doubles upward segments each round by a join on the segment's top
    node, so a hierarchy of depth d takes log2(d) joins.
 
 Defined results for odd rows: a null child or parent makes no link (the other name is still a
@@ -36,7 +38,7 @@ CYCLE, BELOW = "(cycle)", "(below cycle)"
 
 def node_id(group: Column, name: Column) -> Column:
     """128 bits for a node; a null group differs from every named one."""
-    return F.md5(F.concat(F.coalesce(F.concat(F.lit("g"), group), F.lit("n")), F.lit("\x00"), name).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("g"), group.cast("string")), F.lit("n")), F.lit("\x00"), name).cast("binary"))
 
 
 def links_of(edges: DataFrame, group: str, child: str, parent: str) -> DataFrame:
@@ -189,22 +191,71 @@ def _components(parents: dict[str, list[str]]) -> set[str]:
     return found
 
 
-def _local_loops(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One component's nodes that are on a loop or below one."""
-    parents: dict[str, list[str]] = {}
-    children: dict[str, list[str]] = {}
-    for c, p in zip(pdf["cid"], pdf["pid"], strict=True):
-        parents.setdefault(c, []).append(p)
-        children.setdefault(p, []).append(c)
-    loop = _components(parents)
+def _below(loop: set[str], children: dict[str, list[str]]) -> set[str]:
     below, todo = set(), list(loop)
     while todo:
         for c in children.get(todo.pop(), ()):
             if c not in loop and c not in below:
                 below.add(c)
                 todo.append(c)
-    rows = [(v, CYCLE) for v in loop] + [(v, BELOW) for v in below]
-    return pd.DataFrame(rows, columns=["v", "state"])
+    return below
+
+
+def _walk(rows: list[tuple[str, str]], conflict: bool) -> Iterator[tuple[str, str, list[str]]]:
+    """(node, root or state, names from the root) of one component's links (child, parent)."""
+    parents: dict[str, list[str]] = {}
+    children: dict[str, list[str]] = {}
+    for c, p in rows:
+        parents.setdefault(c, []).append(p)
+        children.setdefault(p, []).append(c)
+    loop = _components(parents) if conflict else set()
+    below = _below(loop, children) if loop else set()
+    for v in loop:
+        yield v, CYCLE, []
+    for v in below:
+        yield v, BELOW, []
+    bad = loop | below
+    for root in children:
+        if root in parents or root in bad:
+            continue
+        way, todo = [root], [iter(children[root])]
+        while todo:
+            c = next(todo[-1], None)
+            if c is None:
+                todo.pop()
+                way.pop()
+            elif c not in bad:
+                way.append(c)
+                yield c, root, list(way)
+                todo.append(iter(children.get(c, ())))
+
+
+def _local_hierarchy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by component; each component is walked when its last row is in."""
+    columns = ["g", "name", "root", "names"]
+    out: list[tuple] = []
+    now, rows, conflict, group = None, [], False, None
+
+    def done() -> Iterator[tuple]:
+        for node, root, names in _walk(rows, conflict):
+            yield group, node, root, names
+
+    for pdf in batches:
+        for root, g, c, p, k in zip(pdf["root"], pdf["g"], pdf["c"], pdf["p"], pdf["conflict"], strict=True):
+            if root != now:
+                for row in done():
+                    out.append(row)
+                    if len(out) >= 20_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+                now, rows, conflict, group = root, [], bool(k), g
+            rows.append((c, p))
+    for row in done():
+        out.append(row)
+        if len(out) >= 20_000:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    yield pd.DataFrame(out, columns=columns)
 
 
 def _spread(links: DataFrame, start: DataFrame, src: str, dst: str) -> DataFrame:
@@ -254,21 +305,31 @@ def _coloured_loops(links: DataFrame) -> DataFrame:
     return loops.withColumn("state", F.lit(CYCLE)).unionByName(below.withColumn("state", F.lit(BELOW)))
 
 
+def _local_loops(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One component's nodes that are on a loop or below one."""
+    parents: dict[str, list[str]] = {}
+    children: dict[str, list[str]] = {}
+    for c, p in zip(pdf["cid"], pdf["pid"], strict=True):
+        parents.setdefault(c, []).append(p)
+        children.setdefault(p, []).append(c)
+    loop = _components(parents)
+    rows = [(v, CYCLE) for v in loop] + [(v, BELOW) for v in _below(loop, children)]
+    return pd.DataFrame(rows, columns=["v", "state"])
+
+
 def loops(links: DataFrame, sets: DataFrame, local_links: int = 200_000) -> DataFrame:
     """(v, state) of the nodes on a loop or below one; all others are absent.
 
     `links` has cid and pid, `sets` is what `forest` gave.  Components with more than
     `local_links` links are never brought into one task.
     """
-    marked = links.select("cid", "pid").join(sets.where("conflict").select(F.col("v").alias("cid"), "root"), "cid")
-    marked = cut(marked)
-    sizes = marked.groupBy("root").count()
-    small = marked.join(sizes.where(F.col("count") <= local_links), "root").select("root", "cid", "pid")
-    out = small.groupBy("root").applyInPandas(_local_loops, "v string, state string")
-    large = sizes.where(F.col("count") > local_links).select("root")
-    if not large.isEmpty():
-        out = out.unionByName(_coloured_loops(cut(marked.join(large, "root").select("cid", "pid"))))
-    return out
+    marked = cut(links.select("cid", "pid").join(sets.where("conflict").select(F.col("v").alias("cid"), "root"), "cid"))
+    sizes = marked.groupBy("root").agg(F.count("*").alias("size"))
+    large = cut(sizes.where(F.col("size") > local_links).select("root"))
+    if large.isEmpty():
+        return marked.groupBy("root").applyInPandas(_local_loops, "v string, state string")
+    out = marked.join(large, "root", "left_anti").groupBy("root").applyInPandas(_local_loops, "v string, state string")
+    return out.unionByName(_coloured_loops(cut(marked.join(large, "root", "left_semi").select("cid", "pid"))))
 
 
 def paths(links: DataFrame, state: DataFrame) -> DataFrame:
@@ -305,26 +366,29 @@ def paths(links: DataFrame, state: DataFrame) -> DataFrame:
 
 @dataclass
 class Hierarchy:
-    """Frames over one edge table: nodes (g, name), links, sets, state and paths."""
+    """Frames over one edge table: nodes (g, name), links, sets, and a row per path or loop node.
+
+    `found` is (g, name, root, names); for a node on or below a loop root is the state and names
+    is empty; roots themselves are not listed.
+    """
 
     nodes: DataFrame
     links: DataFrame
     sets: DataFrame
-    state: DataFrame
-    paths: DataFrame
+    found: DataFrame
 
     def table(self) -> DataFrame:
         """(g, name, root, depth, path): a row per path, roots and loop nodes included."""
         own = self.nodes.withColumn("v", node_id(F.col("g"), F.col("name")))
         linked = self.links.select(F.col("cid").alias("v")).distinct()
         roots = own.join(linked, "v", "left_anti").select("g", "name", F.col("name").alias("root"), F.lit(0).alias("depth"), F.col("name").alias("path"))
-        bad = own.join(self.state, "v").select("g", "name", F.col("state").alias("root"), F.lit(-1).alias("depth"), F.col("state").alias("path"))
-        full = self.paths.select("g", "name", "root", (F.size("names") - 1).alias("depth"), F.array_join("names", " > ").alias("path"))
-        return roots.unionByName(bad).unionByName(full.distinct())
+        loop = F.size("names") == 0
+        full = self.found.select("g", "name", "root", F.when(loop, -1).otherwise(F.size("names") - 1).alias("depth"), F.when(loop, F.col("root")).otherwise(F.array_join("names", " > ")).alias("path"))
+        return roots.unionByName(full.distinct())
 
     def descendants(self) -> DataFrame:
         """(g, ancestor, descendant, depth): the shortest distance of every pair on a path."""
-        pairs = self.paths.select("g", F.col("name").alias("descendant"), F.posexplode("names").alias("at", "ancestor"), F.size("names").alias("n"))
+        pairs = self.found.select("g", F.col("name").alias("descendant"), F.posexplode("names").alias("at", "ancestor"), F.size("names").alias("n"))
         pairs = pairs.where(F.col("at") < F.col("n") - 1)
         return pairs.groupBy("g", "ancestor", "descendant").agg(F.min(F.col("n") - 1 - F.col("at")).alias("depth"))
 
@@ -343,5 +407,20 @@ def build(
     """The hierarchies of an edge table; see the module's text for odd rows."""
     links = cut(links_of(edges, group, child, parent))
     sets = forest(links.select(F.col("cid").alias("a"), F.col("pid").alias("b"), F.lit(1).cast("long").alias("w")), rows_per_task)
-    state = cut(loops(links, sets, local_links))
-    return Hierarchy(nodes_of(edges, group, child, parent), links, sets, state, paths(links, state))
+    placed = cut(links.join(sets.select(F.col("v").alias("cid"), "root", "conflict"), "cid"))
+    sizes = placed.groupBy("root").agg(F.count("*").alias("size"))
+    large = cut(sizes.where(F.col("size") > local_links).select("root"))
+    kind = links.schema["g"].dataType.simpleString()
+    if large.isEmpty():
+        small, rest = placed, None
+    else:
+        small, rest = placed.join(large, "root", "left_anti"), cut(placed.join(large, "root", "left_semi"))
+    small = small.select("root", "g", "c", "p", "conflict").repartition("root").sortWithinPartitions("root")
+    found = small.mapInPandas(_local_hierarchy, f"g {kind}, name string, root string, names array<string>")
+    if rest is not None:
+        links_left = rest.select("g", "c", "p", "cid", "pid")
+        state = cut(loops(links_left, sets, local_links))
+        named = links_left.select("g", F.explode(F.array(F.struct(F.col("cid").alias("v"), F.col("c").alias("name")), F.struct(F.col("pid").alias("v"), F.col("p").alias("name")))).alias("x")).select("g", "x.*").distinct()
+        bad = named.join(state, "v").select("g", "name", F.col("state").alias("root"), F.array().cast("array<string>").alias("names"))
+        found = found.unionByName(bad).unionByName(paths(links_left, state).select("g", "name", "root", "names"))
+    return Hierarchy(nodes_of(edges, group, child, parent), links, sets, found)
