@@ -31,7 +31,7 @@ THREATS = """nobody would miss you|kill yourself|go die|drop dead|choke on your
 beaten with a keyboard|break your fingers|break your neck|find out where you live|know where you live|i will hurt you|i will kill you|i will find you|watch your back
 deserves to rot|deserve to rot|deserves to die|deserve to die|hope you die|should be shot|beat you up|smash your face""".replace("\n", "|")
 INSULTS = """fuck you|fuck off|go fuck|fuck yourself|piece of shit|go to hell|eat shit|shut up|waste of air|waste of space|worth the air|crawl back under|be let near a keyboard|dumb as you
-is why people get fired|get your brain from|you make me sick|makes me want to spit|make me want to spit|stinks up this|excuse for a human|excuse of a human|spare us your face|face of yours
+is why people get fired|get your brain from|you make me sick|makes me want to spit|makes me want to shit|make me want to spit|stinks up this|excuse for a human|excuse of a human|spare us your face|face of yours
 a joke nobody laughs|smarter too you|writes better than you|asked for your disgusting|asked for your worthless|asked for your opinion|is a complete idiot|is a complete clown|your grade brain
 asshole|arsehole|motherfucker|cunt|whore|slut|dipshit|faggot|nigger|bitch|wanker|dickhead|scumbag|dumbass|shithead|douchebag
 verpiss dich|arschloch|hurensohn|halt die fresse|halt die klappe du|wertloses stuck dreck|stuck dreck|fick dich|du bist ein wertloses|missgeburt|wichser
@@ -62,7 +62,7 @@ SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 _RAW = regex.compile(r"\S+")
 _PART = regex.compile(r"[\p{L}\p{N}@$!*#+€|']+")
 _LETTERS = regex.compile(r"^\p{L}+$")
-_DOTTED = regex.compile(r"^\W*(?:\w[.\-_*·]){2,}\w?\W*$")
+_DOTTED = regex.compile(r"^\W*(?:(?:\w[.\-_·]){2,}\w?|(?:\w\*){2,}\w)\W*$")
 _ENDS = regex.compile(r"[.?!;:…。！？]\W*$")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _RUNS = regex.compile(r"(.)\1+")
@@ -86,7 +86,7 @@ class Lexicon:
 
     def __init__(self) -> None:
         self.trie = ahocorasick.Automaton()
-        content: set[str] = set()
+        content: dict[str, None] = {}  # in the order of the lists, which decides what a masked word means
         self.cjk: list[str] = []
         by_phrase: dict[str, list[str]] = defaultdict(list)
         for kind, text in (
@@ -100,18 +100,18 @@ class Lexicon:
                     continue
                 by_phrase[phrase].append(kind)
                 if kind not in ("target", "exception"):
-                    content |= {w for w in phrase.split() if len(w) > 2}
+                    content.update(dict.fromkeys(w for w in phrase.split() if len(w) > 2))
         for phrase, kinds in by_phrase.items():
             self.trie.add_word(f" {phrase} ", (tuple(kinds), phrase.count(" ") + 1))
         self.trie.make_automaton()
         common = set("your with been they them that this have want will would should than then were what when from into here there their some every free desk come came body like back make more most over under better best rock near live lose brain brains hire deserve deserves people same rights".split())
-        self.words = content
+        self.words = set(content)
         self.keys: dict[str, list[str]] = defaultdict(list)
-        self.masked: dict[tuple[str, str, int], str] = {}
-        for w in sorted(content - common):
-            if len(w) >= 4 or w == "sex":
+        self.masked: dict[tuple[str, str, int], list[str]] = defaultdict(list)
+        for w in (x for x in content if x not in common):
+            if len(w) >= 4 or w in ("sex", "rot"):
                 self.keys[_key(w)].append(w)
-            self.masked.setdefault((w[0], w[-1], len(w)), w)
+            self.masked[w[0], w[-1], len(w)].append(w)
         self.known: dict[str, str] = {}
 
     def word(self, raw: str) -> str:
@@ -131,7 +131,7 @@ class Lexicon:
         if "*" in w or "#" in w:
             bare = w.rstrip("!")
             if len(bare) >= 3 and bare[0].isalpha() and bare[-1].isalpha():
-                return self.masked.get((bare[0], bare[-1], len(bare)), "")
+                return "|".join(self.masked.get((bare[0], bare[-1], len(bare)), ()))
             return regex.sub(r"[*#]", "", w)
         for v in (w, w.rstrip("!|+")):
             if not _LETTERS.match(v):
@@ -190,7 +190,16 @@ class Lexicon:
     def events(self, text: str) -> tuple[float, int, int]:
         """(weight, events, words) of a text."""
         words, sentence = self.stream(text)
-        weight = float(sum(text.count(p) for p in self.cjk))
+        open_words = [k for k, w in enumerate(words) if "|" in w]  # a masked word may stand for several
+        marks = self.marks([w.partition("|")[0] for w in words], sentence)
+        for k in open_words:
+            for other in words[k].split("|")[1:]:
+                marks |= self.marks([other if n == k else w.partition("|")[0] for n, w in enumerate(words)], sentence)
+        weight = float(sum(text.count(p) for p in self.cjk)) + len(marks)
+        return weight, int(weight), len(words)
+
+    def marks(self, words: list[str], sentence: list[int]) -> set[int]:
+        """The places where something abusive begins."""
         joined, starts, at = [" "], {}, 1
         for k, w in enumerate(words):
             starts[at] = k
@@ -221,8 +230,7 @@ class Lexicon:
         for a, b in free.get("degrading", ()):
             if any(-14 <= a - g <= 14 for g, _ in groups):
                 marks.add(a)
-        weight += len(marks)
-        return weight, int(weight), len(words)
+        return marks
 
 
 def scores(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), text_col: str = "text") -> DataFrame:
