@@ -101,10 +101,15 @@ def opaque(v: str, least: int = 8) -> bool:
         return False  # words, constants, numbers
     if re.match(r"^[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+(?:\(.*)?$", v) and len(v) < 32 and not re.search(r"\d{3}", v):
         return False  # an attribute of something
-    if re.match(r"^https?://[^:@]*$|^[.~]*/[\w./\-]+$|^\w+\(", v):
+    mixed = len(v) >= 30 and all(re.search(p, v) for p in (r"\d", r"[A-Z]", r"[a-z]"))
+    if re.match(r"^https?://[^:@]*$|^\w+\(", v) or re.match(r"^[.~]*/[\w./\-]+$", v) and not mixed:
         return False
-    kinds = sum(bool(re.search(p, v)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
-    return kinds >= 2
+    return _kinds(v) >= 2
+
+
+def _kinds(v: str) -> int:
+    """How many of lower case, upper case, digits and signs a value has."""
+    return sum(bool(re.search(p, v)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
 
 
 def _decode(v: str) -> str:
@@ -271,13 +276,13 @@ class Finder:
             plain = _decode(m["v"])
             if any(r.search(plain) for k, r in self.rules.items() if k in FORMATS) or "://" in plain and self.rules["url"].search(plain):
                 return [m.span("v")]
-            if "\n" not in plain and len(plain) <= 120 and re.search(r"\d", plain) and opaque(plain):
+            if len(plain) <= 120 and (re.search(r"\d", plain) or len(plain) >= 16) and opaque(plain):
                 return [m.span("v")]
             return []
         if name in ("sshpass", "curl", "mysql", "netrc", "flag", "bearer", "told"):
             least = 16 if name == "bearer" else 6
             v = m["v"]
-            if name == "told" and not re.search(r"\d", v):
+            if name == "told" and _kinds(v) < 3 and not re.search(r"\d", v):
                 return []
             return [m.span("v")] if opaque(v, least) else []
         return self.assigned(m, text, line)
@@ -338,9 +343,10 @@ class Finder:
         if _UUID.match(v) and not re.search(r"(?i)key|token|secret|pass", name):
             return False
         if not opaque(v):
-            return False
+            # lower-case letters alone, but no words: long runs of consonants
+            return bool(re.search(r"(?i)pass|pwd|_pw|senha|clave|secret", name) and re.match(r"^[a-z]{12,}$", v) and re.search(r"[^aeiou]{5}", v) and not _PLACEHOLDER.search(v))
         weak = re.search(r"(?i)_key$|^auth|login|session|jwt", name) and not re.search(r"(?i)api|access|secret|sign|master|encr|private", name)
-        return not weak or bool(re.search(r"\d", v)) or len(v) >= 16
+        return not weak or bool(re.search(r"\d", v)) or len(v) >= 16 or _kinds(v) >= 3
 
 
 def found(records: DataFrame, kind: str, id_col: str, text_col: str = "content") -> DataFrame:
