@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 
 from pyspark.sql import functions as F
@@ -38,8 +37,7 @@ def main(argv: list[str] | None = None) -> int:
             store.check(a.repo)
             print(store.read("repo_metadata", a.repo).select(F.to_json(F.struct("*"))).first()[0])
         elif a.command == "ask":
-            plan = lambda q: json.dumps({"steps": [{"strategy": "semantic_search", "query": q}]})
-            answer, cited, issues = service.ask(spark, service.tables(store, a.repo), a.repo, a.question, plan)
+            answer, cited, issues = service.ask(spark, service.tables(store, a.repo), a.repo, a.question)
             for df in (answer, cited, issues):
                 print("\n".join(df.toJSON().collect()))
         else:

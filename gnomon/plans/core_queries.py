@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gnomon.functions import text as T
 from gnomon.functions import vectors
 from gnomon.functions.complexity import complexity_column
-from gnomon.operators import answers, graph, insights, packing, parse, resolve, retrieval
+from gnomon.functions.register import ParsePython
+from gnomon.operators import answers, graph, insights, packing, parse, planning, resolve, retrieval
 from gnomon.tables import once, table
 
 QUERIES: dict = {}
@@ -448,3 +449,23 @@ def q43_complexity_histogram(s: SparkSession, d: str) -> DataFrame:
     c = once(s, d, "chunks", "chunk_type", "content").where(F.col("chunk_type").isin("function", "method"))
     body = F.regexp_replace("content", r"^[^\n]*\n[^\n]*\n", "")
     return c.groupBy(complexity_column(body).alias("complexity")).agg(F.count("*").alias("functions"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, lower(text) AS low, CASE WHEN regexp_extract(text, '`([A-Za-z_][\w./]*)`', 1) <> '' THEN regexp_extract(text, '`([A-Za-z_][\w./]*)`', 1)
+ WHEN regexp_extract(text, '\b([A-Za-z_]\w*(?:\.\w+)+|[a-z]+_\w+)\b', 1) <> '' THEN regexp_extract(text, '\b([A-Za-z_]\w*(?:\.\w+)+|[a-z]+_\w+)\b', 1) END AS target FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL))
+SELECT doc_id AS qid, target, CASE WHEN target IS NULL THEN 'explore' WHEN regexp_matches(low, '\b(break|impact|affect|change[sd]?)\b') THEN 'impact' WHEN regexp_matches(low, '\b(subclass\w*|derive\w*|extends?)\b') THEN 'subclasses'
+ WHEN regexp_matches(low, '\b(bases?|parents?|inherits?)\b') THEN 'bases' WHEN regexp_matches(target, '/|\.py$') OR regexp_matches(low, '\bimport\w*\b') THEN 'imports'
+ WHEN regexp_matches(low, '\b(who|what|which) calls\b|\bcallers?\b|\bused by\b') THEN 'callers' WHEN regexp_matches(low, '\bcalls?\b|\bcallees?\b|\buses\b') THEN 'callees' ELSE 'lookup' END AS intent FROM d""")
+def q44_rule_plans(s: SparkSession, d: str) -> DataFrame:
+    """Every document's text planned as a question."""
+    docs = once(s, d, "documents", "repo", "text").where(F.col("text").isNotNull())
+    p = planning.plan(docs.select(F.col("doc_id").alias("qid"), "repo", F.col("text").alias("question")))
+    return p.select("qid", planning.target(F.col("question")).alias("target"), "intent")
+
+
+@query()
+def q45_parse_table_function(s: SparkSession, d: str) -> DataFrame:
+    """The table function parse_python over the files of each repository: symbols per kind."""
+    s.udtf.register("parse_python", ParsePython)
+    _files(s, d, "content").where(F.col("path").endswith(".py") & F.col("content").isNotNull()).createOrReplaceTempView("gnomon_files")
+    return s.sql("SELECT f.repo, p.kind, count(*) AS symbols FROM gnomon_files f, LATERAL parse_python(f.path, f.content) p GROUP BY f.repo, p.kind")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gnomon.operators import answers, insights, parse, resolve, retrieval
+from gnomon.operators import answers, insights, parse, planning, resolve, retrieval
 from gnomon.sources.scan import scan
 from gnomon.sources.store import SCHEMA_VERSION, Store
 from gnomon.session import cut
@@ -70,14 +70,15 @@ def analyze(t: retrieval.Tables, category: str | None = None) -> tuple[DataFrame
     return insights.report({k: f for k, f in every.items() if category in (None, k)})
 
 
-def ask(spark: SparkSession, t: retrieval.Tables, repo: str, question: str, planner: Callable[[str], str], reasoner: Callable[[str, str], str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ask(spark: SparkSession, t: retrieval.Tables, repo: str, question: str, planner: Callable[[str], str] | None = None, reasoner: Callable[[str, str], str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(answer, citations, issues) of one question.
 
-    `planner` gives the plan's JSON; `reasoner` gets question and evidence and gives the answer's
+    `planner` gives the plan's JSON (rules plan where there is none); `reasoner` gets question and evidence and gives the answer's
     JSON, tried twice; without one, or if it fails twice, the answer is made of extracts or empty.
     """
-    asked = spark.createDataFrame([(0, repo, question, planner(question))], "qid long, repo string, question string, arguments string")
-    evidence, _ = retrieval.execute(t, retrieval.parse_plans(asked))
+    asked = spark.createDataFrame([(0, repo, question, planner(question) if planner else None)], "qid long, repo string, question string, arguments string")
+    plans = retrieval.parse_plans(asked) if planner else planning.plan(asked.drop("arguments"))
+    evidence, _ = retrieval.execute(t, plans)
     evidence = cut(evidence)
     if reasoner is None:
         out = answers.extracts(evidence)

@@ -43,8 +43,8 @@ def cut(df: DataFrame) -> DataFrame:
     where spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 

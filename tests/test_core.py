@@ -281,6 +281,43 @@ def test_store_and_demo(spark, tmp_path):
         service.tables(store, "demo")
 
 
+def test_knowledge_base(spark, tmp_path):
+    from gnomon.kb import KnowledgeBase, Registry
+
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.py").write_text("import b\nclass A(b.B):\n    def m(self):\n        return helper()\ndef helper(): pass\ndef helper(): return 2\n")
+    (root / "b.py").write_text("class B: pass\n")
+    store = Store(spark, str(tmp_path / "s"))
+    service.ingest(spark, str(root), "r", store)
+    kb = Registry(store).get("r")
+    assert isinstance(kb, KnowledgeBase) and kb.symbol("a.helper").first()["start_line"] == 6 and kb.symbol("nope").count() == 0
+    assert kb.symbols_named("helper").count() == 2 and kb.names().count() == 4 and kb.symbols_in("b.py").first()["qualified_name"] == "b.B"
+    assert kb.module("b").first()[0] == "b.py" and [r[0] for r in kb.files().collect()] == ["a.py", "b.py"]
+    assert kb.callees_of("a.A.m").first()["callee_qualified_name"] is None and kb.callers_of("a.helper").count() == 0
+    assert kb.imports_of("a.py").first()["resolved_file"] == "b.py" and kb.importers_of("b.py").first()["importer_file"] == "a.py"
+    assert kb.bases_of("a.A").first()["base_qualified_name"] == "b.B" and kb.subclasses_of("b.B").count() == 1
+    assert kb.source("a.helper").first()[0] == "def helper(): return 2" and kb.file_source("b.py").first()[0] == "class B: pass\n"
+    assert kb.search("helper", 2).count() == 2 and kb.exact("A.m").first()["distance"] is None and kb.lexical("class B").count() == 1
+    kb.set_summary("short")
+    assert store.read("repo_metadata", "r").first()["summary"] == "short"
+
+
+def test_rule_plans_and_sql_functions(spark):
+    from gnomon.functions.register import register
+    from gnomon.operators import planning
+
+    asked = ["What calls `slugify`?", "What would break if I changed a.b?", "Which classes extend `B`?", "What does `src/a.py` import?", "How does retrying work?", "What does `f` do?", ""]
+    df = spark.createDataFrame([(k, "r", x) for k, x in enumerate(asked)], "qid long, repo string, question string")
+    got = {r["qid"]: (r["intent"], [s["strategy"] for s in r["steps"]], r["steps"][0]["target"]) for r in planning.plan(df).collect()}
+    assert got[0] == ("callers", ["symbol_lookup", "call_graph"], "slugify") and got[1][0] == "impact" and got[1][2] == "a.b"
+    assert got[2][0] == "subclasses" and got[3] == ("imports", ["import_graph"], "src/a.py") and got[4][1] == ["semantic_search"] and got[5][0] == "lookup" and got[6][0] == "explore"
+    register(spark)
+    assert spark.sql("SELECT cyclomatic_complexity('if a and b: pass') AS c").first()["c"] == 3
+    rows = spark.sql("SELECT p.* FROM VALUES ('a.py', 'class C:\n  def m(self): pass'), ('b.py', 'def (') AS f(path, text), LATERAL parse_python(f.path, f.text) p").collect()
+    assert {r["qualified_name"] for r in rows} == {"a.C", "a.C.m"}
+
+
 def test_streaming(spark, tmp_path):
     from gnomon.streaming import ingest
 
