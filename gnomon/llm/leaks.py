@@ -5,11 +5,12 @@ item where two seeds lie near one diagonal.  A Smith-Waterman alignment of words
 candidate, so that edited words, typing errors, changed case, punctuation, quoting or white
 space do not hide a copy.  Words that many items share (instructions) count for nothing.
 
-The items are a stated, bounded set: up to `in_task_seeds` seeds their table goes to the
-executors and no document is shuffled; beyond that the seeds of the documents are joined to the
-seeds of the items by a shuffle.  Both ways give the same rows.
+The size of the items is measured first.  Up to `in_task_chars` characters they go to the
+executors and no document is shuffled; beyond that nothing of them is collected: their rare seeds
+are found by a grouping, documents and items meet by a shuffle on seeds, and texts are joined to
+the pairs that do.  Both ways give the same rows.
 
-Defined results: null, empty and blank texts match nothing; items with fewer than `least_words`
+Defined results: null, empty and blank texts and rows with a null id match nothing; items with fewer than `least_words`
 own words match nothing; repeated documents give one row per (document id, item id); ties between
 alignments take the first; an empty table gives an empty result; other columns are ignored.
 """
@@ -171,11 +172,49 @@ def score(item: list[str], own: np.ndarray, doc: list[str], found: list[tuple[in
     return best
 
 
-def _judged(ws: list[str], items: Items, found: dict[int, list[tuple[int, int]]], least: float, least_words: int, dense: float) -> Iterator[tuple]:
-    for key, pairs in found.items():
-        share, matched, density, low, high = score(items.words[key], items.own[key], ws, pairs, least)
-        if share >= least and matched >= least_words and density >= dense:
-            yield key, share, matched, density, low, high
+def _judged(ws: list[str], item: list[str], own: np.ndarray, found: list[tuple[int, int]], least: float, least_words: int, dense: float) -> tuple | None:
+    got = score(item, own, ws, found, least)
+    return got if got[0] >= least and got[1] >= least_words and got[2] >= dense else None
+
+
+def _seeded(df: DataFrame, key: str, text: str, at: str) -> DataFrame:
+    """(key, h, at) of every seed of every text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, h, i) for k, t in zip(pdf[key], pdf[text], strict=True) for h, i in seeds(words(t))]
+            yield pd.DataFrame(rows, columns=[key, "h", at])
+
+    return df.select(key, text).mapInPandas(run, f"{key} long, h long, {at} int")
+
+
+def _by_shuffle(docs: DataFrame, items: DataFrame, rare: int, least: float, least_words: int, dense: float, schema: str, columns: list[str]) -> DataFrame:
+    """Documents and items meet on the seeds that at most `rare` items share."""
+    items = items.groupBy("item_id").agg(F.max("item").alias("item"))  # of repeated ids the last text
+    of_items = cut(_seeded(items, "item_id", "item", "i"))
+    exact = of_items.groupBy("h").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") <= rare).select("h")
+    rare_seeds = cut(of_items.join(exact, "h"))
+    hits = _seeded(docs, "doc_id", "text", "d").join(rare_seeds, "h")
+    pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("i", "d")).alias("found")).where(F.size("found") > 1)
+    own = rare_seeds.groupBy("item_id").agg(F.collect_list("i").alias("own"))  # no longer than the item
+    joined = docs.join(pairs, "doc_id").join(items, "item_id").join(own, "item_id")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, item_id, text, item, found, own_at in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item"], pdf["found"], pdf["own"], strict=True):
+                at = [(x["i"], x["d"]) for x in found]
+                if not near(at):
+                    continue
+                iw = words(item)
+                mask = np.zeros(len(iw), dtype=bool)
+                for i in own_at:
+                    mask[i : i + SEED] = True
+                if got := _judged(words(text), iw, mask, at, least, least_words, dense):
+                    rows.append((key, item_id, *got))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return joined.select("doc_id", "item_id", "text", "item", "found", "own").mapInPandas(judge, schema)
 
 
 def leaks(
@@ -188,7 +227,8 @@ def leaks(
     least: float = 0.25,
     least_words: int = 12,
     dense: float = 0.7,
-    in_task_seeds: int = 2_000_000,
+    rare: int = 2,
+    in_task_chars: int = 20_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, share, matched) of the documents that hold a passage of an item.
 
@@ -197,13 +237,13 @@ def leaks(
     longer one of another item is that item's (items are built from like phrases).
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).where(F.length(F.trim("text")) > 0)
-    held = Items((r[0], r[1]) for r in items.select(item_id, item_text).distinct().orderBy(item_id).toLocalIterator())
-    sent = spark.sparkContext.broadcast(held)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0))
+    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item")).where(F.col("item_id").isNotNull() & (F.length(F.trim("item")) > 0)).distinct()
     schema = "doc_id long, item_id long, share double, matched int, density double, low int, high int"
     columns = ["doc_id", "item_id", "share", "matched", "density", "low", "high"]
-
-    if sum(map(len, held.seeds.values())) <= in_task_seeds:
+    size = items.agg(F.sum(F.length("item"))).first()[0] or 0
+    if size <= in_task_chars:
+        sent = spark.sparkContext.broadcast(Items(((r[0], r[1]) for r in items.orderBy("item_id", "item").toLocalIterator()), rare))
 
         def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = sent.value
@@ -211,33 +251,14 @@ def leaks(
                 rows = []
                 for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     ws = words(text)
-                    if found := candidates(ws, known):
-                        rows += [(key, *x) for x in _judged(ws, known, found, least, least_words, dense)]
+                    for item, found in candidates(ws, known).items():
+                        if got := _judged(ws, known.words[item], known.own[item], found, least, least_words, dense):
+                            rows.append((key, item, *got))
                 yield pd.DataFrame(rows, columns=columns)
 
         out = spread(docs).mapInPandas(whole, schema)
     else:
-
-        def seeded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = [(key, h, k) for key, text in zip(pdf["doc_id"], pdf["text"], strict=True) for h, k in seeds(words(text))]
-                yield pd.DataFrame(rows, columns=["doc_id", "h", "d"])
-
-        table = spark.createDataFrame([(h, key, k) for h, places in held.seeds.items() for key, k in places], "h long, item_id long, i int")
-        hits = docs.mapInPandas(seeded, "doc_id long, h long, d int").join(table, "h")
-        joined = hits.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("i", "d")).alias("found")).where(F.size("found") > 1)
-
-        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = sent.value
-            for pdf in batches:
-                rows = []
-                for key, text, item, found in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["found"], strict=True):
-                    pairs = [(x["i"], x["d"]) for x in found]
-                    if near(pairs):
-                        rows += [(key, *x) for x in _judged(words(text), known, {item: pairs}, least, least_words, dense)]
-                yield pd.DataFrame(rows, columns=columns)
-
-        out = docs.join(joined, "doc_id").mapInPandas(judge, schema)
+        out = _by_shuffle(docs, items, rare, least, least_words, dense, schema, columns)
     best = cut(out.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "matched", "density", "low", "high")).alias("x")).select("doc_id", "item_id", "x.*"))
     other = best.select("doc_id", F.col("item_id").alias("i2"), F.col("matched").alias("m2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
     common = F.least("high", "h2") - F.greatest("low", "l2") + 1

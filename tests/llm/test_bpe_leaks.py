@@ -83,12 +83,12 @@ def cases():
 @pytest.mark.parametrize("seeds", [10**6, 0])
 def test_leaks(spark, seeds):
     it, docs, want = cases()
-    d = spark.createDataFrame([(k, t, "s", "i") for k, t in docs.items()] * 2, DOCS)
-    i = spark.createDataFrame([(k, "suite", t) for k, t in it.items()] + [(90, "s", None), (91, "s", ""), (92, "s", "too short")], "item_id long, suite string, text string")
-    rows = [tuple(r) for r in leaks.leaks(d, i, in_task_seeds=seeds).select("doc_id", "item_id").collect()]
+    d = spark.createDataFrame([(k, t, "s", "i") for k, t in docs.items()] * 2 + [(None, it[1], "s", "i")], DOCS)
+    i = spark.createDataFrame([(k, "suite", t) for k, t in it.items()] + [(90, "s", None), (91, "s", ""), (92, "s", "too short"), (None, "s", it[3])], "item_id long, suite string, text string")
+    rows = [tuple(r) for r in leaks.leaks(d, i, in_task_chars=seeds).select("doc_id", "item_id").collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
-    assert leaks.leaks(d.limit(0), i, in_task_seeds=seeds).count() == 0
-    assert leaks.leaks(d, i.limit(0), in_task_seeds=seeds).count() == 0
+    assert leaks.leaks(d.limit(0), i, in_task_chars=seeds).count() == 0
+    assert leaks.leaks(d, i.limit(0), in_task_chars=seeds).count() == 0
 
 
 def test_alignment_against_plain_recursion():
