@@ -18,10 +18,12 @@ def resolve_names(pending: DataFrame, symbols: DataFrame, raw: str, out: str, en
     In order: self.x and cls.x in the enclosing class; the exact qualified name; the only symbol
     of that short name in the same file; the only one in the repository.
     """
-    s = symbols.where(F.col("qualified_name").isNotNull()).select("repo", "qualified_name", "file_path", T.short_name(F.col("qualified_name")).alias("short"))
-    names = s.select(F.col("repo").alias("r1"), F.col("qualified_name").alias("q1")).distinct()
-    by_file = s.groupBy("repo", "file_path", "short").agg(F.count("*").alias("n"), F.first("qualified_name").alias("q")).where("n = 1")
-    by_repo = s.groupBy("repo", "short").agg(F.count("*").alias("n"), F.first("qualified_name").alias("q")).where("n = 1")
+    # one grouping that all three lookups start from, so that its shuffle is done once
+    u = symbols.where(F.col("qualified_name").isNotNull()).groupBy("repo", "qualified_name", "file_path").agg(F.count("*").alias("n"))
+    s = u.withColumn("short", T.short_name(F.col("qualified_name")))
+    names = u.groupBy(F.col("repo").alias("r1"), F.col("qualified_name").alias("q1")).agg(F.sum("n").alias("n")).drop("n")
+    by_file = s.groupBy("repo", "file_path", "short").agg(F.sum("n").alias("n"), F.first("qualified_name").alias("q")).where("n = 1")
+    by_repo = s.groupBy("repo", "short").agg(F.sum("n").alias("n"), F.first("qualified_name").alias("q")).where("n = 1")
     name = F.col(raw)
     own = F.when(name.rlike(r"^(self|cls)\.[^.]+$") & enclosing.isNotNull(), F.concat(enclosing, F.lit("."), F.substring_index(name, ".", -1))) if enclosing is not None else F.lit(None).cast("string")
     work = pending.withColumns({"_own": own, "_short": T.short_name(name), "_file": file_path if file_path is not None else F.lit(None).cast("string")})
