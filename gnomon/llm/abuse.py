@@ -59,7 +59,6 @@ profanity filter|sexual health|breast cancer|penetration test|are welcome|is eve
 
 #: Digits and signs that stand for letters.
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e"})
-_RAW = regex.compile(r"\S+")
 _PART = regex.compile(r"[\p{L}\p{N}@$!*#+€|']+")
 _LETTERS = regex.compile(r"^\p{L}+$")
 _DOTTED = regex.compile(r"^\W*(?:(?:\w[.\-_·]){2,}\w?|(?:\w\*){2,}\w)\W*$")
@@ -113,6 +112,7 @@ class Lexicon:
                 self.keys[_key(w)].append(w)
             self.masked[w[0], w[-1], len(w)].append(w)
         self.known: dict[str, str] = {}
+        self.raws: dict[str, tuple[str, tuple[str, ...], bool]] = {}
 
     def word(self, raw: str) -> str:
         """The lexicon's word for a disguised one, else the word itself."""
@@ -144,6 +144,15 @@ class Lexicon:
                         return meant
         return w.rstrip("!|+").translate(SIGNS) if not w.isdigit() else w
 
+    def token(self, raw: str) -> tuple[str, tuple[str, ...], bool]:
+        """(the letter of a token that is one letter, the words of any other, whether a sentence ends)."""
+        if _DOTTED.match(raw):
+            return "", (self.word(regex.sub(r"[\W_]", "", raw)),), bool(_ENDS.search(raw))
+        parts = _PART.findall(raw)
+        if len(parts) == 1 and len(parts[0].rstrip("!")) == 1:
+            return parts[0][0], (), False
+        return "", tuple(self.word(p) for p in parts), bool(_ENDS.search(raw))
+
     def stream(self, text: str) -> tuple[list[str], list[int]]:
         """Words and the number of each one's sentence."""
         out: list[str] = []
@@ -167,23 +176,25 @@ class Lexicon:
             single.clear()
 
         for line in latin(text).split("\n"):
-            for raw in _RAW.findall(line):
-                if _DOTTED.match(raw):
+            for raw in line.split():
+                got = self.raws.get(raw)
+                if got is None:
+                    if len(self.raws) > 500_000:
+                        self.raws.clear()
+                    got = self.raws[raw] = self.token(raw)
+                letter, ready, ends = got
+                if letter:
+                    single.append(letter)
+                    continue
+                if single:
                     flush()
-                    out.append(self.word(regex.sub(r"[\W_]", "", raw)))
+                for w in ready:
+                    out.append(w)
                     sentence.append(at)
-                else:
-                    parts = _PART.findall(raw)
-                    if len(parts) == 1 and len(parts[0].rstrip("!")) == 1:
-                        single.append(parts[0][0])
-                    else:
-                        flush()
-                        for p in parts:
-                            out.append(self.word(p))
-                            sentence.append(at)
-                if _ENDS.search(raw) and not single:
+                if ends:
                     at += 1
-            flush()
+            if single:
+                flush()
             at += 1
         return out, sentence
 
