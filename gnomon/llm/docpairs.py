@@ -79,7 +79,10 @@ _def = Rule(_function).define(
 
 def python_doc(code: str) -> tuple[str | None, str | None]:
     """(function name, documentation) of a chunk that holds one function."""
-    got = _def.parse(code)
+    try:
+        got = _def.parse(code)
+    except RecursionError:  # brackets nested beyond any hand-written header
+        return None, None
     if got is None:
         return None, None
     doc = got[1]["doc"]

@@ -6,6 +6,8 @@ scopes (names declared twice, exports without a declaration) are not judged.
 
 from __future__ import annotations
 
+import sys
+
 import regex
 
 _SKIP = regex.compile(r"(?:[\s﻿ ]|//[^\n\r  ]*|/\*(?:[^*]|\*(?!/))*+\*/)*+")
@@ -27,6 +29,7 @@ _ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".spl
 _BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8, "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
 _UNARY = frozenset("delete void typeof + - ~ !".split())
 NAME, NUM, STR, SIGN, TICK, PRIVATE, END = range(7)
+DEEPEST = 4000  # nested expressions and blocks
 
 
 class NotAModule(Exception):
@@ -230,7 +233,7 @@ class Module:
     def block(self) -> None:
         self.need("{")
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > DEEPEST:
             raise RecursionError
         while not self.sign("}"):
             if self.kind == END:
@@ -523,7 +526,7 @@ class Module:
 
     def assignment(self) -> str:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > DEEPEST:
             raise RecursionError
         try:
             if self.kind == NAME:
@@ -871,8 +874,10 @@ class Module:
 
 
 def is_module(text: str) -> bool:
+    """Whether the whole text is a module; nesting beyond DEEPEST is none."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
     try:
         Module(text).module()
-    except NotAModule:
+    except (NotAModule, RecursionError):
         return False
     return True

@@ -14,9 +14,10 @@ LOOK_ALIKES = {
     "ı": "i", "ɡ": "g", "ɑ": "a", "ⅼ": "l", "ʟ": "l", "ß": "ss", "ł": "l", "đ": "d", "ø": "o",
 }
 _TABLE = str.maketrans(LOOK_ALIKES)
-_MIXED = regex.compile(r"\w*(?:\p{Latin}\w*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\w*\p{Latin})\w*")
+_WORD = regex.compile(r"\w++")
+_LATIN = regex.compile(r"\p{Latin}")
+_OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}ᅟᅠㅤ]")
-_PLAIN = regex.compile(r"[\x00-\x7f]*")
 
 
 def plain(text: str) -> str:
@@ -26,7 +27,13 @@ def plain(text: str) -> str:
     t = unicodedata.normalize("NFKD", text)
     t = _INVISIBLE.sub("", t)
     t = unicodedata.normalize("NFC", t).casefold()
-    return _MIXED.sub(lambda m: m[0].translate(_TABLE), t)
+    return _WORD.sub(_unmixed, t) if _OTHER.search(t) else t
+
+
+def _unmixed(m: regex.Match) -> str:
+    """A word that mixes scripts in Latin letters; a word in one script as it is."""
+    w = m[0]
+    return w.translate(_TABLE) if _OTHER.search(w) and _LATIN.search(w) else w
 
 
 def latin(text: str) -> str:

@@ -109,7 +109,7 @@ def layout(path: str, text: str, lines: list[str]) -> str:
     elif size >= 300 and _BUNDLE.search(text):
         return "minified"
     if size >= 1200:
-        data = [x for x in code if _DATA_LINE.match(x)]
+        data = [x for x in code if len(x) <= 20_000 and _DATA_LINE.match(x)]
         weight = sum(map(len, data))
         if weight > 0.6 * size and (len(data) >= 30 or weight >= 1500):
             return "data"

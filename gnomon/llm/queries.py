@@ -15,8 +15,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents that hold secrets, with the secrets replaced."""
-    files = secrets.redact(table(spark, sf_dir, "source_files").dropDuplicates(["file_id"]), "file", "file_id")
-    return files.unionByName(secrets.redact(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_ord"]), "chunk", "chunk_ord"))
+    files = secrets.redact(table(spark, sf_dir, "source_files"), "file", "file_id")
+    both = files.unionByName(secrets.redact(table(spark, sf_dir, "chunks"), "chunk", "chunk_ord"))
+    return both.dropDuplicates(["record_kind", "record_id", "content"])  # repeated rows, of what holds secrets only
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

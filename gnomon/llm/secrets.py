@@ -54,8 +54,8 @@ FORMATS = {
 }
 PLACES = {
     "pem": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----",
-    "url": r"://(?P<u>[^\s/:@\"'<>{}]*):(?P<v>[^\s/@\"'{}<>]*[^\s@\"'{}<>]*)@(?=[\w\[])",
-    "assign": rf"(?i)(?P<name>[\w\-.]*(?:{_NAME}|[_\-]pw|pw[ =:])[\w\-.]*)(?P<rest>[\"'\]\)]*\s*(?:,\s*|=>\s*|:=?\s*|=\s*|:\s*[\w\[\]. |]+=\s*).*)",
+    "url": r"://(?P<u>[^\s/:@\"'<>{}]{0,100}):(?P<v>[^\s/@\"'{}<>]{0,100}[^\s@\"'{}<>]{0,100})@(?=[\w\[])",
+    "assign": rf"(?i)(?<![\w\-.])(?P<name>[\w\-.]{{0,60}}(?:{_NAME}|[_\-]pw|pw[ =:])[\w\-.]{{0,60}})(?P<rest>[\"'\]\)]*\s*(?:,\s*|=>\s*|:=?\s*|=\s*|:\s*[\w\[\]. |]+=\s*).*)",
     "sshpass": r"sshpass\s+-p\s*(?P<v>[^\s\"']+)",
     "curl": r"curl\s(?:.*\s)?(?:-u|--user)[ =]?(?P<u>[^\s:\"']+):(?P<v>[^\s\"']+)",
     "mysql": r"mysql(?:dump|admin)?\s.*-p(?P<v>[^\s\"'\-][^\s\"']*)",
@@ -291,7 +291,7 @@ class Finder:
         """The value a telling name is given."""
         out: list[tuple[int, int]] = []
         # the name pattern is greedy: look at every named place of the line
-        for n in re.finditer(r"(?P<name>[A-Za-z_][\w\-.]*)(?P<mid>[\"'\]]*\s*(?:(?::=|=>|=|,)\s*|:\s*(?:[A-Za-z_][\w\[\]. |]*=\s*)?))", text):
+        for n in re.finditer(r"(?<!\w)(?P<name>[A-Za-z_][\w\-.]{0,100})(?P<mid>[\"'\]]*\s*(?:(?::=|=>|=|,)\s*|:\s*(?:[A-Za-z_][\w\[\]. |]*=\s*)?))", text):
             name = n["name"]
             if not self.named(name) or ("," in n["mid"] and not n["mid"].strip()[:1] in "\"'"):
                 continue

@@ -64,7 +64,12 @@ def _json(text: str) -> None:
     json.loads(text, parse_constant=_constant, parse_int=str, parse_float=str)
 
 
+_BARE_TOML = re.compile(r"\s*(?:(?:#[^\n]*|\[{1,2}[\w.\-\"' \t]+\]{1,2}[ \t]*(?:#[^\n]*)?)?\r?\n\s*)*+\s*")
+
+
 def _toml(text: str) -> None:
+    if "=" not in text and not _BARE_TOML.fullmatch(text + "\n"):
+        raise ValueError("neither values nor tables alone")  # long runs of dotted words would take the reader long
     tomllib.loads(text.removeprefix("﻿"), parse_float=str)
 
 
