@@ -1,9 +1,10 @@
 """Source files that are not valid in their own language.
 
-Each file is read by the grammar of its language (Python 3.13 by the interpreter's own parser, an
-ECMAScript module by `gnomon.llm.ecma`, JSON strictly, TOML 1.0).  A file that fails is read by
-all other grammars, in the order of a ranking by its tokens: the first that accepts it names the
-language it is really in (a wrong extension); a file that none accepts is corrupt.
+Every file is read by all grammars (Python 3.13 by the interpreter's own parser, an ECMAScript
+module by `gnomon.llm.ecma`, JSON strictly, TOML 1.0), in the order of a ranking by its tokens.
+Where its own language rejects it, the first other one that accepts it names the language it is
+really in (a wrong extension); a file that none accepts is corrupt.  A grammar meets text in
+another language with an error near the beginning, so the foreign readings cost little.
 
 Defined results: null content is not judged; empty content is valid Python, JavaScript and TOML
 and no JSON; a null or blank language means the one of the extension; a file whose language and
@@ -34,12 +35,12 @@ SPELLINGS = {"python": "python", "py": "python", "python3": "python", "javascrip
 EXTENSIONS = {"py": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "json": "json", "toml": "toml"}
 DEFINITE_ERRORS = (SyntaxError, ValueError, MemoryError, RecursionError, OverflowError)
 
-#: Tokens that speak for a language, with weights.
+#: Tokens that speak for a language.
 SIGNS = {
-    "python": re.compile(r"(?m)^\s*(?:def |class \w+[(:]|import |from \S+ import|elif |except|@\w+|with .*:$|return\b)|:$|\bself\b|\bNone\b|\"\"\""),
-    "javascript": re.compile(r"\b(?:function|const|let|var|export|=>|typeof|new)\b|=>|;\s*$|[{}]\s*$|//", re.M),
-    "json": re.compile(r"(?m)^\s*\"[^\"]*\"\s*:|^\s*[\[\]{}],?\s*$"),
-    "toml": re.compile(r"(?m)^\s*\[{1,2}[\w.\-\"]+\]{1,2}\s*$|^\s*[\w\-.\"]+\s*=\s*\S"),
+    "python": ("def ", "import ", "self", ":\n", "None", "elif ", "return "),
+    "javascript": ("function", "=>", "const ", ";\n", "export ", "{\n", "===", "return "),
+    "json": ('":', '{"', "}\n", "],", '",\n'),
+    "toml": (" = ", "\n[", "]\n"),
 }
 
 
@@ -90,23 +91,29 @@ def valid(language: str, text: str) -> bool:
 
 
 def ranked(text: str) -> list[str]:
-    """The languages by how many of a text's tokens speak for them, per line."""
-    return sorted(GRAMMARS, key=lambda k: (-len(SIGNS[k].findall(text)), k))
+    """The languages by how many of a text's tokens speak for them."""
+    return sorted(GRAMMARS, key=lambda k: (-sum(map(text.count, SIGNS[k])), k))
+
+
+def accepted(text: str) -> list[str]:
+    """The languages whose grammars accept a text, likeliest first."""
+    return [k for k in ranked(text) if valid(k, text)]
 
 
 def verdict(language: str, text: str) -> str:
     """'ok', the language the text is really in, or 'corrupt'."""
-    if valid(language, text):
+    return _verdict(language, text, accepted(text))
+
+
+def _verdict(language: str, text: str, takers: list[str]) -> str:
+    if language in takers:
         return "ok"
-    for other in ranked(text):
-        # a bare word or an empty text would pass as another language by accident
-        if other != language and len(text.strip()) > 8 and valid(other, text):
-            return other
-    return "corrupt"
+    # a bare word or an empty text passes as another language by accident
+    return takers[0] if takers and len(text.strip()) > 8 else "corrupt"
 
 
 def judged(files: DataFrame) -> DataFrame:
-    """(file_id, repo, language, verdict) of every file whose language is known."""
+    """(file_id, repo, language, verdict, accepted) of every file whose language is known."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gc.disable()  # syntax trees are freed by counting; looking for cycles among them costs a third of the time
@@ -116,12 +123,13 @@ def judged(files: DataFrame) -> DataFrame:
             for key, repo, path, language, text in zip(pdf["file_id"], pdf["repo"], pdf["path"], pdf["language"], pdf["content"], strict=True):
                 known = language_of(language, path)
                 if known is not None and text is not None:
-                    rows.append((key, repo, known, verdict(known, text)))
-            yield pd.DataFrame(rows, columns=["file_id", "repo", "language", "verdict"])
+                    takers = accepted(text)
+                    rows.append((key, repo, known, _verdict(known, text, takers), takers))
+            yield pd.DataFrame(rows, columns=["file_id", "repo", "language", "verdict", "accepted"])
         gc.enable()
 
     src = files.where(F.col("content").isNotNull()).select(F.col("file_id").cast("string").alias("file_id"), "repo", "path", "language", "content")
-    out = spread(src).mapInPandas(run, "file_id string, repo string, language string, verdict string")
+    out = spread(src).mapInPandas(run, "file_id string, repo string, language string, verdict string, accepted array<string>")
     return out.withColumn("file_id", F.col("file_id").cast("long")).distinct()
 
 
