@@ -224,7 +224,7 @@ def leaks(
     doc_text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    least: float = 0.25,
+    least: float = 0.2,
     least_words: int = 12,
     dense: float = 0.7,
     rare: int = 2,
@@ -232,7 +232,8 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, share, matched) of the documents that hold a passage of an item.
 
-    The passage spans at least the share `least` of the item, with at least `least_words` of the
+    The passage spans at least the share `least` of the item in its own words (a third of a text whose
+    phrases are partly shared keeps about a quarter), with at least `least_words` of the
     item's own words and a share `dense` of those within the span.  A passage that lies in a
     longer one of another item is that item's (items are built from like phrases).
     """
