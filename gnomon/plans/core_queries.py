@@ -12,6 +12,8 @@ from gnomon.functions import vectors
 from gnomon.functions.complexity import complexity_column
 from gnomon.functions.register import ParsePython
 from gnomon.operators import answers, graph, insights, packing, parse, planning, resolve, retrieval
+from gnomon.session import shared_folder
+from gnomon.streaming import ingest
 from gnomon.tables import once, table
 
 QUERIES: dict = {}
@@ -469,3 +471,14 @@ def q45_parse_table_function(s: SparkSession, d: str) -> DataFrame:
     s.udtf.register("parse_python", ParsePython)
     _files(s, d, "content").where(F.col("path").endswith(".py") & F.col("content").isNotNull()).createOrReplaceTempView("gnomon_files")
     return s.sql("SELECT f.repo, p.kind, count(*) AS symbols FROM gnomon_files f, LATERAL parse_python(f.path, f.content) p GROUP BY f.repo, p.kind")
+
+
+@query(r"""SELECT strftime(date_trunc('day', ingested_at), '%Y-%m-%d') AS day, repo, count(*) AS files, CAST(sum(coalesce(len(regexp_extract_all(content, '(?i)#\s*(TODO|FIXME|HACK|XXX)\b')), 0)) AS BIGINT) AS markers
+FROM source_files WHERE ingested_at IS NOT NULL GROUP BY ALL""")
+def q46_stream_markers(s: SparkSession, d: str) -> DataFrame:
+    """The files read as a stream: arrivals and markers per day and repository."""
+    path = f"{d}/source_files.parquet"
+    # a pattern, so that a table of one file streams like a folder of many
+    counts = ingest.marker_counts(ingest.source(s, f"{d}/source_files.parque[t]", s.read.parquet(path).schema))
+    out = ingest.drain(counts, shared_folder(s))
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "repo", "files", "markers")

@@ -20,7 +20,7 @@ def marker_counts(stream: DataFrame, time: str = "ingested_at", late: str = "1 h
     """Marker lines per repository and window of arrival, late files accepted up to `late`."""
     s = stream.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
     found = F.regexp_count("content", F.lit(r"(?i)#\s*(TODO|FIXME|HACK|XXX)\b"))
-    return s.groupBy(F.window("_t", window), "repo").agg(F.sum(found).alias("markers"), F.count("*").alias("files")).select(F.col("window.start").alias("start"), "repo", "files", "markers")
+    return s.groupBy(F.window("_t", window), "repo").agg(F.sum(F.coalesce(found, F.lit(0))).alias("markers"), F.count("*").alias("files")).select(F.col("window.start").alias("start"), "repo", "files", "markers")
 
 
 def keep_findings(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -30,3 +30,15 @@ def keep_findings(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
         write(todos(batch).select(*FINDING), number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drain(counts: DataFrame, folder: str) -> DataFrame:
+    """Runs an aggregating stream over all that is there and gives its last complete result, kept below `folder`."""
+    out = f"{folder}/result"
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    query = counts.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return counts.sparkSession.read.parquet(out)
