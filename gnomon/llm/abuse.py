@@ -87,17 +87,17 @@ class Lexicon:
         self.trie = ahocorasick.Automaton()
         content: dict[str, None] = {}  # in the order of the lists, which decides what a masked word means
         self.cjk: list[str] = []
-        by_phrase: dict[str, list[str]] = defaultdict(list)
-        for kind, text in (
-            ("self", THREATS), ("self", INSULTS), ("self", SEXUAL), ("self", HATE), ("noun", NOUNS), ("adjective", ADJECTIVES),
-            ("target", TARGETS), ("group", GROUPS), ("degrading", DEGRADING), ("exception", EXCEPTIONS),
+        by_phrase: dict[str, list[tuple[str, float]]] = defaultdict(list)
+        for kind, weight, text in (
+            ("self", 3.0, THREATS), ("self", 3.0, HATE), ("self", 2.0, SEXUAL), ("self", 1.5, INSULTS), ("noun", 1.0, NOUNS), ("adjective", 0.7, ADJECTIVES),
+            ("target", 0.0, TARGETS), ("group", 0.0, GROUPS), ("degrading", 2.5, DEGRADING), ("exception", 0.0, EXCEPTIONS),
         ):
             for phrase in text.split("|"):
                 phrase = latin(phrase)
                 if _CJK.search(phrase):
                     self.cjk.append(phrase)
                     continue
-                by_phrase[phrase].append(kind)
+                by_phrase[phrase].append((kind, weight))
                 if kind not in ("target", "exception"):
                     content.update(dict.fromkeys(w for w in phrase.split() if len(w) > 2))
         for phrase, kinds in by_phrase.items():
@@ -205,42 +205,47 @@ class Lexicon:
         marks = self.marks([w.partition("|")[0] for w in words], sentence)
         for k in open_words:
             for other in words[k].split("|")[1:]:
-                marks |= self.marks([other if n == k else w.partition("|")[0] for n, w in enumerate(words)], sentence)
-        weight = float(sum(text.count(p) for p in self.cjk)) + len(marks)
-        return weight, int(weight), len(words)
+                for at, weight in self.marks([other if n == k else w.partition("|")[0] for n, w in enumerate(words)], sentence).items():
+                    marks[at] = max(weight, marks.get(at, 0.0))
+        wide = sum(text.count(p) for p in self.cjk)
+        return sum(marks.values()) + 1.5 * wide, len(marks) + wide, len(words)
 
-    def marks(self, words: list[str], sentence: list[int]) -> set[int]:
-        """The places where something abusive begins."""
+    def marks(self, words: list[str], sentence: list[int]) -> dict[int, float]:
+        """The places where something abusive begins, with the weight of what begins there."""
         joined, starts, at = [" "], {}, 1
         for k, w in enumerate(words):
             starts[at] = k
             joined.append(w + " ")
             at += len(w) + 1
         hay = "".join(joined)
-        spots: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        spots: dict[str, list[tuple[int, int, float]]] = defaultdict(list)
         for end, (kinds, n) in self.trie.iter(hay):
             # the pattern's blanks: its last word ends before `end`
             last = starts.get(hay.rfind(" ", 0, end) + 1)
             if last is None:
                 continue
-            for kind in kinds:
-                spots[kind].append((last - n + 1, last))
-        void = {sentence[a] for a, _ in spots["exception"]} | {sentence[b] for _, b in spots["exception"]}
-        free = {kind: [(a, b) for a, b in found if sentence[a] not in void and sentence[b] not in void] for kind, found in spots.items()}
-        marks: set[int] = set()
-        for a, _ in free.get("self", ()):
-            marks.add(a)
-        targets = [a for a, _ in free.get("target", ())]
-        for a, _ in free.get("noun", ()):
+            for kind, weight in kinds:
+                spots[kind].append((last - n + 1, last, weight))
+        void = {sentence[a] for a, _, _ in spots["exception"]} | {sentence[b] for _, b, _ in spots["exception"]}
+        free = {kind: [x for x in found if sentence[x[0]] not in void and sentence[x[1]] not in void] for kind, found in spots.items()}
+        marks: dict[int, float] = {}
+
+        def mark(at: int, weight: float) -> None:
+            marks[at] = max(weight, marks.get(at, 0.0))
+
+        for a, _, weight in free.get("self", ()):
+            mark(a, weight)
+        targets = [a for a, _, _ in free.get("target", ())]
+        for a, _, weight in free.get("noun", ()):
             if any(-6 <= a - t <= 6 for t in targets):
-                marks.add(a)
-        for a, _ in free.get("adjective", ()):
+                mark(a, weight)
+        for a, _, weight in free.get("adjective", ()):
             if any(-2 <= a - t <= 4 and t != a for t in targets if words[t] not in ("your", "team", "tu", "sie", "lot")):
-                marks.add(a)
+                mark(a, weight)
         groups = free.get("group", ())
-        for a, b in free.get("degrading", ()):
-            if any(-14 <= a - g <= 14 for g, _ in groups):
-                marks.add(a)
+        for a, _, weight in free.get("degrading", ()):
+            if any(-14 <= a - g <= 14 for g, _, _ in groups):
+                mark(a, weight)
         return marks
 
 
