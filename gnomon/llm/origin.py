@@ -141,7 +141,8 @@ def facts(files: DataFrame) -> DataFrame:
                 made, copied = marked(lines)
                 folders = (path or "").lower().split("/")[:-1]
                 reason = "generated" if made else layout(path or "", text, lines)
-                if not reason and (copied or any(x in VENDOR_DIRS for x in folders)):
+                # deps/<package>/ holds packages; a plain module folder may be called deps as well
+                if not reason and (copied or any(x in VENDOR_DIRS for x in folders) or "deps" in folders[:-1]):
                     reason = "vendored"
                 bare = _bare(lines)
                 rows.append((key, repo, path, reason, len(bare), hashlib.md5(bare.encode("utf-8", "replace")).hexdigest()))
