@@ -56,9 +56,7 @@ def _constant(_: str) -> None:
 
 
 def _python(text: str) -> None:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        compile(text.removeprefix("﻿"), "x", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+    compile(text.removeprefix("﻿"), "x", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
 
 
 def _json(text: str) -> None:
@@ -117,16 +115,20 @@ def judged(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gc.disable()  # syntax trees are freed by counting; looking for cycles among them costs a third of the time
-        for pdf in batches:
-            gc.collect()
-            rows = []
-            for key, repo, path, language, text in zip(pdf["file_id"], pdf["repo"], pdf["path"], pdf["language"], pdf["content"], strict=True):
-                known = language_of(language, path)
-                if known is not None and text is not None:
-                    takers = accepted(text)
-                    rows.append((key, repo, known, _verdict(known, text, takers), takers))
-            yield pd.DataFrame(rows, columns=["file_id", "repo", "language", "verdict", "accepted"])
-        gc.enable()
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                for pdf in batches:
+                    gc.collect()
+                    rows = []
+                    for key, repo, path, language, text in zip(pdf["file_id"], pdf["repo"], pdf["path"], pdf["language"], pdf["content"], strict=True):
+                        known = language_of(language, path)
+                        if known is not None and text is not None:
+                            takers = accepted(text)
+                            rows.append((key, repo, known, _verdict(known, text, takers), takers))
+                    yield pd.DataFrame(rows, columns=["file_id", "repo", "language", "verdict", "accepted"])
+        finally:
+            gc.enable()
 
     src = files.where(F.col("content").isNotNull()).select(F.col("file_id").cast("string").alias("file_id"), "repo", "path", "language", "content")
     out = spread(src).mapInPandas(run, "file_id string, repo string, language string, verdict string, accepted array<string>")
