@@ -25,6 +25,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,12 +34,12 @@ from pyspark.sql.window import Window
 
 from gnomon.session import cut
 
-CYCLE, BELOW = "(cycle)", "(below cycle)"
+CYCLE, BELOW, JOIN = "(cycle)", "(below cycle)", " > "
 
 
 def node_id(group: Column, name: Column) -> Column:
     """128 bits for a node; a null group differs from every named one."""
-    return F.md5(F.concat(F.coalesce(F.concat(F.lit("g"), group.cast("string")), F.lit("n")), F.lit("\x00"), name).cast("binary"))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("g"), group.cast("string")), F.lit("n")), F.lit("\x00"), name).cast("binary")))
 
 
 def links_of(edges: DataFrame, group: str, child: str, parent: str) -> DataFrame:
@@ -58,11 +59,11 @@ class WeightedSets:
     """Disjoint sets whose members know their offset to the root."""
 
     def __init__(self) -> None:
-        self.up: dict[str, tuple[str, int]] = {}
-        self.size: dict[str, int] = {}
-        self.conflicts: set[str] = set()
+        self.up: dict[Any, tuple[Any, int]] = {}
+        self.size: dict[Any, int] = {}
+        self.conflicts: set = set()
 
-    def find(self, x: str) -> tuple[str, int]:
+    def find(self, x: Any) -> tuple[Any, int]:
         if x not in self.up:
             self.up[x] = (x, 0)
             self.size[x] = 1
@@ -76,7 +77,7 @@ class WeightedSets:
             self.up[y] = (x, total)
         return x, total
 
-    def join(self, a: str, b: str, w: int) -> None:
+    def join(self, a: Any, b: Any, w: int) -> None:
         """a lies w below b."""
         (ra, oa), (rb, ob) = self.find(a), self.find(b)
         if ra == rb:
@@ -121,7 +122,7 @@ def forest(links: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
             now = now.repartition(parts, F.when(ha < hb, F.col("a")).otherwise(F.col("b")))
         else:
             now = now.coalesce(1)
-        local = cut(now.mapInPandas(_local_forest, "v string, root string, off long, conflict boolean"))
+        local = cut(now.mapInPandas(_local_forest, "v binary, root binary, off long, conflict boolean"))
         if parts == 1:
             levels.append(local)
             break
@@ -237,7 +238,12 @@ def _local_hierarchy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     now, rows, conflict, group = None, [], False, None
 
     def done() -> Iterator[tuple]:
+        seen: set[tuple[str, str]] = set()
         for node, root, names in _walk(rows, conflict):
+            if any(JOIN in n for n in names):  # such names can make two ways look alike
+                if (node, JOIN.join(names)) in seen:
+                    continue
+                seen.add((node, JOIN.join(names)))
             yield group, node, root, names
 
     for pdf in batches:
@@ -327,8 +333,8 @@ def loops(links: DataFrame, sets: DataFrame, local_links: int = 200_000) -> Data
     sizes = marked.groupBy("root").agg(F.count("*").alias("size"))
     large = cut(sizes.where(F.col("size") > local_links).select("root"))
     if large.isEmpty():
-        return marked.groupBy("root").applyInPandas(_local_loops, "v string, state string")
-    out = marked.join(large, "root", "left_anti").groupBy("root").applyInPandas(_local_loops, "v string, state string")
+        return marked.groupBy("root").applyInPandas(_local_loops, "v binary, state string")
+    out = marked.join(large, "root", "left_anti").groupBy("root").applyInPandas(_local_loops, "v binary, state string")
     return out.unionByName(_coloured_loops(cut(marked.join(large, "root", "left_semi").select("cid", "pid"))))
 
 
@@ -383,8 +389,8 @@ class Hierarchy:
         linked = self.links.select(F.col("cid").alias("v")).distinct()
         roots = own.join(linked, "v", "left_anti").select("g", "name", F.col("name").alias("root"), F.lit(0).alias("depth"), F.col("name").alias("path"))
         loop = F.size("names") == 0
-        full = self.found.select("g", "name", "root", F.when(loop, -1).otherwise(F.size("names") - 1).alias("depth"), F.when(loop, F.col("root")).otherwise(F.array_join("names", " > ")).alias("path"))
-        return roots.unionByName(full.distinct())
+        full = self.found.select("g", "name", "root", F.when(loop, -1).otherwise(F.size("names") - 1).alias("depth"), F.when(loop, F.col("root")).otherwise(F.array_join("names", JOIN)).alias("path"))
+        return roots.unionByName(full)
 
     def descendants(self) -> DataFrame:
         """(g, ancestor, descendant, depth): the shortest distance of every pair on a path."""
@@ -422,5 +428,6 @@ def build(
         state = cut(loops(links_left, sets, local_links))
         named = links_left.select("g", F.explode(F.array(F.struct(F.col("cid").alias("v"), F.col("c").alias("name")), F.struct(F.col("pid").alias("v"), F.col("p").alias("name")))).alias("x")).select("g", "x.*").distinct()
         bad = named.join(state, "v").select("g", "name", F.col("state").alias("root"), F.array().cast("array<string>").alias("names"))
-        found = found.unionByName(bad).unionByName(paths(links_left, state).select("g", "name", "root", "names"))
+        long_ways = paths(links_left, state).withColumn("_path", F.array_join("names", JOIN)).dropDuplicates(["g", "name", "_path"]).select("g", "name", "root", "names")
+        found = found.unionByName(bad).unionByName(long_ways)
     return Hierarchy(nodes_of(edges, group, child, parent), links, sets, found)

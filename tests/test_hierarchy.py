@@ -63,6 +63,7 @@ CASES = {
     "diamond of uneven arms": [("r", "d", "b"), ("r", "d", "a"), ("r", "b", "a"), ("r", "e", "d")],
     "between two loops": [("r", "a", "b"), ("r", "b", "a"), ("r", "m", "a"), ("r", "x", "m"), ("r", "x", "y"), ("r", "y", "x")],
     "repeated, nulls, groups": [("r", "a", "b")] * 3 + [("q", "b", "a"), (None, "a", "b"), (None, None, "z"), ("r", None, "b"), ("r", None, None), ("r", "", "b")],
+    "names like joined paths": [("r", "d", "a > b"), ("r", "d", "b"), ("r", "b", "a"), ("r", "e", "d")],
     "hub": [("r", f"n{i}", "hub") for i in range(300)] + [("r", "hub", "top")],
 }
 
