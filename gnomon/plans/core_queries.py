@@ -403,10 +403,19 @@ def q37_report_summary(s: SparkSession, d: str) -> DataFrame:
     return insights.summary(_findings(s, d))
 
 
-@query()
+@query(rf"""WITH {_F}, {_S}, {_C}, {_I},
+l AS (SELECT repo, path, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS n FROM f WHERE ends_with(path, '.py')),
+t AS (SELECT DISTINCT repo, path, n, upper(regexp_extract(line, '#\s*(TODO|FIXME|HACK|XXX)\b', 1, 'i')) AS tag FROM l WHERE regexp_matches(line, '(?i)#\s*(TODO|FIXME|HACK|XXX)\b')),
+g AS (SELECT repo, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '(root)' END AS package, count(DISTINCT path) AS n FROM f GROUP BY ALL),
+n AS (SELECT repo, resolved_file, count(*) AS k, min(edge_ord) AS e FROM i WHERE resolved_file IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY k DESC, e) AS o FROM n)
+SELECT repo, id, 'dead_code' AS category, 'warning' AS severity, title FROM ({_DEAD_SQL})
+UNION ALL SELECT repo, substr(sha1('todo|' || path || '|' || n), 1, 12), 'todo', 'info', tag || ' in ' || path || ':' || n FROM t
+UNION ALL SELECT repo, substr(sha1('architecture|package|' || package), 1, 12), 'architecture', 'info', 'Package ''' || package || ''': ' || n || ' file(s)' FROM g
+UNION ALL SELECT repo, substr(sha1('architecture|hub|' || resolved_file), 1, 12), 'architecture', 'info', '''' || resolved_file || ''' is imported by ' || k || ' file(s)' FROM r WHERE o <= 10 AND k >= 2
+UNION ALL SELECT repo, substr(sha1('architecture|entry_point|' || qualified_name), 1, 12), 'architecture', 'info', 'Entry point: ''' || qualified_name || '''' FROM s WHERE kind = 'function' AND {_SHORT_Q} = 'main'""")
 def q37_flagship_report(s: SparkSession, d: str) -> DataFrame:
     """Findings of unused code, markers and structure in one table."""
-    return _findings(s, d)
+    return _findings(s, d).select("repo", "id", "category", "severity", "title")
 
 
 @query()
