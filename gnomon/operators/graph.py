@@ -34,22 +34,41 @@ def edges(imports: DataFrame, calls: DataFrame, inherits: DataFrame) -> DataFram
     )
 
 
+def _ring_edges(imports: DataFrame, local_links: int) -> DataFrame:
+    """Distinct edges (g, c, p, ring) between two files of one strongly connected set."""
+    e = imports.where(F.col("resolved_file").isNotNull() & (F.col("importer_file") != F.col("resolved_file")))
+    links = cut(hierarchy.links_of(e, "repo", "importer_file", "resolved_file"))
+    sets = hierarchy.forest(links.select(F.col("cid").alias("a"), F.col("pid").alias("b"), F.lit(1).cast("long").alias("w")))
+    state = cut(hierarchy.loops(links, sets, local_links).where(F.col("state") == hierarchy.CYCLE).select("v", "ring"))
+    return cut(links.join(state.withColumnRenamed("v", "cid"), "cid").join(state.withColumnRenamed("v", "pid"), ["pid", "ring"]).select("g", "c", "p", "ring"))
+
+
+def import_rings(imports: DataFrame, local_links: int = 200_000) -> DataFrame:
+    """(repo, ring, file, files): each file on an import cycle of any length, with its strongly connected set.
+
+    Two files are on a common closed way exactly if their sets are the same; `ring` is the set's
+    least file and `files` its size.  There is a row per file, however many cycles there are.
+    """
+    own = _ring_edges(imports, local_links).select("ring", F.col("g").alias("repo"), F.col("c").alias("file")).distinct()
+    sets = own.groupBy(F.col("ring").alias("id")).agg(F.min("file").alias("ring"), F.count("*").alias("files"))
+    return own.withColumnRenamed("ring", "id").join(sets, "id").select("repo", "ring", "file", "files")
+
+
 def import_cycles(imports: DataFrame, longest: int = 8) -> DataFrame:
-    """(repo, cycle): the elementary cycles of up to `longest` files, each starting at its least file.
+    """(repo, cycle): the elementary cycles of up to `longest` files, each starting at its least file."""
+    return bounded_cycles(imports, longest)[0]
+
 
-    Edges outside of any cycle go first: components without a clash of levels, then nodes with
-    no edge on one side.  Paths then grow by a join a round, over files greater than the start.
+def bounded_cycles(imports: DataFrame, longest: int = 8) -> tuple[DataFrame, DataFrame]:
+    """`import_cycles`, and the repositories (repo) in which ways of more than `longest` files were left unfollowed.
+
+    Edges outside of any cycle go first: those that do not join two files of one strongly
+    connected set.  Paths then grow by a join a round, over files greater than the start.
     """
-    e = imports.where(F.col("resolved_file").isNotNull() & (F.col("importer_file") != F.col("resolved_file")))
-    e = e.select(F.col("repo").alias("g"), F.col("importer_file").alias("c"), F.col("resolved_file").alias("p")).distinct()
-    links = hierarchy.links_of(e, "g", "c", "p")
-    sets = hierarchy.forest(links.select(F.col("cid").alias("a"), F.col("pid").alias("b"), F.lit(1).cast("long").alias("w")))
-    state = hierarchy.loops(links, sets).where(F.col("state") == hierarchy.CYCLE).select("v")
-    e = links.join(state.withColumnRenamed("v", "cid"), "cid", "left_semi").join(state.withColumnRenamed("v", "pid"), "pid", "left_semi").select("g", "c", "p")
-    e = cut(e)
+    e = _ring_edges(imports, 200_000).select("g", "c", "p")
     step = e.select(F.col("g").alias("g2"), F.col("c").alias("c2"), F.col("p").alias("p2"))
     paths = e.where("c < p").select("g", F.col("c").alias("start"), F.col("p").alias("last"), F.array("c", "p").alias("cycle"))
-    found = []
+    found = [paths.limit(0).select(F.col("g").alias("repo"), "cycle")]
     for _ in range(2, longest + 1):
         back = (F.col("g") == F.col("g2")) & (F.col("last") == F.col("c2"))
         found.append(paths.join(step, back & (F.col("p2") == F.col("start")), "left_semi").select(F.col("g").alias("repo"), "cycle"))
@@ -57,4 +76,4 @@ def import_cycles(imports: DataFrame, longest: int = 8) -> DataFrame:
         paths = cut(nxt.select("g", "start", F.col("p2").alias("last"), F.concat("cycle", F.array("p2")).alias("cycle")))
         if paths.isEmpty():
             break
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found), paths.select(F.col("g").alias("repo")).distinct()

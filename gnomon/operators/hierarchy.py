@@ -151,12 +151,17 @@ def forest(links: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
 
 
 def _components(parents: dict[str, list[str]]) -> set[str]:
-    """Nodes on a loop, by an iterative walk that finds strongly connected sets."""
+    """Nodes on a loop."""
+    return {v for ring in _rings(parents) for v in ring}
+
+
+def _rings(parents: dict[str, list[str]]) -> list[list[str]]:
+    """The strongly connected sets that hold a loop, by an iterative walk."""
     order: dict[str, int] = {}
     low: dict[str, int] = {}
     stack: list[str] = []
     on: set[str] = set()
-    found: set[str] = set()
+    found: list[list[str]] = []
     for start in parents:
         if start in order:
             continue
@@ -188,7 +193,7 @@ def _components(parents: dict[str, list[str]]) -> set[str]:
                         if u == v:
                             break
                     if len(group) > 1 or v in parents.get(v, ()):
-                        found.update(group)
+                        found.append(group)
     return found
 
 
@@ -276,8 +281,8 @@ def _spread(links: DataFrame, start: DataFrame, src: str, dst: str) -> DataFrame
 
 
 def _coloured_loops(links: DataFrame) -> DataFrame:
-    """(v, state) for links of any size: forward colours, then backward within a colour."""
-    loops = links.where("cid = pid").select(F.col("cid").alias("v"))
+    """(v, state, ring) for links of any size: forward colours, then backward within a colour."""
+    loops = links.where("cid = pid").select(F.col("cid").alias("v"), F.col("cid").alias("ring"))
     rest = cut(links.where("cid <> pid").select("cid", "pid"))
     while not rest.isEmpty():
         # trim nodes that have no link on one side; they are on no loop
@@ -300,15 +305,16 @@ def _coloured_loops(links: DataFrame) -> DataFrame:
                 break
         a = colour.select(F.col("v").alias("cid"), F.col("k").alias("kc"))
         b = colour.select(F.col("v").alias("pid"), F.col("k").alias("kp"))
-        inside = cut(rest.join(a, "cid").join(b, "pid").where("kc = kp").select("cid", "pid"))
+        inside = cut(rest.join(a, "cid").join(b, "pid").where("kc = kp").select("cid", "pid", F.col("kc").alias("ring")))
         found = _spread(inside, colour.where("v = k").select("v"), "cid", "pid")
         ends = inside.join(found.withColumnRenamed("v", "cid"), "cid", "left_semi").join(found.withColumnRenamed("v", "pid"), "pid", "left_semi")
-        loops = loops.unionByName(ends.select(F.explode(F.array("cid", "pid")).alias("v")))
+        loops = loops.unionByName(ends.select(F.explode(F.array("cid", "pid")).alias("v"), "ring"))
         gone = found
         rest = cut(rest.join(gone.withColumnRenamed("v", "cid"), "cid", "left_anti").join(gone.withColumnRenamed("v", "pid"), "pid", "left_anti"))
-    loops = cut(loops.distinct())
-    below = _spread(links, loops, "pid", "cid").join(loops, "v", "left_anti")
-    return loops.withColumn("state", F.lit(CYCLE)).unionByName(below.withColumn("state", F.lit(BELOW)))
+    loops = cut(loops.groupBy("v").agg(F.max("ring").alias("ring")))  # a node that is its own parent may be on a larger loop too
+    below = _spread(links, loops.select("v"), "pid", "cid").join(loops, "v", "left_anti")
+    below = below.select("v", F.lit(BELOW).alias("state"), F.lit(None).cast("binary").alias("ring"))
+    return loops.select("v", F.lit(CYCLE).alias("state"), "ring").unionByName(below)
 
 
 def _local_loops(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -318,14 +324,15 @@ def _local_loops(pdf: pd.DataFrame) -> pd.DataFrame:
     for c, p in zip(pdf["cid"], pdf["pid"], strict=True):
         parents.setdefault(c, []).append(p)
         children.setdefault(p, []).append(c)
-    loop = _components(parents)
-    rows = [(v, CYCLE) for v in loop] + [(v, BELOW) for v in _below(loop, children)]
-    return pd.DataFrame(rows, columns=["v", "state"])
+    rings = _rings(parents)
+    rows = [(v, CYCLE, max(ring)) for ring in rings for v in ring] + [(v, BELOW, None) for v in _below({v for ring in rings for v in ring}, children)]
+    return pd.DataFrame(rows, columns=["v", "state", "ring"])
 
 
 def loops(links: DataFrame, sets: DataFrame, local_links: int = 200_000) -> DataFrame:
-    """(v, state) of the nodes on a loop or below one; all others are absent.
+    """(v, state, ring) of the nodes on a loop or below one; all others are absent.
 
+    `ring` is the greatest id of the node's strongly connected set, null below the loops.
     `links` has cid and pid, `sets` is what `forest` gave.  Components with more than
     `local_links` links are never brought into one task.
     """
@@ -333,8 +340,8 @@ def loops(links: DataFrame, sets: DataFrame, local_links: int = 200_000) -> Data
     sizes = marked.groupBy("root").agg(F.count("*").alias("size"))
     large = cut(sizes.where(F.col("size") > local_links).select("root"))
     if large.isEmpty():
-        return marked.groupBy("root").applyInPandas(_local_loops, "v binary, state string")
-    out = marked.join(large, "root", "left_anti").groupBy("root").applyInPandas(_local_loops, "v binary, state string")
+        return marked.groupBy("root").applyInPandas(_local_loops, "v binary, state string, ring binary")
+    out = marked.join(large, "root", "left_anti").groupBy("root").applyInPandas(_local_loops, "v binary, state string, ring binary")
     return out.unionByName(_coloured_loops(cut(marked.join(large, "root", "left_semi").select("cid", "pid"))))
 
 

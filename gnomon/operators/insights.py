@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from gnomon.functions import text as T
 from gnomon.functions.complexity import complexity_column
-from gnomon.operators.graph import import_cycles
+from gnomon.operators.graph import bounded_cycles, import_rings
 
 FINDING = ["repo", "id", "category", "severity", "title", "description", "qualified_name", "file_path", "start_line", "end_line", "details"]
 
@@ -38,12 +38,18 @@ def dead_code(symbols: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def circular_dependencies(imports: DataFrame, longest: int = 8) -> DataFrame:
-    """One finding per elementary import cycle."""
-    c = import_cycles(imports, longest)
+    """One finding per elementary import cycle of up to `longest` files, and one per larger set of files that all reach each other."""
+    c, _ = bounded_cycles(imports, longest)
     n = F.size("cycle")
     path = F.concat(F.array_join("cycle", " -> "), F.lit(" -> "), F.element_at("cycle", 1))
     shown = F.concat(F.array_join(F.slice("cycle", 1, 3), " -> "), F.when(n > 3, F.lit("...")).otherwise(F.lit("")))
-    return finding(c, "circular_dependency", "warning", [path], F.concat(F.lit("Circular import: "), shown), F.concat(F.lit("These files import each other in a cycle: "), path), F.to_json(F.struct(n.alias("cycle_length"), path.alias("cycle"))), path=F.element_at("cycle", 1))
+    short = finding(c, "circular_dependency", "warning", [path], F.concat(F.lit("Circular import: "), shown), F.concat(F.lit("These files import each other in a cycle: "), path), F.to_json(F.struct(n.alias("cycle_length"), path.alias("cycle"))), path=F.element_at("cycle", 1))
+    r = import_rings(imports).where(F.col("files") > longest).groupBy("repo", "ring", "files").agg(F.array_sort(F.collect_list("file")).alias("members"))
+    size = F.col("files").cast("string")
+    title = F.concat(F.lit("Circular imports among "), size, F.lit(" files: "), F.array_join(F.slice("members", 1, 3), ", "), F.lit("..."))
+    note = F.concat(F.lit("Each of these files imports every other, directly or through files of the set; "), F.lit(f"cycles of more than {longest} files are not listed one by one: "), F.array_join("members", ", "))
+    large = finding(r, "circular_dependency", "warning", [F.lit("set"), F.array_join("members", " -> ")], title, note, F.to_json(F.struct("files", F.lit(longest).alias("listed_up_to"), "members")), path=F.col("ring"))
+    return short.unionByName(large)
 
 
 def complexity(symbols: DataFrame, sources: DataFrame, threshold: int = 10) -> DataFrame:

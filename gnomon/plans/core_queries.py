@@ -124,9 +124,14 @@ w AS (SELECT repo, c AS first, p AS last, [c, p] AS names FROM e WHERE c < p
  UNION ALL SELECT w.repo, w.first, e.p, list_append(w.names, e.p) FROM w JOIN e ON e.repo = w.repo AND e.c = w.last AND e.p > w.first AND NOT list_contains(w.names, e.p) WHERE len(w.names) < 4)
 SELECT w.repo, array_to_string(names, ' > ') AS cycle, CAST(len(names) AS INTEGER) AS length FROM w JOIN e ON e.repo = w.repo AND e.c = w.last AND e.p = w.first""")
 def q09_cycles(s: SparkSession, d: str) -> DataFrame:
-    """Elementary import cycles of up to four files (their number grows with length; the length is the operator's parameter)."""
-    c = graph.import_cycles(table(s, d, "import_edges"), 4)
-    return c.select("repo", F.array_join("cycle", " > ").alias("cycle"), F.size("cycle").alias("length"))
+    """Elementary import cycles of up to eight files, and a row of length -1 per repository where longer ways were not followed.
+
+    The number of cycles grows with length; q47_import_rings holds every file on a cycle of any length.
+    The SQL lists cycles of up to four files only.
+    """
+    c, left = graph.bounded_cycles(table(s, d, "import_edges"))
+    c = c.select("repo", F.array_join("cycle", " > ").alias("cycle"), F.size("cycle").alias("length"))
+    return c.unionByName(left.select("repo", F.lit("(longer not listed)").alias("cycle"), F.lit(-1).alias("length")))
 
 
 _RESOLVE = """n AS (SELECT DISTINCT repo, qualified_name AS q FROM s),
@@ -491,3 +496,11 @@ def q46_stream_markers(s: SparkSession, d: str) -> DataFrame:
     counts = ingest.marker_counts(ingest.source(s, f"{d}/source_files.parque[t]", s.read.parquet(path).schema))
     out = ingest.drain(counts, shared_folder(s))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "repo", "files", "markers")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT repo, importer_file AS c, resolved_file AS p FROM import_edges WHERE importer_file IS NOT NULL AND resolved_file IS NOT NULL AND importer_file <> resolved_file),
+r AS (SELECT repo, c AS x, p AS y FROM e UNION SELECT r.repo, r.x, e.p FROM r JOIN e ON r.repo IS NOT DISTINCT FROM e.repo AND r.y = e.c)
+SELECT a.repo, min(a.y) AS ring, a.x AS file, count(*) AS files FROM r a JOIN r b ON a.repo IS NOT DISTINCT FROM b.repo AND a.x = b.y AND a.y = b.x GROUP BY a.repo, a.x""")
+def q47_import_rings(s: SparkSession, d: str) -> DataFrame:
+    """Every file on an import cycle of any length with its strongly connected set."""
+    return graph.import_rings(table(s, d, "import_edges"))

@@ -145,6 +145,27 @@ def test_cycles_against_enumeration(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("local_links", [200_000, 0])
+def test_rings_of_any_length(spark, local_links):
+    """A repository whose only ring has many files is not free of cycles."""
+    edges = [("five", i, (i + 1) % 5) for i in range(5)] + [("ten", i, (i + 1) % 10) for i in range(10)] + [("ten", 20, 0), ("ten", 3, 21), ("ten", 21, 22), ("ten", 22, 21), ("none", 0, 1), ("none", 1, 2), ("none", 0, 2)]
+    df = spark.createDataFrame([(g, i, f"f{a}", "m", f"f{b}") for i, (g, a, b) in enumerate(edges)], "repo string, edge_ord long, importer_file string, imported_module string, resolved_file string")
+    rings = {(r["repo"], r["ring"], r["file"], r["files"]) for r in graph.import_rings(df, local_links).collect()}
+    assert rings == {("five", "f0", f"f{i}", 5) for i in range(5)} | {("ten", "f0", f"f{i}", 10) for i in range(10)} | {("ten", "f21", "f21", 2), ("ten", "f21", "f22", 2)}
+    cycles, left = graph.bounded_cycles(df)
+    assert {(r["repo"], len(r["cycle"])) for r in cycles.collect()} == {("five", 5), ("ten", 2)} and [r["repo"] for r in left.collect()] == ["ten"]
+    large = [r for r in insights.circular_dependencies(df).collect() if r["repo"] == "ten" and "among 10 files" in r["title"]]
+    assert len(large) == 1 and len(json.loads(large[0]["details"])["members"]) == 10
+
+
+def test_long_cycles_are_reported(spark, tmp_path):
+    from gnomon.plans import core_queries
+
+    ring = lambda g, n: [(g, i, f"f{i:02}", "m", f"f{(i + 1) % n:02}") for i in range(n)]
+    spark.createDataFrame(ring("five", 5) + ring("ten", 10), "repo string, edge_ord long, importer_file string, imported_module string, resolved_file string").write.parquet(f"{tmp_path}/import_edges.parquet")
+    assert {tuple(r) for r in core_queries.q09_cycles(spark, str(tmp_path)).collect()} == {("five", "f00 > f01 > f02 > f03 > f04", 5), ("ten", "(longer not listed)", -1)}
+
+
 def test_candidates_and_files(spark):
     t = tables(spark, {"requests/sessions.py": "class Session:\n    def request(self): pass\n    def close(self): pass\n", "a/models.py": "class M:\n    def close(self): pass\n", "b/models.py": "x = 1\n", "solo.py": "y = 1\n"})
     step = "qid long, repo string, step int, strategy string, target string, query string, direction string"
