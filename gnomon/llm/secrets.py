@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,6 +84,10 @@ _COMMENT = re.compile(r"^\s*(?:#|//|/?\*|--|;|<!--)")
 _HEX = re.compile(r"^[0-9a-fA-F]+$")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{24,}")
+_LINE_END = re.compile(r"(?:\\+r)?\\+n|\r?\n")
+#: A line of a private key: what may stand before and after the digits in code, comments and quotations; headers of the block.
+_KEY_LINE = re.compile(r"""(?:[\s"'`,;()\[\]\#*>|\\]|[+/]+(?=[\s"'`])|-(?=\s)|[rbuRBUfF]{1,2}(?=["'`]))*+(?P<v>(?:[A-Za-z0-9+/=]|\\+/)*+(?:\s+(?:[A-Za-z0-9+/=]|\\+/){24,}+)*+(?:\s+[A-Za-z0-9+/]{4,23}={0,2})?)(?:[\s"'`,;()\[\]*|\\]|\+(?=\s|$))*+$""")
+_KEY_HEADER = re.compile(r"""[\s"'`+#*>|/]*(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID|Content-Domain|Key-ID|[A-Z][A-Za-z]*-[A-Z][A-Za-z\-]*): """)
 
 
 def _varied(v: str) -> bool:
@@ -150,34 +155,78 @@ class Finder:
         starts = [0]
         for x in lines[:-1]:
             starts.append(starts[-1] + len(x) + 1)
-        out, pem_end = [], -1
+        out: list[tuple[int, list[tuple[int, int, str]]]] = []
+        keys: list[tuple[int, int, int, int]] = []  # first and last line, first and last character of each private key
+        for no in sorted(no for no, names in candidates.items() if "pem" in names):
+            if keys and no <= keys[-1][1]:
+                continue
+            for m in self.rules["pem"].finditer(lines[no]):
+                if (not keys or starts[no] + m.start() >= keys[-1][3]) and (got := self.pem(text, lines[no], starts[no], m)):
+                    keys.append((no, bisect_right(starts, got[1] - 1) - 1, starts[no] + m.start(), got[1]))
+                    out.append((no + 1, got[0]))
+        inside = {no for a, b, _, _ in keys for no in range(a + 1, b)}
         # a value may stand on the line after its name
         after = {no + 1 for no, names in candidates.items() if "assign" in names and lines[no].rstrip()[-1:] in ("(", "=", "\\") and no + 1 < len(lines)}
         for no in sorted(after | set(candidates)):
-            if no <= pem_end:
+            if no in inside:
                 continue
-            names = candidates.get(no, [])
-            if "pem" in names and (m := self.rules["pem"].search(lines[no])):
-                got = self.pem(text, lines, starts, no, m)
-                if got:
-                    spans, pem_end = got
-                    out.append((no + 1, spans))
-                    continue
-            spans = self.line(lines, starts, no, names)
+            spans = self.line(lines, starts, no, candidates.get(no, []))
+            spans = [s for s in spans if not any(s[0] < b and a < s[1] for _, _, a, b in keys)]
             if spans:
                 out.append((no + 1, spans))
-        return out
+        merged: dict[int, list[tuple[int, int, str]]] = {}
+        for no, spans in out:
+            merged.setdefault(no, []).extend(spans)
+        return sorted(merged.items())
 
-    def pem(self, text: str, lines: list[str], starts: list[int], no: int, m: re.Match) -> tuple[list[tuple[int, int, str]], int] | None:
-        """A private key's body, on this line (with escaped line ends) or on those that follow."""
-        begin = starts[no] + m.end()
-        stop = re.compile(r"-----END").search(text, begin)
-        end = stop.start() if stop else min(len(text), begin + 4000)
+    @staticmethod
+    def pem(text: str, line: str, start: int, m: re.Match) -> tuple[list[tuple[int, int, str]], int] | None:
+        """(spans, end) of a private key's body, on this line (with escaped line ends) or on those that follow.
+
+        The body goes on as long as the lines look like key material.  Where no END closes it, a
+        line shorter than those before is its last one and has to look like digits of a key.
+        """
+        at = begin = start + m.end()
+        owner = re.match(r"\s*([\w.]+)", line[: m.start()])
+        cores: list[tuple[int, int]] = []
+        end, closed = begin, False
+        while at <= len(text) and not closed:
+            e = _LINE_END.search(text, at)
+            stop = e.start() if e else len(text)
+            mark = text.find("-----END", at, stop)
+            closed = mark >= 0
+            part = text[at : mark if closed else stop]
+            k = _KEY_LINE.match(part)
+            if k is None and owner and part.lstrip().startswith(owner[1]):  # the same variable or call again
+                q = re.search(r"[\"'`]", part)
+                k = q and _KEY_LINE.match(part, q.start())
+            if k is None and not _KEY_HEADER.match(part):
+                closed = False
+                break
+            if k and k["v"]:
+                cores.append((at + k.start("v"), at + k.end("v")))
+                end = cores[-1][1]
+            if closed:
+                end = mark + 8
+                tail = re.compile(r"[A-Z0-9 ]*-----").match(text, end)
+                end = tail.end() if tail else end
+            elif e is None:
+                break
+            at = e.end() if e else len(text)
+        if not closed:
+            width = next((b - a for a, b in cores if b - a >= 24), 0)
+            n = 0
+            while n < len(cores) and cores[n][1] - cores[n][0] >= width:
+                n += 1
+            if n < len(cores):
+                v = text[slice(*cores[n])]
+                n += bool(re.search(r"[\d+/=]|[a-z][A-Z]", v)) and len(v) >= 4
+            cores = cores[:n]
+            end = cores[-1][1] if cores else begin
         body = text[begin:end]
         if not _BODY.search(body) or _PLACEHOLDER.search(body[:80].replace(">", "")):
             return None
-        spans = [(begin + b.start(), begin + b.end(), MARK if k == 0 else "") for k, b in enumerate(re.finditer(r"(?:(?<=\\n)|(?<![\\A-Za-z0-9+/=]))[A-Za-z0-9+/=]{4,}", body))]
-        return spans, text.count("\n", 0, end)
+        return [(a, b, "" if k else MARK) for k, (a, b) in enumerate(cores)], end
 
     def line(self, lines: list[str], starts: list[int], no: int, names: list[str]) -> list[tuple[int, int, str]]:
         line = lines[no]

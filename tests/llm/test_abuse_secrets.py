@@ -94,6 +94,28 @@ def test_keys_over_several_lines():
     assert lines_of(f'T = ("{TOKEN[:12]}"\n     "{TOKEN[12:]}")\n') == [1]
 
 
+def cleaned(text):
+    return secrets.replaced(text, [s for _, found in secrets.Finder().blocks([text]) for _, spans in found for s in spans])
+
+
+def test_keys_that_are_cut_off_or_long():
+    code = "\n\ndef total(values):\n    return sum(values)\n\n\npassword = 'silent-windmill_4978!'\n"
+    cut = f'KEY = """-----BEGIN RSA PRIVATE KEY-----\n{BODY}{code}'
+    assert lines_of(cut) == [1, 11]
+    out = cleaned(cut)
+    assert "def total(values):\n    return sum(values)" in out and BODY[70:90] not in out and "windmill" not in out
+    other = cut + f'CERT = """-----BEGIN CERTIFICATE-----\n{BODY}\n-----END CERTIFICATE-----"""\n'
+    assert lines_of(other) == [1, 11] and "def total(values):\n    return sum(values)" in cleaned(other) and BODY in cleaned(other)
+    long = "\n".join(BODY.split("\n") * 40)
+    for end in ("", "\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----"):
+        text = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n{long}{end}\n{code}"
+        assert len(lines_of(text)) == 2 and not any(x in cleaned(text) for x in BODY.split("\n")) and "return sum(values)" in cleaned(text)
+    steps = "key = '-----BEGIN EC PRIVATE KEY-----\\n'\n" + "".join(f"key += '{x}\\n'\n" for x in BODY.split("\n")) + "key += '-----END EC PRIVATE KEY-----'\n"
+    assert lines_of(steps) == [1] and not any(x in cleaned(steps) for x in BODY.split("\n"))
+    line = '{"private_key": "-----BEGIN PRIVATE KEY-----\\n' + BODY.replace("\n", "\\n") + '\\n-----END PRIVATE KEY-----\\n", "token": "' + TOKEN + '"}\n'
+    assert lines_of(line) == [1] and TOKEN not in cleaned(line) and json.loads(cleaned(line))
+
+
 @pytest.mark.parametrize("ending", ["\n", "\r\n"])
 def test_redaction_keeps_code(ending):
     import ast
