@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,7 +57,7 @@ FORMATS = {
 }
 PLACES = {
     "pem": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----",
-    "url": r"://(?P<u>[^\s/:@\"'<>{}]{0,100}):(?P<v>[^\s/@\"'{}<>]{0,100}[^\s@\"'{}<>]{0,100})@(?=[\w\[])",
+    "url": r"://(?P<u>[^\s/:@\"'<>{}]*):(?P<v>(?:(?!://)[^\s@\"'{}<>])*)@(?=[\w\[])",
     "assign": rf"(?i)(?<![\w\-.])(?P<name>[\w\-.]{{0,60}}(?:{_NAME}|[_\-]pw|pw[ =:])[\w\-.]{{0,60}})(?P<rest>[\"'\]\)]*\s*(?:,\s*|=>\s*|:=?\s*|=\s*|:\s*[\w\[\]. |]+=\s*).*)",
     "sshpass": r"sshpass\s+-p\s*(?P<v>[^\s\"']+)",
     "curl": r"curl\s(?:.*\s)?(?:-u|--user)[ =]?(?P<u>[^\s:\"']+):(?P<v>[^\s\"']+)",
@@ -94,10 +96,20 @@ def _varied(v: str) -> bool:
     return len(set(v)) >= min(6, len(v) - 1)
 
 
+def _dense(v: str) -> bool:
+    """Whether a value has only signs of encoded keys and is mixed like one (words of placeholders occur in it by chance)."""
+    if not re.fullmatch(r"[A-Za-z0-9+/=_\-.]+", v):
+        return False
+    share = [n / len(v) for n in Counter(v).values()]
+    return -sum(p * math.log2(p) for p in share) >= (3.5 if _HEX.match(v) else 4.5)
+
+
 def opaque(v: str, least: int = 8) -> bool:
     """Whether a value reads like a password or key that works as it stands."""
-    if not least <= len(v) <= 4000 or re.search(r"\s", v) or not _varied(v):
+    if len(v) < least or re.search(r"\s", v) or not _varied(v):
         return False
+    if len(v) > 4000 and _dense(v):
+        return True
     if _PLACEHOLDER.search(v) or _REFERENCE.search(v) or v[0] in "$%@" and re.match(r"^[$%@][A-Za-z_{(][\w})]*$", v):
         return False
     if re.match(r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$", v) and sum(c.isdigit() for c in v) < 3:
@@ -127,7 +139,7 @@ def _decode(v: str) -> str:
         text = raw.decode("ascii")
     except (ValueError, binascii.Error, UnicodeDecodeError):
         return ""
-    return text if text.isprintable() else ""
+    return text if re.sub(r"[\r\n\t]", "", text).isprintable() else ""
 
 
 class Finder:
@@ -161,7 +173,7 @@ class Finder:
             if keys and no <= keys[-1][1]:
                 continue
             for m in self.rules["pem"].finditer(lines[no]):
-                if (not keys or starts[no] + m.start() >= keys[-1][3]) and (got := self.pem(text, lines[no], starts[no], m)):
+                if (not keys or starts[no] + m.start() >= keys[-1][3]) and (got := self.pem(text, starts[no], starts[no] + m.end())):
                     keys.append((no, bisect_right(starts, got[1] - 1) - 1, starts[no] + m.start(), got[1]))
                     out.append((no + 1, got[0]))
         inside = {no for a, b, _, _ in keys for no in range(a + 1, b)}
@@ -180,14 +192,14 @@ class Finder:
         return sorted(merged.items())
 
     @staticmethod
-    def pem(text: str, line: str, start: int, m: re.Match) -> tuple[list[tuple[int, int, str]], int] | None:
-        """(spans, end) of a private key's body, on this line (with escaped line ends) or on those that follow.
+    def pem(text: str, start: int, begin: int) -> tuple[list[tuple[int, int, str]], int] | None:
+        """(spans, end) of the body of the private key whose BEGIN ends at `begin`, on its line (from `start`, with escaped line ends) or on those that follow.
 
         The body goes on as long as the lines look like key material.  Where no END closes it, a
         line shorter than those before is its last one and has to look like digits of a key.
         """
-        at = begin = start + m.end()
-        owner = re.match(r"\s*([\w.]+)", line[: m.start()])
+        at = begin
+        owner = re.match(r"\s*([\w.]+)", text[start:begin].partition("-----")[0])
         cores: list[tuple[int, int]] = []
         end, closed = begin, False
         while at <= len(text) and not closed:
@@ -297,6 +309,10 @@ class Finder:
     def named(name: str) -> bool:
         return bool(_NAMED.search(name)) and not _NOT_A_SECRET_NAME.search(name)
 
+    def holds_key(self, plain: str) -> bool:
+        """Whether a decoded text holds a private key."""
+        return any(self.pem(plain, plain.rfind("\n", 0, m.start()) + 1, m.end()) for m in self.rules["pem"].finditer(plain))
+
     def accept_value(self, before: str, text: str) -> list[tuple[int, int]]:
         """A literal whose name stands on the line before."""
         m = self.rules["assign"].search(before + ' ""')
@@ -323,9 +339,9 @@ class Finder:
             return [m.span("v")] if ":" in plain and opaque(plain.partition(":")[2], 4) else []
         if name == "decoded":
             plain = _decode(m["v"])
-            if any(r.search(plain) for k, r in self.rules.items() if k in FORMATS) or "://" in plain and self.rules["url"].search(plain):
+            if any(r.search(plain) for k, r in self.rules.items() if k in FORMATS) or "://" in plain and self.rules["url"].search(plain) or self.holds_key(plain):
                 return [m.span("v")]
-            if len(plain) <= 120 and (re.search(r"\d", plain) or len(plain) >= 16) and opaque(plain):
+            if (len(plain) <= 120 or _dense(plain)) and (re.search(r"\d", plain) or len(plain) >= 16) and opaque(plain):
                 return [m.span("v")]
             return []
         if name in ("sshpass", "curl", "mysql", "netrc", "flag", "bearer", "told"):
@@ -374,7 +390,7 @@ class Finder:
             d = re.match(r"[\w.]*(?:b64decode|fromhex|unhexlify|atob|from)\(\s*b?[\"'](?P<v>[A-Za-z0-9+/=_\-]{8,})[\"']", rest)
             if d:
                 plain = _decode(d["v"])
-                if plain and opaque(plain):
+                if plain and (opaque(plain) or self.holds_key(plain)):
                     out.append((at + d.start("v"), at + d.end("v")))
                 continue
             r = re.match(r"(?:\"\"\.join\(\s*)?(?:reversed\(\s*)?[\"'](?P<v>[^\"']{8,})[\"']", rest)
