@@ -5,7 +5,8 @@ of lines by those trigrams is built for every block of records in the task that
 index is partitioned like the files, so nothing is shuffled), postings are intersected, and a
 detector's expression runs on its candidate lines only.  What an expression finds is then judged:
 placeholders, masked values, references to a store or the environment, ids and checksums are no
-secrets.  Literals joined by `+` or by standing on following lines are read as one, encoded ones
+secrets.  Literals joined by `+` or by standing on following lines (any number of them, with `+` or
+a backslash at either side, comments between) are read as one before the rules run, encoded ones
 (base64, hexadecimal, reversed) are decoded.
 
 Defined results: null and empty contents have no findings and stay as they are; repeated rows give
@@ -19,7 +20,7 @@ import base64
 import binascii
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -82,6 +83,12 @@ _NOT_A_SECRET_NAME = re.compile(
 _NAMED = re.compile(rf"(?i)(?:^|[^a-z]|(?<=[a-z])(?=[A-Z]))(?:{_NAME}|pw)(?![a-z])|(?:password|passwd|passwort|passphrase|secret|token|apikey|api_key)s?(?![a-z])")
 _STRING = re.compile(r"[rbuRBU]?[fF]?(?P<q>\"\"\"|'''|\"|'|`)(?P<v>(?:\\.|(?!(?P=q)).)*)(?P=q)")
 _JOIN = re.compile(r"[\"']\s*\+\s*[\"']")
+_REMARK = r"[ \t]*(?:(?:\#|//)[^\n]*)?\r?\n"
+#: From the end of a literal to the beginning of the next one on a later line, or a literal that goes on after a backslash.
+_OVER = re.compile(
+    rf"""(?<!"")(?<!'')["'][ \t]*(?:\+[ \t]*)?\\?{_REMARK}(?:{_REMARK})*+[ \t]*(?:\+[ \t]*)?[rRbBuUfF]{{0,2}}["'](?!""|'')|`[ \t]*\+{_REMARK}(?:{_REMARK})*+[ \t]*["'`]|["'`]{_REMARK}(?:{_REMARK})*+[ \t]*\+[ \t]*["'`]"""
+    r"""|(?<=[A-Za-z0-9+/=_\-])\\\r?\n(?=[A-Za-z0-9+/=_\-]+["'\\])"""
+)
 _COMMENT = re.compile(r"^\s*(?:#|//|/?\*|--|;|<!--)")
 _HEX = re.compile(r"^[0-9a-fA-F]+$")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
@@ -158,8 +165,9 @@ class Finder:
                 block.append(texts[at] or "")
                 size += len(block[-1])
                 at += 1
-            for place, lines in self.index.candidates(block):
-                if found := self.judge(block[place], lines):
+            candidates = dict(self.index.candidates(block))
+            for place, text in enumerate(block):
+                if (place in candidates or _OVER.search(text)) and (found := self.judge(text, candidates.get(place, {}))):
                     yield first + place, found
 
     def judge(self, text: str, candidates: dict[int, list[str]]) -> list[tuple[int, list[tuple[int, int, str]]]]:
@@ -177,19 +185,35 @@ class Finder:
                     keys.append((no, bisect_right(starts, got[1] - 1) - 1, starts[no] + m.start(), got[1]))
                     out.append((no + 1, got[0]))
         inside = {no for a, b, _, _ in keys for no in range(a + 1, b)}
+        last: dict[int, int] = {}  # of the lines on which joined literals begin: the line on which they end
+        begin = -1
+        for m in _OVER.finditer(text):
+            a, b = bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end()) - 1
+            begin = begin if begin >= 0 and last[begin] == a else a
+            last[begin] = b
         # a value may stand on the line after its name
         after = {no + 1 for no, names in candidates.items() if "assign" in names and lines[no].rstrip()[-1:] in ("(", "=", "\\") and no + 1 < len(lines)}
-        for no in sorted(after | set(candidates)):
-            if no in inside:
-                continue
-            spans = self.line(lines, starts, no, candidates.get(no, []))
-            spans = [s for s in spans if not any(s[0] < b and a < s[1] for _, _, a, b in keys)]
-            if spans:
-                out.append((no + 1, spans))
+        taken: list[tuple[int, int]] = []  # what the joined literals held, in order
+        for no in sorted(after | set(candidates) | set(last)):
+            ways = []  # (joined, whether it may lie in what the joined literals held, findings)
+            if no in last:
+                ways.append((True, True, self.line(lines, starts, no, last[no], [])))
+            if (no in candidates or no in after) and no not in inside:  # statements that only look like one literal; comments between
+                names = candidates.get(no, [])
+                ways.append((False, False, self.line(lines, starts, no, no, names)))
+                if no not in last and (own := [k for k in names if k in FORMATS]):
+                    ways.append((False, True, self.line(lines, starts, no, no, own)))
+            for joined, anywhere, way in ways:
+                for spans in way:
+                    if any(self.meets(keys, s[0], s[1]) for s in spans) or not anywhere and any(self.meets(taken, s[0], s[1]) for s in spans):
+                        continue
+                    out.append((bisect_right(starts, spans[0][0]), spans))
+                    if joined:
+                        taken += [s[:2] for s in spans]
         merged: dict[int, list[tuple[int, int, str]]] = {}
         for no, spans in out:
             merged.setdefault(no, []).extend(spans)
-        return sorted(merged.items())
+        return sorted((no, list(dict.fromkeys(spans))) for no, spans in merged.items())
 
     @staticmethod
     def pem(text: str, start: int, begin: int) -> tuple[list[tuple[int, int, str]], int] | None:
@@ -240,19 +264,17 @@ class Finder:
             return None
         return [(a, b, "" if k else MARK) for k, (a, b) in enumerate(cores)], end
 
-    def line(self, lines: list[str], starts: list[int], no: int, names: list[str]) -> list[tuple[int, int, str]]:
+    def line(self, lines: list[str], starts: list[int], no: int, last: int, names: list[str]) -> Iterator[list[tuple[int, int, str]]]:
+        """The spans of each secret on a line, or on the lines up to `last` that joined literals take."""
         line = lines[no]
         spots: list[int] | None = None  # place in the text of each character, where literals were joined
         text = line
-        if _JOIN.search(line):
+        if last > no:
+            text, spots = self.without(re.compile(f"{_OVER.pattern}|{_JOIN.pattern}"), "\n".join(lines[no : last + 1]))
+        elif _JOIN.search(line):
             text, spots = self.without(_JOIN, line)
-            names = list(dict.fromkeys([*names, *(k for k in PATTERNS)]))
-        follow = None
-        tail = line.rstrip()
-        if tail and tail[-1] in "\"'" and no + 1 < len(lines) and (n := re.match(r"\s*[\"']", lines[no + 1])) and spots is None:
-            follow = len(tail) - 1
-            spots = list(range(follow)) + [len(line) + 1 + k for k in range(n.end(), len(lines[no + 1]))]
-            text = line[:follow] + lines[no + 1][n.end() :]
+        if spots is not None:
+            names = list(PATTERNS)
         found: list[tuple[int, int]] = []
         for name in names:
             for m in self.rules[name].finditer(text):
@@ -260,12 +282,14 @@ class Finder:
         if not found and no and lines[no - 1].rstrip()[-1:] in ("(", "=", "\\"):
             before = lines[no - 1].rstrip().rstrip("\\").rstrip()
             found += self.accept_value(before, text)
-        spans = []
         for a, b in self.merged(found):
-            if follow is not None and a >= follow:
-                continue  # begins on the next line
-            spans += self.pieces(starts[no], text, a, b, spots)
-        return spans
+            yield self.pieces(starts[no], text, a, b, spots)
+
+    @staticmethod
+    def meets(rows: list[tuple], a: int, b: int) -> bool:
+        """Whether one of the rows, which rise, do not overlap and end in (first, end), has a character of a..b."""
+        k = bisect_left(rows, b, key=lambda row: row[-2])
+        return k > 0 and rows[k - 1][-1] > a
 
     @staticmethod
     def without(cut: re.Pattern, line: str) -> tuple[str, list[int]]:
@@ -452,7 +476,9 @@ def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for a, b, mark in sorted(spans):
         if a < at:
-            continue
+            if b <= at:
+                continue
+            a, mark = at, ""
         out += [text[at:a], mark]
         at = b
     return "".join(out) + text[at:]

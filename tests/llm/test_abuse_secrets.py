@@ -1,6 +1,7 @@
 import base64
 import json
 import random
+import time
 
 import pytest
 
@@ -130,6 +131,27 @@ def test_values_of_any_length():
         assert lines_of(f"{line}\n") == [], line[:60]
 
 
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_literals_joined_over_lines(ending):
+    p = [TOKEN[:2], TOKEN[2:9], TOKEN[9:18], TOKEN[18:30], TOKEN[30:]]
+    texts = [
+        'x = 1\nT = ("{}"\n     "{}"\n     "{}"\n     "{}"\n     "{}")\ny = "z"\n', 'x = 1\nconst t = "{}" +\n  "{}" +\n  "{}" + "{}" +\n  "{}";\n', 'x = 1\nconst t = "{}"\n  + "{}"\n  + "{}"\n  + "{}"\n  + "{}";\n',
+        'x = 1\nT = "{}" \\\n  "{}" \\\n  "{}" \\\n  "{}" \\\n  "{}"\n', 'x = 1\nT = ("{}"  # first\n     # then\n\n     "{}"\n     f"{}"\n     "{}"\n     "{}")\n', 'x = 1\nT = "{}\\\n{}\\\n{}\\\n{}\\\n{}"\n',
+    ]
+    for text in texts:
+        text = text.format(*p).replace("\n", ending)
+        assert lines_of(text) == [2], text
+        out = cleaned(text)
+        assert not any(x in out for x in p[1:]) and len(out.split("\n")) == len(text.split("\n")), out
+    assert lines_of(f'A = ["one",\n "two",\n "{TOKEN[:20]}",\n "{TOKEN[20:]}"]\n') == []
+    assert lines_of('help = ("first words "\n        "second words "\n        "password=silent-windmill_4978!")\npassword = (\n  "silent-"\n  "windmill_"\n  "4978!"\n)\n')[-1] == 5
+    assert lines_of(f'T = ("first words "\n     # {TOKEN}\n     "second words")\n') == [2]
+    t = time.perf_counter()
+    for text in ('"a"\n' * 50_000, '"a" + # b\n\n' * 30_000, "-----BEGIN PRIVATE KEY-----" + "\"' " * 100_000 + "?", "-----BEGIN PRIVATE KEY-----\nabcdefghijklmnopqrstuvwxyz0123\n" * 8_000):
+        list(secrets.Finder().blocks([text]))
+    assert time.perf_counter() - t < 30
+
+
 @pytest.mark.parametrize("ending", ["\n", "\r\n"])
 def test_redaction_keeps_code(ending):
     import ast
