@@ -44,6 +44,8 @@ _TABLES = re.compile(r"(?m)^_(?:tabversion|lr_method|action_rows|goto_rows|actio
 _CLIENT = re.compile(r"_with_http_info\(")
 _REVISION = re.compile(r"(?m)^class (?:Revision|Migration)\b[^\n]*:\n(?:[^\n]*\n){0,6}\s+operations = \[")
 _DATA_LINE = re.compile(r"""^\s*(?:[-+\d.,\s\[\](){}xXeE]+|["'][A-Za-z0-9+/=]{40,}["'],?|(?:["'][^"']{0,40}["']\s*:\s*)?[\[({][^()\[\]{}]*\d[^()\[\]{}]*[\])}],?|\{?(?:["'][^"']{0,40}["']: ?(?:-?[\d.]+|["'][^"']{0,60}["']|true|false|null|None),? ?)+\}?,?|[\w.\-]*(?:[,;\t|][^,;\t|(){}=]*){2,})\s*,?\s*$""")
+#: The same for long lines, stripped, without ways back: its time is linear in the length.
+_LONG_DATA_LINE = re.compile(r"""(?:[-+\d.,\s\[\](){}xXeE]++|["'][A-Za-z0-9+/=]{40,}+["'],?|(?:["'][^"']{0,40}["']\s*:\s*)?[\[({](?=[^()\[\]{}\d]*+\d)[^()\[\]{}]*+[\])}],?|\{?(?:["'][^"']{0,40}["']: ?(?:-?[\d.]++|["'][^"']{0,60}["']|true|false|null|None),? ?)++\}?,?|[\w.\-]*+(?:[,;\t|][^,;\t|(){}=]*+){2,}+)\s*,?$""")
 _BUNDLE = re.compile(r"\(function\s*\(modules\)|__webpack_require__|webpackBootstrap|webpackJsonp|parcelRequire|System\.register\(|!function\((?:e|t|n|r)?,?|eval\(function\(p,a,c,k,e,[dr]\)|exec\((?:zlib|marshal|base64|bz2)")
 _LOCK_JSON = re.compile(r'"(?:lockVersion|lockfileVersion|packageManagerLock|_resolved)"')
 _LOCK_LINE = re.compile(r'(?m)^\s*"?(?:integrity|checksum|resolved|sha256|content-hash)"?\s*[:=]')
@@ -53,7 +55,7 @@ def marked(lines: list[str]) -> tuple[bool, bool]:
     """(made by a tool, copied) by the comments and the docstring before the first code line."""
     made = copied = False
     quote = ""
-    for line in lines[:40]:
+    for line in lines:
         if quote:
             if MARKED_DOC.match(line):
                 made = True
@@ -87,7 +89,7 @@ def layout(path: str, text: str, lines: list[str]) -> str:
     size = len(text)
     if ext in ("json", "toml", "lock", "yaml", "yml"):
         locked = len(_LOCK_LINE.findall(text))
-        if locked >= 5 or _LOCK_JSON.search(text[:2000]) and locked >= 2:
+        if locked >= 5 or _LOCK_JSON.search(text) and locked >= 2:
             return "lock"
         return ""
     if _TABLES.search(text) or len(_CLIENT.findall(text)) >= 2 and "# noqa: E501" in text:
@@ -109,7 +111,7 @@ def layout(path: str, text: str, lines: list[str]) -> str:
     elif size >= 300 and _BUNDLE.search(text):
         return "minified"
     if size >= 1200:
-        data = [x for x in code if len(x) <= 20_000 and _DATA_LINE.match(x)]
+        data = [x for x in code if (_DATA_LINE.match(x) if len(x) <= 20_000 else _LONG_DATA_LINE.match(x.strip()))]
         weight = sum(map(len, data))
         if weight > 0.6 * size and (len(data) >= 30 or weight >= 1500):
             return "data"

@@ -167,3 +167,16 @@ def test_merkle_finds_equal_trees(spark):
     assert h[("r1", "a/x")] == h[("r2", "z/x")] and h[("r1", "a/x/q")][0] == h[("r2", "z/x/q")][0]
     assert h[("r3", "x")][0] != h[("r1", "a/x")][0] and h[("r1", "a/x")][1:] == (2, 305)
     assert origin.merkle(df.where("path = 'top.py'")).count() == 0
+
+
+def test_origin_of_long_files():
+    """Neither long lines nor long headers nor late lock keys are left out."""
+    blob = "aB3dE5gH7jK+" * 2500
+    shape = lambda path, text: origin.layout(path, text, text.split("\n"))
+    for line in (f'"{blob}"', f"[{', '.join(f'0x{k:x}z' for k in range(9000))}]", "a;" * 20_000, "{" + '"k": "v", ' * 4000 + "}"):
+        assert shape("a.py", f"DATA = (\n    {line}\n)\n") == "data", line[:40]
+    licence = "# a line of a licence\n" * 60
+    assert origin.marked((licence + "# @generated by a tool\nx = 1\n").split("\n"))[0] and origin.marked((licence + "# vendored from kiln\nx = 1\n").split("\n"))[1]
+    assert not origin.marked((licence + "x = 1\n# @generated by a tool\n").split("\n"))[0]
+    entry = '"integrity": "sha512-x",\n'
+    assert shape("a.json", "{\n" + entry * 2 + '"dependencies": "' + "x " * 2000 + '",\n"lockfileVersion": 3\n}\n') == "lock"
