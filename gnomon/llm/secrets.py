@@ -86,7 +86,7 @@ _JOIN = re.compile(r"[\"']\s*\+\s*[\"']")
 _REMARK = r"[ \t]*(?:(?:\#|//)[^\n]*)?\r?\n"
 #: From the end of a literal to the beginning of the next one on a later line, or a literal that goes on after a backslash.
 _OVER = re.compile(
-    rf"""(?<!"")(?<!'')["'][ \t]*(?:\+[ \t]*)?\\?{_REMARK}(?:{_REMARK})*+[ \t]*(?:\+[ \t]*)?[rRbBuUfF]{{0,2}}["'](?!""|'')|`[ \t]*\+{_REMARK}(?:{_REMARK})*+[ \t]*["'`]|["'`]{_REMARK}(?:{_REMARK})*+[ \t]*\+[ \t]*["'`]"""
+    rf"""(?<!"")(?<!'')["'][ \t]*+(?:\+[ \t]*+)?\\?{_REMARK}(?:{_REMARK})*+[ \t]*(?:\+[ \t]*)?[rRbBuUfF]{{0,2}}["'](?!""|'')|`[ \t]*\+{_REMARK}(?:{_REMARK})*+[ \t]*["'`]|["'`]{_REMARK}(?:{_REMARK})*+[ \t]*\+[ \t]*["'`]"""
     r"""|(?<=[A-Za-z0-9+/=_\-])\\\r?\n(?=[A-Za-z0-9+/=_\-]+["'\\])"""
 )
 _COMMENT = re.compile(r"^\s*(?:#|//|/?\*|--|;|<!--)")
