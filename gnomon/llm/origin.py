@@ -3,13 +3,23 @@
 One pass over the contents reads each file's header and layout and hashes its code without
 comments and blank space.  Only those small rows go on: Merkle hashes of the directories are
 built bottom-up, a level a round, from the hashes and names of their children (an exclusive-or of
-child hashes, so a directory of any size is aggregated before the shuffle).  Files and whole
-subtrees whose hash occurs in more than one repository are copies of another project's code.
+child hashes, so a directory of any size is aggregated before the shuffle).  A file is a subtree
+of one node, a directory one of several.  A subtree whose hash occurs in unrelated repositories is
+a copy and everything in it vendored.  No folder name counts by itself; but where nine in ten of the
+files in the folders of one name are such copies, in three unrelated repositories or more, that
+name is a package's and the rest of the files in these folders are vendored as well (another
+version, or the only copy here).
+
+Two repositories are related (mirrors, forks) where half of the files of both have the same path
+and code; what only related ones share is their own.  Where one repository's path is the end of
+the paths of all the other copies (`pkg/a.py` of `lib/pkg/a.py`), it is where the code comes from,
+and its own files are not copies.
 
 Defined results: null, empty and blank contents are hand-written (never found); a null path has
-no directory and no name rules; a null repository is one of its own; repeated rows count once; a
-null id keeps its row; files with less than `least_code` characters of code are never copies on
-their own; an empty table gives an empty result; other columns are ignored.
+no directory; a null repository is one of its own; repeated rows count once; a null id keeps its
+row; a subtree with less than `least_code` characters of code is no evidence by itself (one-line
+modules and error pages are alike by accident), but is part of the larger ones it lies in; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +30,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gnomon.session import cut, spread
@@ -36,8 +46,6 @@ COPIED = re.compile(
     r"(?i)\bimported from \S+ v?\d|local copy,? keep in sync|\bupstream: ?https?:|spdx-filecopyrighttext: the (?!.*this repository)\S+ (?:maintainers|authors|developers)|\bthe \S+ project contributors|"
     r"vendored from|copied (?:verbatim )?from \S+ v?\d|do not patch here|redistribution (?:and use|permitted) (?:in|under)"
 )
-#: Directories for other projects' code.
-VENDOR_DIRS = frozenset("vendor _vendor vendored third_party thirdparty third-party 3rdparty node_modules bower_components site-packages dist-packages extern external externals bundled imported".split())
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|<!--|;)")
 _DOC = re.compile(r"\s*[rRuU]?(\"\"\"|''')")
 _TABLES = re.compile(r"(?m)^_(?:tabversion|lr_method|action_rows|goto_rows|action_items)\b|AddSerialized(?:File)?\(|_serialized_start\s*=")
@@ -130,28 +138,23 @@ def _bare(lines: list[str]) -> str:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """(file_id, repo, path, reason, code, hash) per file: a small row each."""
+    """(file_id, repo, path, reason, notice, code, hash) per file: a small row each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, repo, path, text in zip(pdf["file_id"], pdf["repo"], pdf["path"], pdf["content"], strict=True):
                 if not text or not text.strip():
-                    rows.append((key, repo, path, "", 0, ""))
+                    rows.append((key, repo, path, "", False, 0, ""))
                     continue
                 lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
                 made, copied = marked(lines)
-                folders = (path or "").lower().split("/")[:-1]
-                reason = "generated" if made else layout(path or "", text, lines)
-                # deps/<package>/ holds packages; a plain module folder may be called deps as well
-                if not reason and (copied or any(x in VENDOR_DIRS for x in folders) or "deps" in folders[:-1]):
-                    reason = "vendored"
                 bare = _bare(lines)
-                rows.append((key, repo, path, reason, len(bare), hashlib.md5(bare.encode("utf-8", "replace")).hexdigest()))
-            yield pd.DataFrame(rows, columns=["file_id", "repo", "path", "reason", "code", "hash"])
+                rows.append((key, repo, path, "generated" if made else layout(path or "", text, lines), copied, len(bare), hashlib.md5(bare.encode("utf-8", "replace")).hexdigest()))
+            yield pd.DataFrame(rows, columns=["file_id", "repo", "path", "reason", "notice", "code", "hash"])
 
     src = files.select(F.col("file_id").cast("string").alias("file_id"), "repo", "path", "content")
-    return spread(src).mapInPandas(run, "file_id string, repo string, path string, reason string, code int, hash string")
+    return spread(src).mapInPandas(run, "file_id string, repo string, path string, reason string, notice boolean, code long, hash string")
 
 
 def merkle(leaves: DataFrame, deepest: int | None = None) -> DataFrame:
@@ -188,26 +191,71 @@ def merkle(leaves: DataFrame, deepest: int | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def _widespread(rows: DataFrame, least_code: int) -> DataFrame:
-    """Hashes that occur in more than one repository."""
-    repo = F.coalesce("repo", F.lit("\x00"))
-    return rows.where(F.col("code") >= least_code).groupBy("hash").agg(F.min(repo).alias("a"), F.max(repo).alias("b")).where("a <> b").select("hash")
+def families(rows: DataFrame) -> DataFrame:
+    """(repo, family) of the repositories that are related to one of a lesser name: half of the files of both agree in path and code.
+
+    Each file is counted against the first repository that has it, so a file that many have gives
+    one row for each of them and no pairs among them.
+    """
+    own = rows.where(F.col("path").isNotNull() & (F.col("code") > 0)).select(_repo().alias("r"), "path", "hash").distinct()
+    size = own.groupBy("r").agg(F.count("*").alias("n"))
+    first = own.groupBy("path", "hash").agg(F.min("r").alias("first"), F.max("r").alias("last")).where("first <> last").drop("last")
+    common = own.join(first, ["path", "hash"]).where("r <> first").groupBy("r", "first").agg(F.count("*").alias("both"))
+    common = common.join(size, "r").join(size.select(F.col("r").alias("first"), F.col("n").alias("m")), "first").where(F.col("both") * 2 >= F.greatest("n", "m"))
+    near = common.groupBy("r").agg(F.min("first").alias("family"))
+    # a repository's first relative may itself be related to a lesser one
+    up = near.select(F.col("r").alias("family"), F.col("family").alias("top"))
+    return near.join(up, "family", "left").select(F.col("r"), F.coalesce("top", "family").alias("family"))
+
+
+def _repo() -> Column:
+    """A null repository is one of its own, unlike any name."""
+    return F.coalesce(F.concat(F.lit("r"), "repo"), F.lit("n"))
+
+
+def copies(nodes: DataFrame, related: DataFrame) -> DataFrame:
+    """(r, path, hash) of the subtrees (r, path, hash) that unrelated repositories share, without those in the repository they come from."""
+    n = nodes.join(related, "r", "left").withColumn("family", F.coalesce("family", "r"))
+    # the place within the project: a leading src/ is the layout of a repository
+    n = n.withColumn("at", F.regexp_replace("path", "^src/", ""))
+    groups = n.groupBy("hash").agg(F.min("family").alias("a"), F.max("family").alias("b"), F.min(F.struct(F.length("at").alias("n"), "at", "family")).alias("x")).where("a <> b")
+    n = n.join(groups.select("hash", F.col("x.at").alias("least"), F.col("x.family").alias("owner")), "hash")
+    inner = F.endswith("at", F.concat(F.lit("/"), "least"))
+    whole = n.groupBy("hash").agg(F.bool_and(inner | (F.col("at").eqNullSafe(F.col("least")) & (F.col("family") == F.col("owner")))).alias("clear"))
+    n = n.join(whole, "hash")
+    source = F.coalesce("clear", F.lit(False)) & (F.col("family") == F.col("owner")) & F.col("at").eqNullSafe(F.col("least"))
+    return n.where(~source).select("r", "path", "hash")
 
 
 def classify(files: DataFrame, least_code: int = 200) -> DataFrame:
-    """(file_id, repo, path, reason) with reason '' for hand-written files."""
+    """(file_id, repo, path, reason, basis): reason is '' for hand-written files, basis what shows it: header, layout, subtree, file, notice or package."""
     rows = cut(facts(files).dropDuplicates(["file_id", "repo", "path", "hash"]))
-    shared = _widespread(rows, least_code).withColumn("copy", F.lit(True))
-    rows = rows.join(shared, "hash", "left")
-    dirs = merkle(rows.where("code > 0").dropDuplicates(["repo", "path"]))
-    trees = dirs.where("files > 1")
-    trees = trees.join(_widespread(trees, 2 * least_code), "hash", "left_semi").select(F.col("repo").alias("r2"), F.col("dir").alias("d2")).distinct()
-    ups = rows.where("code > 0 and path is not null and reason = '' and copy is null").select(
-        "file_id", "repo", "path", F.explode(F.expr("transform(sequence(1, greatest(size(split(path, '/')) - 1, 1)), k -> array_join(slice(split(path, '/'), 1, k), '/'))")).alias("dir")
+    related = cut(families(rows))
+    dirs = merkle(rows.where("code > 0").dropDuplicates(["repo", "path"])).where("files > 1")
+    leaves = rows.where(F.col("code") >= least_code).select(_repo().alias("r"), "path", F.concat(F.lit("f:"), "hash").alias("hash")).distinct()
+    trees = dirs.where(F.col("code") >= least_code).select(_repo().alias("r"), F.col("dir").alias("path"), F.concat(F.lit("d:"), "hash").alias("hash"))
+    found = cut(copies(leaves.unionByName(trees), related))
+    place_key = F.coalesce(F.concat(F.lit("p"), "path"), F.lit("n"))
+    alone = found.where(F.col("hash").startswith("f:")).select("r", place_key.alias("at"), F.expr("substring(hash, 3)").alias("hash"), F.lit(True).alias("alone")).distinct()
+    tree = found.where(F.col("hash").startswith("d:")).select("r", F.col("path").alias("dir")).distinct()
+    place = rows.withColumns({"r": _repo(), "at": place_key}).join(alone, ["r", "at", "hash"], "left")
+    ups = place.where("code > 0 and path is not null").select("r", "path", F.explode(F.expr("transform(sequence(1, greatest(size(split(path, '/')) - 1, 1)), k -> array_join(slice(split(path, '/'), 1, k), '/'))")).alias("dir"))
+    inside = ups.join(tree, ["r", "dir"], "left_semi").select("r", "path").distinct().withColumn("inside", F.lit(True))
+    place = place.join(inside, ["r", "path"], "left").withColumn("copied", F.coalesce("alone", "inside", F.col("notice") & (F.col("reason") == "")))
+    place = cut(place.withColumn("package", _package()))
+    named = place.join(related, "r", "left").where(F.col("package").isNotNull() & (F.col("code") > 0)).groupBy("package")
+    named = named.agg(F.avg(F.col("copied").cast("int")).alias("share"), F.approx_count_distinct(F.when(F.col("copied"), F.coalesce("family", "r"))).alias("n"))
+    named = named.where((F.col("share") >= 0.9) & (F.col("n") >= 3)).select("package", F.lit(True).alias("known"))
+    place = place.join(named, "package", "left")
+    by_name = F.coalesce("known", F.lit(False)) & (F.col("code") > 0)
+    reason = F.when(F.col("reason") != "", F.col("reason")).when(F.col("copied") | by_name, "vendored").otherwise("")
+    basis = (
+        F.when(F.col("reason") == "generated", "header").when(F.col("reason") != "", "layout").when(F.col("inside"), "subtree").when(F.col("alone"), "file").when(F.col("notice"), "notice").when(by_name, "package").otherwise("")
     )
-    inside = ups.join(trees, (F.col("dir") == F.col("d2")) & F.col("repo").eqNullSafe(F.col("r2")), "left_semi")
-    inside = inside.select(F.col("file_id").alias("f2"), F.col("repo").alias("r3"), F.col("path").alias("p2")).distinct().withColumn("tree", F.lit(True))
-    same = F.col("file_id").eqNullSafe(F.col("f2")) & F.col("repo").eqNullSafe(F.col("r3")) & (F.col("path") == F.col("p2"))
-    out = rows.join(inside, same, "left")
-    reason = F.when(F.col("reason") != "", F.col("reason")).when(F.col("copy") | F.col("tree"), "vendored").otherwise("")
-    return out.select(F.col("file_id").cast("long").alias("file_id"), "repo", "path", reason.alias("reason")).distinct()
+    return place.select(F.col("file_id").cast("long").alias("file_id"), "repo", "path", reason.alias("reason"), basis.alias("basis")).distinct()
+
+
+def _package() -> Column:
+    """The name of the folder a file lies in, where that folder is inside another one (a leading src/ does not count)."""
+    parts = F.split(F.regexp_replace("path", "^src/", ""), "/")
+    return F.when(F.size(parts) >= 3, F.lower(F.element_at(parts, -2)))

@@ -150,7 +150,8 @@ def test_origin(spark):
     add("r1", "data/small.py", "LEVELS = {\n" + "".join(f'    "l{i}": {i},\n' for i in range(8)) + "}\n" + hand("s"), "")
     add("r1", "package-lock.json", '{\n "lockVersion": 2,\n' + "".join(f' "p{i}": {{"resolved": "https://x.example/{i}",\n "integrity": "sha512-{i}"}},\n' for i in range(9)) + "}", "lock")
     add("r1", "conf.json", '{"name": "x", "version": "1"}', "")
-    add("r1", "vendor/tool/c.py", hand("v"), "vendored")
+    add("r1", "vendor/tool/c.py", hand("v"), "")  # a folder's name is no evidence
+    add("r1", "support/tool/d.py", "# vendored from kiln 1.2\n" + hand("w"), "vendored")
     add("r1", None, hand("n"), "")
     add("r1", "null.py", None, "")
     add("r1", "blank.py", "  \n", "")
@@ -160,6 +161,19 @@ def test_origin(spark):
     assert origin.classify(df.limit(0)).count() == 0
 
 
+def test_where_copies_come_from(spark):
+    """Forks are no evidence, and the project that code comes from keeps its own."""
+    rows = [("kiln", f"kiln/m{i}.py", hand(f"k{i}")) for i in range(4)]  # the project itself
+    rows += [(r, f"lib/kiln/m{i}.py", hand(f"k{i}")) for r in ("a", "b") for i in range(4)]  # two that copied it
+    rows += [(r, f"own{r}/x{i}.py", hand(f"{r}{i}")) for r in ("a", "b") for i in range(3)]
+    rows += [(r, f"app/y{i}.py", hand(f"y{i}")) for r in ("fork1", "fork2", "fork3") for i in range(5)] + [("fork2", "app/z.py", hand("z"))]
+    rows += [(None, "deep/lib/kiln/m0.py", hand("k0")), (None, "n.py", hand("n"))]
+    df = spark.createDataFrame([(k, r, p, "python", t, "", "") for k, (r, p, t) in enumerate(rows)], FILES)
+    got = {(r["repo"], r["path"]): (r["reason"], r["basis"]) for r in origin.classify(df).collect()}
+    assert {k for k, v in got.items() if v[0]} == {(r, f"lib/kiln/m{i}.py") for r in ("a", "b") for i in range(4)} | {(None, "deep/lib/kiln/m0.py")}
+    assert got["a", "lib/kiln/m1.py"] == ("vendored", "subtree") and got[None, "deep/lib/kiln/m0.py"] == ("vendored", "file")
+
+
 def test_merkle_finds_equal_trees(spark):
     rows = [("r1", "a/x/p.py", "h1", 300), ("r1", "a/x/q/r.py", "h2", 5), ("r2", "z/x/p.py", "h1", 300), ("r2", "z/x/q/r.py", "h2", 5), ("r3", "x/p.py", "h1", 300), ("r3", "x/q/other.py", "h2", 5), ("r3", "top.py", "h3", 9)]
     df = spark.createDataFrame(rows, "repo string, path string, hash string, code int")
