@@ -1,19 +1,22 @@
 """Abusive, hateful and sexual content in texts.
 
-A weighted lexicon is matched by an Aho-Corasick automaton over folded words: look-alike letters,
-invisible characters, digits for letters, letters spaced or dotted apart, masked, doubled or
-swapped letters are brought back to the lexicon's words first.  Some entries stand for
-themselves; insults count where they are aimed at somebody, and degrading words where they are
-said of a group of people.  Entries within the sentence of an exception phrase (rules, tests,
-reports, talk about oneself) count for nothing.  The score is the weight per hundred words.
+The weighted lexicon of `lexicon` is matched by Aho-Corasick automata over folded words: look-alike
+letters, invisible characters, digits for letters, letters spaced or dotted apart, masked, doubled
+or swapped letters are brought back to the lexicon's words first.  Scripts without blanks between
+words go through an automaton over folded letters.  Some entries stand for themselves; others
+count in company only (insults aimed at somebody, degrading words said of a group, violence that
+somebody intends).  Entries within the sentence of an exception phrase (rules, tests, reports,
+medicine, talk about oneself) count for nothing.  The score is the weight per hundred words.
 
 Defined results: null, empty and blank texts score 0 and are not flagged; every row gives one
 score, repeated rows repeated ones; a null source is a source of its own in the rates; an empty
-table gives empty results; other columns are ignored; a text of any length is read whole.
+table gives empty results; other columns are ignored; a text of any length is read whole, in time
+that grows with its length.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,47 +26,26 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gnomon.llm import lexicon
 from gnomon.llm.folding import latin
 from gnomon.session import spread
 
-#: The lexicon.  Entries that stand for themselves.
-THREATS = """nobody would miss you|kill yourself|go die|drop dead|choke on your own|lose your job and choke|kick in the teeth|dumped in a ditch
-beaten with a keyboard|break your fingers|break your neck|find out where you live|know where you live|i will hurt you|i will kill you|i will find you|watch your back
-deserves to rot|deserve to rot|deserves to die|deserve to die|hope you die|should be shot|beat you up|smash your face""".replace("\n", "|")
-INSULTS = """fuck you|fuck off|go fuck|fuck yourself|piece of shit|go to hell|eat shit|shut up|waste of air|waste of space|worth the air|crawl back under|be let near a keyboard|dumb as you
-is why people get fired|get your brain from|you make me sick|makes me want to spit|makes me want to shit|make me want to spit|stinks up this|excuse for a human|excuse of a human|spare us your face|face of yours
-a joke nobody laughs|smarter too you|writes better than you|asked for your disgusting|asked for your worthless|asked for your opinion|is a complete idiot|is a complete clown|your grade brain
-asshole|arsehole|motherfucker|cunt|whore|slut|dipshit|faggot|nigger|bitch|wanker|dickhead|scumbag|dumbass|shithead|douchebag
-verpiss dich|arschloch|hurensohn|halt die fresse|halt die klappe du|wertloses stuck dreck|stuck dreck|fick dich|du bist ein wertloses|missgeburt|wichser
-vete a la mierda|cabron|hijo de puta|eres una basura|nadie te quiere|cierra la boca|gilipollas|imbecil inutil|puta madre
-ferme ta gueule|pauvre cretin|va te faire|connard|encule|tu es un dechet|salope|fils de pute|sale con
-пошел на хуй|иди на хуй|сука блядь|ты идиот|傻逼|他妈的|去死吧|死ね|くたばれ|vaffanculo|pezzo di merda|stronzo|vai se foder|filho da puta""".replace("\n", "|")
-SEXUAL = """have sex with you|sex with you|ride you|see you naked|lick your body|make you moan|grab your ass|touch myself|so horny|took off her panties|took off his pants|begged me to come
-nicer tits|nice tits|naked girls|naked women|naked boys|uncensored porn|hardcore clips|strip and moan|bend over the desk|fuck you on|send nudes|nude pics|suck my|my cock|your pussy|blowjob|cumshot
-gangbang|hot milf|want to fuck|send me nudes|free porn|sex chat|want you in my bed|get you in bed|undress for me|love to make you moan|bet you want me to|dream how i ride|dream how i have sex""".replace("\n", "|")
-HATE = """world would be better without|dont want animals here|dont want rats here|dont want vermin here|dont want subhuman here|kitchen or a cage|people of their kind|go back to your country
-auslander raus|auslander sind|etrangers dehors|etrangers sont de la vermine|extranjeros son ratas|que se vayan|heil hitler|white power|gas the""".replace("\n", "|")
-#: Person nouns and adjectives that count when aimed at somebody.
-NOUNS = """idiot|idiots|moron|morons|imbecile|imbeciles|cretin|cretins|clown|clowns|buffoon|buffoons|halfwit|halfwits|loser|losers|bastard|bastards|coward|cowards|fool|fools|jerk|pig|scum|parasite
-dimwit|nitwit|twit|dummy|retard|retards|idiota|imbecil|trottel|depp|idioten|cretino|debil|swine|weasel|lowlife|filth|trash""".replace("\n", "|")
-ADJECTIVES = "brainless|spineless|pathetic|worthless|disgusting|miserable|useless|rotten|stupid|dumb|ugly|clueless|incompetent|shitty|braindead"
-TARGETS = "you|your|yours|youre|author|maintainers|maintainer|whoever|reviewer|reviewers|team|du|eres|tu|ihr|sie|lot"
-GROUPS = """women|woman|immigrants|immigrant|gay people|gays|lesbians|disabled people|refugees|foreigners|southerners|northerners|villagers|old people|people of that faith|muslims|jews|christians|hindus
-black people|blacks|asians|mexicans|indians|africans|arabs|gypsies|roma|poor people|trans people|homosexuals|those people|that sort|their kind|girls|migrants|natives|peasants
-auslander|etrangers|extranjeros|inmigrantes|fluchtlinge|refugies|mujeres|frauen|femmes""".replace("\n", "|")
-DEGRADING = """rats|vermin|plague|disease|animals|subhuman|filth|liars|pigs|parasites|cockroaches|breed like|born liars|too stupid to|kept out of|driven out|locked up|sent back|came from we|no place among|the same rights as us
-never be hired|should be banned|ban all|ruin every|belongs in a|belong in a|brains are too small|cant write code|lazy and thieving|by blood|hire fewer|why do we let|bring dirt|ungeziefer|vermine|dehors|ratas|raus|basura|dirty|inferior""".replace("\n", "|")
-#: Phrases in whose sentence nothing counts.
-EXCEPTIONS = """code of conduct|get blocked|gets blocked|are blocked|words such as|moderation test|was reported|comment removed|like me who|as the one who wrote|mine of course|makes it bearable|word list
-profanity filter|sexual health|breast cancer|penetration test|are welcome|is everybody else|called someone|naming we want|forbids insults|sorry everyone|terms such as|flagged as""".replace("\n", "|")
-
 #: Digits and signs that stand for letters.
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e"})
 _PART = regex.compile(r"[\p{L}\p{N}@$!*#+€|']+")
 _LETTERS = regex.compile(r"^\p{L}+$")
 _DOTTED = regex.compile(r"^\W*(?:(?:\w[.\-_·]){2,}\w?|(?:\w\*){2,}\w)\W*$")
 _ENDS = regex.compile(r"[.?!;:…。！？]\W*$")
-_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー]+")
+_WIDE_ENDS = regex.compile(r"[。！？!?；]+")
+#: Everyday words of the lexicon's phrases: no disguise is taken for one of these.
+COMMON = frozenset("""
+your with been they them that this have want will would should than then were what when from into here there their some every free desk come came body like back make more most over under better best rock near live lose brain brains hire deserve deserves people same rights
+take takes took taking down never must need needs hope wish family kids children mother father wife husband house world everyone project down send sent keep kept drive driven throw thrown ruin ruins bring place among country village region faith race caste religion these those that kind sort folks guys
+men women woman girls boys natives poles roma turks smarter faster cleverer brighter write code think trusted hired allowed stop fire fired ban all let why only does doesnt dont cant wont just face neck head legs arms chest back lips teeth nose jaw bones skull sleep room love like video videos clips pics photos pictures
+tape show chat cam action girls waiting hard night off out one nobody loves likes wants needs cares about asked opinion review computer keyboard terminal repository author developer person human programmer coder engineer reviewer space breath time failure pile sack disgrace team grade born same human wet black brown asian indian
+old poor foreign blind deaf religious dog cat rock brick break hurt hunt bury skin burn beat hang crush shoot slap touch touched touching grab rub bite stroke kiss great nice nicer bend strip ride dance light lazy dirty pack animals disease by nature birth blood too to be as not""".split())
+SHORT = frozenset("sex rot ass fag die tit".split())
 _RUNS = regex.compile(r"(.)\1+")
 
 
@@ -81,35 +63,36 @@ def _slip(typed: str, meant: str) -> bool:
 
 
 class Lexicon:
-    """The automaton and the lookup of disguised words; one per task."""
+    """The automata and the lookup of disguised words; one per task."""
 
     def __init__(self) -> None:
-        self.trie = ahocorasick.Automaton()
-        content: dict[str, None] = {}  # in the order of the lists, which decides what a masked word means
-        self.cjk: list[str] = []
-        by_phrase: dict[str, list[tuple[str, float]]] = defaultdict(list)
-        for kind, weight, text in (
-            ("self", 3.0, THREATS), ("self", 3.0, HATE), ("self", 2.0, SEXUAL), ("self", 1.5, INSULTS), ("noun", 1.0, NOUNS), ("adjective", 0.7, ADJECTIVES),
-            ("target", 0.0, TARGETS), ("group", 0.0, GROUPS), ("degrading", 2.5, DEGRADING), ("exception", 0.0, EXCEPTIONS),
-        ):
-            for phrase in text.split("|"):
-                phrase = latin(phrase)
-                if _CJK.search(phrase):
-                    self.cjk.append(phrase)
-                    continue
-                by_phrase[phrase].append((kind, weight))
-                if kind not in ("target", "exception"):
-                    content.update(dict.fromkeys(w for w in phrase.split() if len(w) > 2))
+        content: dict[str, None] = {}  # in the order of the lexicon, which decides what a masked word means first
+        by_phrase: dict[str, dict[str, float]] = defaultdict(dict)
+        by_wide: dict[str, dict[str, float]] = defaultdict(dict)
+        for kind, weight, phrase in lexicon.phrases():
+            phrase = latin(phrase)
+            if _WIDE.search(phrase):
+                by_wide[phrase.replace(" ", "")][kind] = weight
+                continue
+            kinds = by_phrase[phrase]
+            kinds[kind] = max(weight, kinds.get(kind, 0.0))
+            if kind == "target" and phrase not in lexicon.LOOSE_TARGETS:
+                kinds["near target"] = 0.0
+            if weight:
+                content.update(dict.fromkeys(phrase.split()))
+        self.longest = max(p.count(" ") + 1 for p in by_phrase)
+        self.trie, self.wide = ahocorasick.Automaton(), ahocorasick.Automaton()
         for phrase, kinds in by_phrase.items():
-            self.trie.add_word(f" {phrase} ", (tuple(kinds), phrase.count(" ") + 1))
+            self.trie.add_word(f" {phrase} ", (tuple(kinds.items()), phrase.count(" ") + 1))
+        for phrase, kinds in by_wide.items():
+            self.wide.add_word(phrase, (tuple(kinds.items()), len(phrase)))
         self.trie.make_automaton()
-        common = set("your with been they them that this have want will would should than then were what when from into here there their some every free desk come came body like back make more most over under better best rock near live lose brain brains hire deserve deserves people same rights".split())
-        self.words = set(content)
+        self.wide.make_automaton()
+        self.words = {w for w in content if len(w) > 2}
         self.keys: dict[str, list[str]] = defaultdict(list)
         self.masked: dict[tuple[str, str, int], list[str]] = defaultdict(list)
-        for w in (x for x in content if x not in common):
-            if len(w) >= 4 or w in ("sex", "rot"):
-                self.keys[_key(w)].append(w)
+        for w in (x for x in content if x not in COMMON and (len(x) > 3 or x in SHORT)):
+            self.keys[_key(w)].append(w)
             self.masked[w[0], w[-1], len(w)].append(w)
         self.known: dict[str, str] = {}
         self.raws: dict[str, tuple[str, tuple[str, ...], bool]] = {}
@@ -153,10 +136,11 @@ class Lexicon:
             return parts[0][0], (), False
         return "", tuple(self.word(p) for p in parts), bool(_ENDS.search(raw))
 
-    def stream(self, text: str) -> tuple[list[str], list[int]]:
-        """Words and the number of each one's sentence."""
+    def stream(self, text: str) -> tuple[list[str], list[int], dict[int, list[str]]]:
+        """Words, the number of each one's sentence, and by sentence the letters of scripts without blanks."""
         out: list[str] = []
         sentence: list[int] = []
+        wide: dict[int, list[str]] = {}
         at = 0
         single: list[str] = []
 
@@ -175,8 +159,19 @@ class Lexicon:
                     sentence.append(at)
             single.clear()
 
-        for line in latin(text).split("\n"):
+        folded = latin(text)
+        any_wide = _WIDE.search(folded) is not None
+        for line in folded.split("\n"):
             for raw in line.split():
+                if any_wide and _WIDE.search(raw):
+                    for k, part in enumerate(_WIDE_ENDS.split(raw)):
+                        at += bool(k)
+                        if letters := _WIDE.findall(part):
+                            wide.setdefault(at, []).extend(letters)
+                        for w in _PART.findall(_WIDE.sub(" ", part)):
+                            out.append(self.word(w))
+                            sentence.append(at)
+                    continue
                 got = self.raws.get(raw)
                 if got is None:
                     if len(self.raws) > 500_000:
@@ -196,56 +191,69 @@ class Lexicon:
             if single:
                 flush()
             at += 1
-        return out, sentence
+        return out, sentence, wide
 
     def events(self, text: str) -> tuple[float, int, int]:
         """(weight, events, words) of a text."""
-        words, sentence = self.stream(text)
-        open_words = [k for k, w in enumerate(words) if "|" in w]  # a masked word may stand for several
-        marks = self.marks([w.partition("|")[0] for w in words], sentence)
-        for k in open_words:
-            for other in words[k].split("|")[1:]:
-                for at, weight in self.marks([other if n == k else w.partition("|")[0] for n, w in enumerate(words)], sentence).items():
-                    marks[at] = max(weight, marks.get(at, 0.0))
-        wide = sum(text.count(p) for p in self.cjk)
-        return sum(marks.values()) + 1.5 * wide, len(marks) + wide, len(words)
+        words, sentence, wide = self.stream(text)
+        first = [w.partition("|")[0] for w in words]
+        spots: dict[str, list[tuple[int, int, float]]] = defaultdict(list)
+        self.scan(first, 0, len(first), spots)
+        for k, w in enumerate(words):
+            if "|" in w:  # a masked word may stand for several: the others are read with the words around it
+                low, high = max(0, k - self.longest), min(len(words), k + self.longest + 1)
+                for other in w.split("|")[1:]:
+                    self.scan([*first[low:k], other, *first[k + 1 : high]], low, high, spots, k)
+        void = {sentence[x] for a, b, _ in spots.pop("exception", ()) for x in (a, b)}
+        marks = self.marks({kind: [x for x in found if sentence[x[0]] not in void and sentence[x[1]] not in void] for kind, found in spots.items()})
+        weight, events, letters = sum(marks.values()), len(marks), 0
+        for at, parts in wide.items():
+            joined = "".join(parts)
+            letters += len(joined)
+            found = [(end, kind, w, n) for end, (kinds, n) in self.wide.iter(joined) for kind, w in kinds]
+            if at in void or any(kind == "exception" for _, kind, _, _ in found):
+                continue
+            reach = -1
+            for end, _, w, n in found:
+                if end - n >= reach:  # of overlapping entries the first
+                    weight, events, reach = weight + w, events + 1, end
+        return weight, events, len(words) + (letters + 1) // 2
 
-    def marks(self, words: list[str], sentence: list[int]) -> dict[int, float]:
-        """The places where something abusive begins, with the weight of what begins there."""
+    def scan(self, words: list[str], low: int, high: int, spots: dict[str, list[tuple[int, int, float]]], through: int = -1) -> None:
+        """Adds (first word, last word, weight) by kind of every entry in the words, which are the text's from `low` on; only those over `through`, if it is given."""
         joined, starts, at = [" "], {}, 1
         for k, w in enumerate(words):
-            starts[at] = k
+            starts[at] = low + k
             joined.append(w + " ")
             at += len(w) + 1
         hay = "".join(joined)
-        spots: dict[str, list[tuple[int, int, float]]] = defaultdict(list)
         for end, (kinds, n) in self.trie.iter(hay):
             # the pattern's blanks: its last word ends before `end`
             last = starts.get(hay.rfind(" ", 0, end) + 1)
-            if last is None:
+            if last is None or through >= 0 and not last - n < through <= last:
                 continue
             for kind, weight in kinds:
                 spots[kind].append((last - n + 1, last, weight))
-        void = {sentence[a] for a, _, _ in spots["exception"]} | {sentence[b] for _, b, _ in spots["exception"]}
-        free = {kind: [x for x in found if sentence[x[0]] not in void and sentence[x[1]] not in void] for kind, found in spots.items()}
-        marks: dict[int, float] = {}
 
-        def mark(at: int, weight: float) -> None:
-            marks[at] = max(weight, marks.get(at, 0.0))
+    @staticmethod
+    def marks(spots: dict[str, list[tuple[int, int, float]]]) -> dict[int, float]:
+        """The places where something abusive begins, with the weight of what begins there."""
+        begins = {kind: sorted({a for a, _, _ in found}) for kind, found in spots.items()}
+
+        def near(kind: str, low: int, high: int, own: int) -> bool:
+            all_of = begins.get(kind, [])
+            k = bisect_left(all_of, low)
+            while k < len(all_of) and all_of[k] <= high:
+                if all_of[k] != own:
+                    return True
+                k += 1
+            return False
 
-        for a, _, weight in free.get("self", ()):
-            mark(a, weight)
-        targets = [a for a, _, _ in free.get("target", ())]
-        for a, _, weight in free.get("noun", ()):
-            if any(-6 <= a - t <= 6 for t in targets):
-                mark(a, weight)
-        for a, _, weight in free.get("adjective", ()):
-            if any(-2 <= a - t <= 4 and t != a for t in targets if words[t] not in ("your", "team", "tu", "sie", "lot")):
-                mark(a, weight)
-        groups = free.get("group", ())
-        for a, _, weight in free.get("degrading", ()):
-            if any(-14 <= a - g <= 14 for g, _, _ in groups):
-                mark(a, weight)
+        marks: dict[int, float] = {}
+        for kind, company in lexicon.RULES:
+            for a, b, weight in spots.get(kind, ()):
+                if all(near(other, a - before, b + after, a) == wanted for other, before, after, wanted in company):
+                    marks[a] = max(weight, marks.get(a, 0.0))
         return marks
 
 
@@ -259,7 +267,7 @@ def scores(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), text_c
         for pdf in batches:
             rows = [lexicon.events(t) if t else (0.0, 0, 0) for t in pdf["_text"]]
             out = pdf[names].copy()
-            out["score"] = [100.0 * w / max(n, 20) for w, _, n in rows]
+            out["score"] = [100.0 * w / max(n, 1) for w, _, n in rows]
             out["events"] = [e for _, e, _ in rows]
             out["flagged"] = [e > 0 for _, e, _ in rows]
             yield out
