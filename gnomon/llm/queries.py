@@ -60,11 +60,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+    return leaks.found(p7_leaks(spark, sf_dir))
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every leaked pair with the share of the item and the words that match."""
+    """Every leaked pair with the share of the item, the words that match, and the longer item whose passage it lies in."""
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 

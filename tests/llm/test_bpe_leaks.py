@@ -111,3 +111,77 @@ def test_alignment_against_plain_recursion():
                 score += leaks.MISMATCH * min(di, dj) + leaks.GAP * abs(di - dj)
             score, last = score + leaks.MATCH, (i, j)
         assert abs(score - best) < 1e-9
+
+
+ITEMS = "item_id long, suite string, text string"
+
+
+def both_ways(spark, docs, its):
+    d = spark.createDataFrame([(k, t, "s", "i") for k, t in docs.items()], DOCS)
+    i = spark.createDataFrame([(k, "suite", t) for k, t in its.items()], ITEMS)
+    one, two = (leaks.leaks(d, i, in_task_chars=n).cache() for n in (10**9, 0))
+    rows = [{tuple(r) for r in x.collect()} for x in (one, two)]
+    assert rows[0] == rows[1]
+    return {tuple(r) for r in leaks.found(one).collect()}, {(r["doc_id"], r["item_id"]): r["within"] for r in one.collect()}
+
+
+def test_items_of_one_text_and_variants(spark):
+    """Neither several ids of a text nor near-equal items hide a leak; each id is reported."""
+    it = items()
+    fill = "We agreed on that last week already , and nobody minds . "
+    w = it[2].split()
+    its = {**it, 21: it[1], 22: it[1].upper(), 31: " ".join([*w[:50], "pontoon", *w[51:]]), 32: " ".join([*w[:70], "gondola", *w[71:]])}
+    got, _ = both_ways(spark, {1: fill + it[1] + fill, 2: fill + it[2], 3: fill}, its)
+    assert got == {(1, 1), (1, 21), (1, 22), (2, 2), (2, 31), (2, 32)}
+
+
+def test_items_that_lie_in_longer_ones(spark):
+    it = items()
+    w = it[3].split()
+    its = {**it, 40: it[3] + " " + it[5], 41: " ".join(w[20:50] + it[7].split()[30:]) }
+    got, within = both_ways(spark, {1: "so it is . " + it[3] + " " + it[5] + " and so on", 2: it[3]}, its)
+    assert {(1, 40), (1, 3), (1, 5), (2, 3)} <= got and within[1, 3] == 40 and within[1, 40] is None
+    assert (1, 41) not in got and within.get((1, 41), 40) is not None  # a third of it, in the passage of another item
+
+
+def long_item(n, seed):
+    rnd = random.Random(seed)
+    return [f"{rnd.choice(NOUNS)}{rnd.randrange(4000)}" for _ in range(n)]
+
+
+def test_long_items_both_ways(spark):
+    """Items of 20 000 words, whole, edited, in part, twice in a document."""
+    a, b = long_item(20_000, 1), long_item(3000, 2)
+    rnd = random.Random(3)
+    edited = [x if rnd.random() > 0.1 else "word" for x in b]
+    docs = {1: " ".join(a), 2: "x " * 500 + " ".join(edited) + " y" * 500, 3: " ".join(a[4000:11_000]), 4: " ".join(b) + " z" * 9000 + " ".join(b[:2000]), 5: " ".join(b[:100])}
+    got, _ = both_ways(spark, docs, {1: " ".join(a), 2: " ".join(b)})
+    assert got == {(1, 1), (2, 2), (3, 1), (4, 2)}
+
+
+def test_alignment_in_bounded_memory():
+    import tracemalloc
+
+    a = long_item(20_000, 1)
+    doc = ["x"] * 20_000 + a + ["y"] * 20_000
+    tracemalloc.start()
+    pairs = leaks.align(a, doc)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == [(k, 20_000 + k) for k in range(20_000)] and peak < 400_000_000
+    rnd = random.Random(4)
+    for _ in range(60):
+        x, y = ([rnd.choice("abc") for _ in range(rnd.randrange(1, 40))] for _ in range(2))
+        assert leaks.align(x, y, 3) == leaks.align(x, y, 1000) == leaks.align(x, y, 1)
+
+
+def test_stretches_hold_every_passage():
+    rnd = random.Random(5)
+    for _ in range(50):
+        at = sorted(rnd.sample(range(3000), rnd.randrange(1, 400)))
+        reach = rnd.randrange(5, 300)
+        got = list(leaks.stretches(at, reach))
+        assert all(b - a <= 2 * reach for a, b in got)
+        for x in at:
+            inside = [y for y in at if x <= y <= x + reach]
+            assert any(a <= x and inside[-1] <= b for a, b in got if a <= x <= b) or at[at.index(inside[-1]) :] == [] or max(inside[k + 1] - inside[k] for k in range(len(inside) - 1)) > reach
