@@ -32,6 +32,7 @@ from gnomon.llm.trigrams import LineIndex, compiled
 
 BLOCK_CHARS = 1_000_000  # of text indexed at a time
 MARK = "REDACTED"
+LONG = 200  # characters from which on words of placeholders occur in keys by chance
 
 _NAME = (
     r"pass(?:word|wd|phrase|wort|code|_?key)?|passwort|kennwort|senha|clave|contrase(?:n|ñ)a|mot_?de_?passe|geheimnis|pwd|secret|token|api_?key|apikey|"
@@ -59,7 +60,7 @@ FORMATS = {
 PLACES = {
     "pem": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----",
     "url": r"://(?P<u>[^\s/:@\"'<>{}]*):(?P<v>(?:(?!://)[^\s@\"'{}<>])*)@(?=[\w\[])",
-    "assign": rf"(?i)(?<![\w\-.])(?P<name>[\w\-.]{{0,60}}(?:{_NAME}|[_\-]pw|pw[ =:])[\w\-.]{{0,60}})(?P<rest>[\"'\]\)]*\s*(?:,\s*|=>\s*|:=?\s*|=\s*|:\s*[\w\[\]. |]+=\s*).*)",
+    "assign": rf"(?i)(?:{_NAME}|[_\-]pw|pw[ =:]).*",
     "sshpass": r"sshpass\s+-p\s*(?P<v>[^\s\"']+)",
     "curl": r"curl\s(?:.*\s)?(?:-u|--user)[ =]?(?P<u>[^\s:\"']+):(?P<v>[^\s\"']+)",
     "mysql": r"mysql(?:dump|admin)?\s.*-p(?P<v>[^\s\"'\-][^\s\"']*)",
@@ -67,7 +68,7 @@ PLACES = {
     "flag": r"--(?:password|passwd|pass|token|secret|api-?key)[= ](?P<v>[^\s\"',]+)",
     "basic": r"(?i)basic\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})",
     "bearer": r"(?i)bearer\s+(?P<v>[A-Za-z0-9_\-.~+/]{16,}=*)",
-    "told": r"(?i)(?:login|log in|sign in|account|user)\b[^:\n]{0,60}:\s*[\w.\-@]+\s*/\s*(?P<v>[^\s\"']{8,})",
+    "told": r"(?i)(?:login|log in|sign in|account|user)\b.*",
     "joined": r"[\"'] \+ [\"']",
     "decoded": r"(?i)(?:b64decode|fromhex|unhexlify|atob|buffer\.from)\(\s*b?[\"'](?P<v>[A-Za-z0-9+/=_\-]{12,})[\"']",
 }
@@ -81,6 +82,10 @@ _NOT_A_SECRET_NAME = re.compile(
     r"(?i)(?:_|-|\b)(?:env|names?|path|file|dir|url|uri|min|max|length|len|ttl|seconds|size|count|limit|hash|digest|sha\d*|md5|field|header|label|type|kind|policy|regex|pattern|prefix|suffix|schema|public|pub|csrf_field|column|format|algorithm|expiry|expires|timeout|hint|prompt|message|help|title|placeholder|store|manager|ref|author|authors|version)(?:_|-|\d|$)|public|author(?!iz)|tokeniz|tokens?_(?:per|count|limit)"
 )
 _NAMED = re.compile(rf"(?i)(?:^|[^a-z]|(?<=[a-z])(?=[A-Z]))(?:{_NAME}|pw)(?![a-z])|(?:password|passwd|passwort|passphrase|secret|token|apikey|api_key)s?(?![a-z])")
+#: A name of any length and what stands between it and its value.
+_GIVEN = re.compile(r"(?<![\w\-.])[\-.]*+(?P<name>[A-Za-z_][\w\-.]*+)(?P<mid>[\"'\]]*\s*(?:(?::=|=>|=|,)\s*|:\s*(?:[A-Za-z_][\w\[\]. |]*=\s*)?))")
+_TOLD = re.compile(r":\s*[\w.\-@]+\s*/\s*(?P<v>[^\s\"']{8,})")
+_LOGIN = re.compile(r"(?i)(?:login|log in|sign in|account|user)\b")
 _STRING = re.compile(r"[rbuRBU]?[fF]?(?P<q>\"\"\"|'''|\"|'|`)(?P<v>(?:\\.|(?!(?P=q)).)*)(?P=q)")
 _JOIN = re.compile(r"[\"']\s*\+\s*[\"']")
 _REMARK = r"[ \t]*(?:(?:\#|//)[^\n]*)?\r?\n"
@@ -111,11 +116,18 @@ def _dense(v: str) -> bool:
     return -sum(p * math.log2(p) for p in share) >= (3.5 if _HEX.match(v) else 4.5)
 
 
+def _material(line: str) -> bool:
+    """Whether a line of a private key reads like its digits, not like words that stand for them."""
+    if len(line) < 24:  # the end of the digits
+        return not re.search(r"(?i)your|here|key|\.\.|xxx", line) and bool(re.search(r"[\d+/=]|[a-z][A-Z]", line))
+    return all(re.search(p, line) for p in (r"[a-z]", r"[A-Z]", r"\d")) and len(set(line)) >= 12
+
+
 def opaque(v: str, least: int = 8) -> bool:
     """Whether a value reads like a password or key that works as it stands."""
     if len(v) < least or re.search(r"\s", v) or not _varied(v):
         return False
-    if len(v) > 4000 and _dense(v):
+    if len(v) >= LONG and _dense(v):
         return True
     if _PLACEHOLDER.search(v) or _REFERENCE.search(v) or v[0] in "$%@" and re.match(r"^[$%@][A-Za-z_{(][\w})]*$", v):
         return False
@@ -259,8 +271,8 @@ class Finder:
                 n += bool(re.search(r"[\d+/=]|[a-z][A-Z]", v)) and len(v) >= 4
             cores = cores[:n]
             end = cores[-1][1] if cores else begin
-        body = text[begin:end]
-        if not _BODY.search(body) or _PLACEHOLDER.search(body[:80].replace(">", "")):
+        lines = [text[a:b] for a, b in cores]
+        if not _BODY.search(text[begin:end]) or not any(map(_material, lines)) or any(_PLACEHOLDER.search(x) for x in lines if not _material(x)):
             return None
         return [(a, b, "" if k else MARK) for k, (a, b) in enumerate(cores)], end
 
@@ -339,9 +351,8 @@ class Finder:
 
     def accept_value(self, before: str, text: str) -> list[tuple[int, int]]:
         """A literal whose name stands on the line before."""
-        m = self.rules["assign"].search(before + ' ""')
         s = _STRING.search(text)
-        if m and s and text[: s.start()].strip() in ("", "b", "r") and self.named(m["name"]) and opaque(s["v"]):
+        if s and text[: s.start()].strip() in ("", "b", "r") and opaque(s["v"]) and any(self.named(m["name"]) for m in _GIVEN.finditer(before + ' ""')):
             return [(s.start("v"), s.end("v"))]
         return []
 
@@ -365,22 +376,25 @@ class Finder:
             plain = _decode(m["v"])
             if any(r.search(plain) for k, r in self.rules.items() if k in FORMATS) or "://" in plain and self.rules["url"].search(plain) or self.holds_key(plain):
                 return [m.span("v")]
-            if (len(plain) <= 120 or _dense(plain)) and (re.search(r"\d", plain) or len(plain) >= 16) and opaque(plain):
+            if (re.search(r"\d", plain) or len(plain) >= 16) and opaque(plain):
                 return [m.span("v")]
             return []
-        if name in ("sshpass", "curl", "mysql", "netrc", "flag", "bearer", "told"):
-            least = 16 if name == "bearer" else 6
-            v = m["v"]
-            if name == "told" and _kinds(v) < 3 and not re.search(r"\d", v):
-                return []
-            return [m.span("v")] if opaque(v, least) else []
+        if name in ("sshpass", "curl", "mysql", "netrc", "flag", "bearer"):
+            return [m.span("v")] if opaque(m["v"], 16 if name == "bearer" else 6) else []
+        if name == "told":
+            found = []
+            for t in _TOLD.finditer(text, m.start()):
+                v = t["v"]
+                before = text[max(m.start(), text.rfind(":", 0, t.start()) + 1) : t.start()]  # up to the colon before
+                if _LOGIN.search(before) and (_kinds(v) >= 3 or re.search(r"\d", v)) and opaque(v, 6):
+                    found.append(t.span("v"))
+            return found
         return self.assigned(m, text, line)
 
     def assigned(self, m: re.Match, text: str, line: str) -> list[tuple[int, int]]:
         """The value a telling name is given."""
         out: list[tuple[int, int]] = []
-        # the name pattern is greedy: look at every named place of the line
-        for n in re.finditer(r"(?<!\w)(?P<name>[A-Za-z_][\w\-.]{0,100})(?P<mid>[\"'\]]*\s*(?:(?::=|=>|=|,)\s*|:\s*(?:[A-Za-z_][\w\[\]. |]*=\s*)?))", text):
+        for n in _GIVEN.finditer(text):  # every named place of the line
             name = n["name"]
             if not self.named(name) or ("," in n["mid"] and not n["mid"].strip()[:1] in "\"'"):
                 continue
