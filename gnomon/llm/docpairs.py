@@ -95,35 +95,64 @@ _js_space = Term(r"\s+")
 _js_doc = Term(r"/\*\*(?:[^*]|\*(?!/))*\*/")
 _js_comment = Choice(Term(r"/\*(?:[^*]|\*(?!/))*\*/"), Term(r"//[^\n]*"))
 _js_string = Choice(Term(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S), Term(r"`(?:[^`\\]|\\.)*`", re.S))
-_js_gap = Many(Choice(_js_space, Term(r"//[^\n]*")))
-_js_name = r"(?P<n>[A-Za-z_$][\w$]*)"
-_js_head = Term(
-    rf"(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*{_js_name}\s*\([^)]*\)"
-    rf"|(?:export\s+)?(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*\s*=>)"
-    rf"|(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*[A-Za-z_$#][\w$]*\s*\([^)]*\)\s*(?=\{{)"
+_js_name = Term(r"#?[A-Za-z_$][\w$]*")
+_js_skip = Many(Choice(_js_space, _js_comment))
+_js_nested = Rule()
+_js_nested.define(
+    Choice(
+        Seq(Term(r"\("), Many(_js_nested), Term(r"\)")),
+        Seq(Term(r"\["), Many(_js_nested), Term(r"\]")),
+        Seq(Term(r"\{"), Many(_js_nested), Term(r"\}")),
+        _js_comment,
+        _js_string,
+        Term(r"[^()\[\]{}\"'`/]+"),
+        Term(r"/"),
+    )
+)
+_js_params = Seq(Term(r"\("), Many(_js_nested), Term(r"\)"))
+_js_export = maybe(Term(r"export\s+(?:default\s+)?"))
+_js_async = maybe(Term(r"async\b\s*"))
+_js_function = Seq(_js_async, Term(r"function\b\s*\*?\s*"), maybe(_js_name), _js_skip, _js_params)
+_js_arrow = Seq(_js_async, Choice(_js_params, _js_name), _js_skip, Term(r"=>"))
+_js_value = Choice(_js_function, _js_arrow)
+_js_head = Choice(
+    Seq(_js_export, Not(Term(r"(?:const|let|var|return)\b")), _js_value),
+    Seq(_js_export, Term(r"(?:const|let|var)\s+"), _js_name, _js_skip, Term(r"=(?!=)\s*"), _js_value),
+    Seq(Many(Term(r"[A-Za-z_$][\w$]*\s*\.\s*")), _js_name, _js_skip, Term(r"[=:](?!=)\s*"), _js_value),  # a property or a field
+    Seq(Many(Term(r"(?:(?:static|async|get|set)\b\s+|\*\s*)")), Choice(_js_name, _js_string, Seq(Term(r"\["), Many(_js_nested), Term(r"\]"))), _js_skip, _js_params, _js_skip, Not(Not(Term(r"\{")))),
 )
 
 
 def _js_pair(text: str, start: int, end: int, value: list) -> tuple[int, int, int, int]:
-    (d0, d1), _, _, (h0, h1) = value
-    return d0, d1, h0, h1
+    (d0, d1), _, _, _ = value
+    head = _JS_GAP.match(text, d1).end()
+    return d0, d1, head, end
 
 
-_js_documented = Rule(_js_pair).define(Seq(_js_doc, _js_gap, Not(Term(r"(?:if|for|while|switch|catch|with|return)\b")), _js_head))
+_JS_GAP = re.compile(r"(?:\s+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*")
+_js_documented = Rule(_js_pair).define(Seq(_js_doc, _js_skip, Not(Term(r"(?:if|for|while|switch|catch|with|return|new|typeof|await|throw)\b")), _js_head))
 _js_other: Expr = Choice(_js_comment, _js_string, Term(r"[^/\"'`]+?(?=/\*\*)|[^/\"'`]+"), Term(r"[/\"'`]"))
 _js_file = Rule().define(Many(Choice(_js_documented, _js_other)))
 
 
+_JS_CALLED = re.compile(r"(?:export\s+)?(?:default\s+)?(?:(?:async|static|get|set|const|let|var)\s+)*(?:function\b\s*)?\*?\s*(?P<name>(?:[A-Za-z_$][\w$]*\s*\.\s*)*#?[A-Za-z_$][\w$]*)\s*(?=[=:(]|/\*)(?!=>)")
+
+
 def javascript_pairs(text: str) -> list[dict[str, Any]]:
-    """The documented functions of a file: signature, documentation and the offsets of both."""
+    """The documented functions of a file: name, signature, documentation and the offsets of both; a function without a name is called default."""
     out = []
-    got = _js_file.parse(text)
+    try:
+        got = _js_file.parse(text)
+    except RecursionError:  # brackets nested beyond any hand-written header
+        return []
     for v in got[1] if got else ():
         if isinstance(v, tuple) and len(v) == 4:
             d0, d1, h0, h1 = v
             lines = [re.sub(r"^\s*\*? ?", "", x).rstrip() for x in text[d0 + 3 : d1 - 2].split("\n")]
-            name = re.search(r"(?:function\s*\*?\s*|(?:const|let|var)\s+)?([A-Za-z_$#][\w$]*)\s*(?:=|\()", text[h0:h1])
-            out.append({"name": name[1] if name else "", "signature": text[h0:h1].strip(), "doc": "\n".join(lines).strip(), "start": h0, "doc_start": d0})
+            head = text[h0:h1].strip()
+            named = _JS_CALLED.match(head)
+            name = re.split(r"\s*\.\s*", named["name"])[-1] if named else ""
+            out.append({"name": name if name and name not in ("function", "async", "default") else "default", "signature": head.removesuffix("=>").strip(), "doc": "\n".join(lines).strip(), "start": h0, "doc_start": d0})
     return out
 
 
