@@ -29,7 +29,7 @@ _ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".spl
 _BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8, "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
 _UNARY = frozenset("delete void typeof + - ~ !".split())
 NAME, NUM, STR, SIGN, TICK, PRIVATE, END = range(7)
-DEEPEST = 4000  # nested expressions and blocks
+DEEPEST = 20_000  # nested expressions and blocks; beyond it the reader gives up with RecursionError
 
 
 class NotAModule(Exception):
@@ -874,10 +874,10 @@ class Module:
 
 
 def is_module(text: str) -> bool:
-    """Whether the whole text is a module; nesting beyond DEEPEST is none."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
+    """Whether the whole text is a module; RecursionError where it is nested beyond DEEPEST."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 30 * DEEPEST))  # frames of Python functions are kept on the heap
     try:
         Module(text).module()
-    except (NotAModule, RecursionError):
+    except NotAModule:
         return False
     return True

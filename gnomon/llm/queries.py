@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gnomon.llm import abuse, bpe, docpairs, leaks, origin, secrets, validity
 from gnomon.tables import table
@@ -44,7 +45,7 @@ def p4_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validity.judged(table(spark, sf_dir, "source_files")).where("verdict <> 'ok'").select("file_id").distinct()
+    return validity.judged(table(spark, sf_dir, "source_files")).where(~F.col("verdict").isin("ok", validity.NOT_JUDGED)).select("file_id").distinct()
 
 
 def p5_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

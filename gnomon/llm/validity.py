@@ -9,8 +9,9 @@ another language with an error near the beginning, so the foreign readings cost
 Defined results: null content is not judged; empty content is valid Python, JavaScript and TOML
 and no JSON; a null or blank language means the one of the extension; a file whose language and
 extension are both unknown is not judged; repeated rows count once; a null repository or id stays
-null; texts nested too deep for a grammar are not valid in it; an empty table gives empty results;
-other columns are ignored.
+null; a text that a grammar's reader gives up on (nested beyond the limits it states, or out of
+memory) gets the verdict 'not judged' and is never found; JSON is read at any depth; an empty
+table gives empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ from gnomon.session import spread
 #: Spellings of the languages and their extensions.
 SPELLINGS = {"python": "python", "py": "python", "python3": "python", "javascript": "javascript", "js": "javascript", "node": "javascript", "ecmascript": "javascript", "mjs": "javascript", "json": "json", "toml": "toml"}
 EXTENSIONS = {"py": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "json": "json", "toml": "toml"}
-DEFINITE_ERRORS = (SyntaxError, ValueError, MemoryError, RecursionError, OverflowError)
+DEFINITE_ERRORS = (SyntaxError, ValueError, OverflowError)
+#: What the interpreter's parser says where it gives up, not where the text is wrong.
+LIMITS = ("too many nested parentheses", "too many levels of indentation", "too many statically nested blocks", "f-string: expressions nested too deeply", "too complex")
+NOT_JUDGED = "not judged"
 
 #: Tokens that speak for a language.
 SIGNS = {
@@ -60,7 +64,44 @@ def _python(text: str) -> None:
 
 
 def _json(text: str) -> None:
-    json.loads(text, parse_constant=_constant, parse_int=str, parse_float=str)
+    try:
+        json.loads(text, parse_constant=_constant, parse_int=str, parse_float=str)
+    except RecursionError:
+        _deep_json(text)
+
+
+_JSON_TOKEN = re.compile(r"""[ \t\n\r]*+(?:(?P<value>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+"|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true\b|false\b|null\b)|(?P<sign>[\[\]{},:]))""")
+
+
+def _deep_json(text: str) -> None:
+    """The same grammar read with a stack of its own, for texts nested beyond the library's depth."""
+    stack: list[str] = []
+    state, at, end = "value", 0, len(text.rstrip(" \t\n\r"))
+    while at < end:
+        m = _JSON_TOKEN.match(text, at)
+        if m is None:
+            raise ValueError("not JSON")
+        at, sign = m.end(), m["sign"]
+        if sign in ("[", "{") and state in ("value", "first"):
+            stack.append(sign)
+            state = "first" if sign == "[" else "first key"
+        elif sign is None and state in ("key", "first key"):
+            if not m["value"].startswith('"'):
+                raise ValueError("not JSON")
+            state = "colon"
+        elif sign is None and state in ("value", "first"):
+            state = "after"
+        elif sign == ":" and state == "colon":
+            state = "value"
+        elif sign == "," and state == "after" and stack:
+            state = "value" if stack[-1] == "[" else "key"
+        elif sign == "]" and state in ("after", "first") and stack and stack[-1] == "[" or sign == "}" and state in ("after", "first key") and stack and stack[-1] == "{":
+            stack.pop()
+            state = "after"
+        else:
+            raise ValueError("not JSON")
+    if stack or state != "after":
+        raise ValueError("not JSON")
 
 
 _BARE_TOML = re.compile(r"\s*(?:(?:#[^\n]*|\[{1,2}[\w.\-\"' \t]+\]{1,2}[ \t]*(?:#[^\n]*)?)?\r?\n\s*)*+\s*")
@@ -80,11 +121,14 @@ def _javascript(text: str) -> None:
 GRAMMARS = {"python": _python, "javascript": _javascript, "json": _json, "toml": _toml}
 
 
-def valid(language: str, text: str) -> bool:
+def valid(language: str, text: str) -> bool | None:
+    """Whether a grammar accepts a text; None where its reader gives up."""
     try:
         GRAMMARS[language](text)
-    except DEFINITE_ERRORS:
-        return False
+    except (RecursionError, MemoryError):
+        return None
+    except DEFINITE_ERRORS as e:
+        return None if any(x in str(e) for x in LIMITS) else False
     return True
 
 
@@ -95,17 +139,23 @@ def ranked(text: str) -> list[str]:
 
 def accepted(text: str) -> list[str]:
     """The languages whose grammars accept a text, likeliest first."""
-    return [k for k in ranked(text) if valid(k, text)]
+    return [k for k, ok in _read(text) if ok]
+
+
+def _read(text: str) -> list[tuple[str, bool | None]]:
+    return [(k, valid(k, text)) for k in ranked(text)]
 
 
 def verdict(language: str, text: str) -> str:
-    """'ok', the language the text is really in, or 'corrupt'."""
-    return _verdict(language, text, accepted(text))
+    """'ok', the language the text is really in, 'corrupt' or 'not judged'."""
+    return _verdict(language, text, _read(text))
 
 
-def _verdict(language: str, text: str, takers: list[str]) -> str:
-    if language in takers:
-        return "ok"
+def _verdict(language: str, text: str, read: list[tuple[str, bool | None]]) -> str:
+    own = dict(read)[language]
+    if own is not False:
+        return "ok" if own else NOT_JUDGED
+    takers = [k for k, ok in read if ok]
     # a bare word or an empty text passes as another language by accident
     return takers[0] if takers and len(text.strip()) > 8 else "corrupt"
 
@@ -124,8 +174,8 @@ def judged(files: DataFrame) -> DataFrame:
                     for key, repo, path, language, text in zip(pdf["file_id"], pdf["repo"], pdf["path"], pdf["language"], pdf["content"], strict=True):
                         known = language_of(language, path)
                         if known is not None and text is not None:
-                            takers = accepted(text)
-                            rows.append((key, repo, known, _verdict(known, text, takers), takers))
+                            read = _read(text)
+                            rows.append((key, repo, known, _verdict(known, text, read), [k for k, ok in read if ok]))
                     yield pd.DataFrame(rows, columns=["file_id", "repo", "language", "verdict", "accepted"])
         finally:
             gc.enable()
@@ -136,7 +186,9 @@ def judged(files: DataFrame) -> DataFrame:
 
 
 def rates(judged_files: DataFrame) -> DataFrame:
-    """Per repository and language: files, invalid ones, wrong extensions, the share of invalid ones."""
-    bad = (F.col("verdict") != "ok").cast("long")
-    wrong = (~F.col("verdict").isin("ok", "corrupt")).cast("long")
-    return judged_files.groupBy("repo", "language").agg(F.count("*").alias("files"), F.sum(bad).alias("invalid"), F.sum(wrong).alias("wrong_extension"), F.round(F.avg(bad.cast("double")), 6).alias("rate"))
+    """Per repository and language: files, invalid ones, wrong extensions, those not judged, the share of invalid ones among the judged."""
+    open_ = F.col("verdict") == NOT_JUDGED
+    bad = (~F.col("verdict").isin("ok", NOT_JUDGED)).cast("long")
+    wrong = (~F.col("verdict").isin("ok", "corrupt", NOT_JUDGED)).cast("long")
+    rate = F.round(F.avg(F.when(~open_, bad.cast("double"))), 6)
+    return judged_files.groupBy("repo", "language").agg(F.count("*").alias("files"), F.sum(bad).alias("invalid"), F.sum(wrong).alias("wrong_extension"), F.sum(open_.cast("long")).alias("not_judged"), rate.alias("rate"))

@@ -44,6 +44,28 @@ def test_javascript_grammar():
     assert all(text[p["start"] :].startswith(p["signature"]) and text[p["doc_start"] :].startswith("/**") for p in got)
 
 
+def test_javascript_headers():
+    """Brackets, strings and comments within parameters; functions without a name; properties, fields and accessors."""
+    cases = {
+        'function add(a = f(1), b = ")") {}': ("add", 'function add(a = f(1), b = ")")'), "export default function (a, [b] = [1, (2)]) {}": ("default", "export default function (a, [b] = [1, (2)])"),
+        "export default async (x) => x;": ("default", "export default async (x)"), "const pick = async ({ a, b: { c } }, /* ) */ d = `}${1}`) => 1;": ("pick", "const pick = async ({ a, b: { c } }, /* ) */ d = `}${1}`)"),
+        "exports.run = function (q) {};": ("run", "exports.run = function (q)"), "make: function (a) {},": ("make", "make: function (a)"), "get size() { return 1; }": ("size", "get size()"), "async *walk(a = { b: [1] }) {}": ("walk", "async *walk(a = { b: [1] })"),
+        "static #hide(a) {}": ("#hide", "static #hide(a)"), "field = (a, b) => 1;": ("field", "field = (a, b)"), "export const single = x => x;": ("single", "export const single = x"), "// note\nfunction f() {}": ("f", "function f()"),
+    }
+    for code, want in cases.items():
+        (p,) = docpairs.javascript_pairs(f"const x = 1;\n/** Tells more. */\n{code}\n")
+        assert (p["name"], p["signature"], p["doc"]) == (*want, "Tells more."), code
+    for code in ("if (x) { y(); }", "count = 3;", "foo(1, 2);", "import a from 'b';", "return (a) => a;", "class C {}"):
+        assert docpairs.javascript_pairs(f"/** Tells more. */\n{code}\n") == [], code
+
+
+def test_javascript_table(spark):
+    rows = [(1, "r", "a.js", "javascript", "/** Sorts by weight, heaviest first. */\nexport function sortRows(rows = f(1)) {}\n/** sort rows */\nfunction sortRows(rows) {}\n", "", ""), (1, "r", "a.js", "javascript", "/** Sorts by weight, heaviest first. */\nexport function sortRows(rows = f(1)) {}\n/** sort rows */\nfunction sortRows(rows) {}\n", "", ""), (2, "r", "b.mjs", None, None, "", ""), (3, "r", "c.py", "python", "/** x */ function f() {}", "", "")]
+    df = spark.createDataFrame(rows, FILES)
+    assert [tuple(r) for r in docpairs.javascript(df).collect()] == [(1, "sortRows", "export function sortRows(rows = f(1))", "Sorts by weight, heaviest first.", 40, 0)]
+    assert docpairs.javascript(df.limit(0)).count() == 0
+
+
 def test_pairs_table(spark):
     sym = "sym_ord long, repo string, qualified_name string, kind string, file_path string, start_line int, end_line int, signature string, docstring string, content string"
     chk = "chunk_ord long, repo string, id string, file_path string, chunk_type string, qualified_name string, start_line int, end_line int, content string, docstring string, signature string"

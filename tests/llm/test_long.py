@@ -30,7 +30,11 @@ def test_long_texts(name):
 
 def test_deep_nesting():
     assert validity.verdict("javascript", "(" * 3000 + "1" + ")" * 3000) == "ok"
-    assert validity.verdict("javascript", "(" * 100_000) == "corrupt"
+    assert validity.verdict("javascript", "(" * 100_000) == validity.NOT_JUDGED
+    assert validity.verdict("javascript", "x = " + "[" * 15_000 + "]" * 15_000) == "ok" and validity.verdict("javascript", "{" * 5000 + "}" * 4999) == "corrupt"
+    assert validity.verdict("json", "[" * 20_000 + "]" * 20_000) == "ok" and validity.verdict("json", "[" * 20_000 + "]" * 19_999) == "corrupt"
+    assert validity.verdict("json", '{"a": ' * 30_000 + "[]" + "}" * 30_000) == "ok" and validity.verdict("json", '{"a": ' * 30_000 + "}" * 30_000) == "corrupt"
+    assert validity.verdict("python", "(" * 300 + ")" * 300) == validity.NOT_JUDGED and validity.verdict("python", "x = " + "-" * 100_000 + "1") == validity.NOT_JUDGED
     assert validity.verdict("javascript", "x = " + "a ? b : " * 1500 + "c;") == "ok"
     assert validity.verdict("javascript", "if (a) b(); " + "else if (c) d(); " * 1500) == "ok"
     assert docpairs.python_doc("def f(a=" + "(" * 5000 + ")" * 5000 + "): pass") in ((None, None), ("f", None))
