@@ -130,8 +130,8 @@ def near(found: list[tuple[int, int]]) -> bool:
 def align(item: list[str], doc: list[str], step: int | None = None) -> list[tuple[int, int]]:
     """The matched (item, document) positions of the best local alignment.
 
-    Of the matrix every `step`-th row is kept, and the rows between two of them are filled in
-    again when the way back comes through.
+    The matrix is filled in block by block of `step` rows, of which the first row is kept; the way
+    back fills the blocks it comes through again (not the one that was filled last).
     """
     n, m = len(item), len(doc)
     step = step or max(256, math.isqrt(n) + 1)
@@ -139,37 +139,44 @@ def align(item: list[str], doc: list[str], step: int | None = None) -> list[tupl
     ids: dict[str, int] = {}
     a = np.array([ids.setdefault(w, len(ids)) for w in item])
     b = np.array([ids.get(w, -1) for w in doc])
-    slope = (GAP * np.arange(m + 1)).astype(kind)
-
-    def following(row: np.ndarray, i: int) -> np.ndarray:
-        width = len(row)
-        out = np.zeros(width, dtype=kind)
-        np.maximum(row[:-1] + np.where(b[: width - 1] == a[i - 1], MATCH, MISMATCH).astype(kind), row[1:] + kind(GAP), out=out[1:])
-        np.maximum(out, 0, out=out)
-        return np.maximum.accumulate(out - slope[:width]) + slope[:width]  # gaps along the row
-
-    row, kept, best = np.zeros(m + 1, dtype=kind), [], (0.0, 0, 0)
-    for i in range(1, n + 1):
-        if (i - 1) % step == 0:
-            kept.append(row)
-        row = following(row, i)
-        j = int(np.argmax(row))
-        if row[j] > best[0]:
-            best = (float(row[j]), i, j)
+    hit, miss, gap, slope = kind(MATCH), kind(MISMATCH), kind(GAP), (GAP * np.arange(m + 1)).astype(kind)
+
+    def block(first: np.ndarray, base: int) -> np.ndarray:
+        """The rows base..base + step, of which the first is given."""
+        h = np.zeros((min(step, n - base) + 1, m + 1), dtype=kind)
+        h[0] = first
+        for k in range(1, len(h)):
+            row = np.where(b == a[base + k - 1], hit, miss)
+            row += h[k - 1, :-1]
+            np.maximum(row, h[k - 1, 1:] + gap, out=row)
+            np.maximum(row, 0, out=h[k, 1:])
+            h[k] -= slope
+            np.maximum.accumulate(h[k], out=h[k])  # gaps along the row
+            h[k] += slope
+        return h
+
+    first, kept, best = np.zeros(m + 1, dtype=kind), [], (0.0, 0, 0)
+    h, at = first[None, :], 0
+    for base in range(0, n, step):
+        kept.append(first)
+        h, at = block(first, base), base
+        first = h[-1].copy() if base + step < n else h[-1]
+        k, j = np.unravel_index(int(np.argmax(h[1:])), (len(h) - 1, m + 1))
+        if h[k + 1, j] > best[0]:
+            best = (float(h[k + 1, j]), base + int(k) + 1, int(j))
     _, i, j = best
     out = []
     while i > 0 and j > 0:
         base = (i - 1) // step * step
-        rows = [kept[base // step][: j + 1]]
-        for k in range(base + 1, i + 1):
-            rows.append(following(rows[-1], k))
-        while i > base and j > 0 and rows[i - base][j] > 0:
-            here, same = rows[i - base][j], b[j - 1] == a[i - 1]
-            if abs(here - rows[i - base - 1][j - 1] - (MATCH if same else MISMATCH)) < 1e-3:
+        if base != at:
+            h, at = block(kept[base // step], base), base
+        while i > base and j > 0 and h[i - base, j] > 0:
+            here, same = h[i - base, j], b[j - 1] == a[i - 1]
+            if abs(here - h[i - base - 1, j - 1] - (MATCH if same else MISMATCH)) < 1e-3:
                 if same:
-                    out.append((int(i) - 1, int(j) - 1))
+                    out.append((i - 1, j - 1))
                 i, j = i - 1, j - 1
-            elif abs(here - rows[i - base - 1][j] - GAP) < 1e-3:
+            elif abs(here - h[i - base - 1, j] - GAP) < 1e-3:
                 i -= 1
             else:
                 j -= 1
