@@ -7,6 +7,7 @@ table functions explode those.  Files that do not parse give a row without conte
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 from collections.abc import Iterator
 
@@ -33,113 +34,103 @@ PARSED = (
 )
 
 _DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
+_NAMED = (*_DEF, ast.ClassDef)
+_TAB = "    "
+#: What of a path without its extension is no part of the module's name (as in functions.text.module_name).
+_LAYOUT, _PACKAGE = re.compile(r"^src(?:/|$)"), re.compile(r"(?:^|/)__init__$")
 
 
-def module_of(path: str) -> str:
-    parts = path.removesuffix(".py").split("/")
-    if parts[0] == "src":
-        parts = parts[1:]
-    if parts and parts[-1] == "__init__":
-        parts = parts[:-1]
-    return ".".join(parts)
+def dotted(path: str) -> str:
+    """The module name of a path."""
+    return _PACKAGE.sub("", _LAYOUT.sub("", path.removesuffix(".py"))).replace("/", ".")
+
+
+def header(node: ast.AST) -> str:
+    """A definition with ... for a body."""
+    shown = type(node)(**{f: getattr(node, f) for f in node._fields if f != "body"}, body=[ast.Expr(ast.Constant(...))])
+    return ast.unparse(ast.fix_missing_locations(ast.copy_location(shown, node)))
+
+
+def span(node: ast.AST) -> tuple[int, int]:
+    """First and last line, decorators included."""
+    return min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", ()))]), node.end_lineno
+
+
+def outline(node: ast.ClassDef) -> str:
+    """A class without its bodies: the title, the documentation, and a paragraph for each member."""
+    doc = ast.get_docstring(node)
+    members = [f"class {x.name}: ..." if isinstance(x, ast.ClassDef) else header(x) for x in node.body if isinstance(x, _NAMED)]
+    paragraphs = "\n\n".join(members) or "..."
+    inner = [f'"""{doc}"""'] * bool(doc)
+    bases = ", ".join(map(ast.unparse, node.bases))
+    lines = [f"class {node.name}{f'({bases})' * bool(bases)}:"]
+    lines += [_TAB + x for x in inner]  # the lines of a text within are left as they are
+    lines += [_TAB + x if x or not members else x for x in paragraphs.split("\n")]
+    return "\n".join(lines)
+
+
+def definitions(body: list[ast.stmt], owner: str = "") -> Iterator[tuple[ast.AST, str, str]]:
+    """(node, local name, owner's local name) of the functions and classes of a module and of its classes, in order."""
+    for node in body:
+        if isinstance(node, _NAMED):
+            local = f"{owner}.{node.name}" if owner else node.name
+            yield node, local, owner
+            if isinstance(node, ast.ClassDef):
+                yield from definitions(node.body, local)
 
 
 class FileReader:
     """What one file holds."""
 
     def __init__(self, path: str, text: str) -> None:
-        self.path, self.lines, self.prefix = path, text.splitlines(), module_of(path)
+        tree, self.lines, module = ast.parse(text), text.splitlines(), dotted(path)
+        self.within = f"{module}." if module else ""
         self.symbols: list[dict] = []
-        self.imports: list[dict] = []
         self.calls: list[dict] = []
         self.bases: list[dict] = []
         self.chunks: list[dict] = []
-        tree = ast.parse(text)
-        rest = []
-        for node in tree.body:
-            if isinstance(node, _DEF):
-                self.function(node, "", "function")
-            elif isinstance(node, ast.ClassDef):
-                self.klass(node, "")
+        for node, local, owner in definitions(tree.body):
+            if isinstance(node, ast.ClassDef):
+                self.add(node, local, "class", "class_skeleton", next(x for x in header(node).splitlines() if x.startswith("class ")), outline(node))
+                self.bases += [{"class_qualified_name": self.within + local, "base_name": ast.unparse(b)} for b in node.bases]
             else:
-                rest.append(node)
+                kind = "method" if owner else "function"
+                self.add(node, local, kind, kind, header(node), self.text(node))
+                self.calls += [
+                    {"caller_qualified_name": self.within + local, "callee_name": ast.unparse(x.func), "enclosing_class": self.within + owner if owner else None, "line": x.lineno}
+                    for stmt in node.body for x in ast.walk(stmt) if isinstance(x, ast.Call)
+                ]
+        rest = [x for x in tree.body if not isinstance(x, _NAMED)]
         if rest:
-            body = "\n\n".join(self.cut(n) for n in rest)
-            self.chunk("module", "<module>", self.first(rest[0]), rest[-1].end_lineno, body, ast.get_docstring(tree))
-        self.read_imports(tree)
-
-    @staticmethod
-    def first(node: ast.AST) -> int:
-        """The line of the first decorator, if there is any."""
-        marks = getattr(node, "decorator_list", None)
-        return marks[0].lineno if marks else node.lineno
+            self.chunk("module", "<module>", (span(rest[0])[0], rest[-1].end_lineno), "\n\n".join(map(self.text, rest)), ast.get_docstring(tree))
+        self.imports = [x for node in ast.walk(tree) for x in imported(node)]
 
-    def cut(self, node: ast.stmt) -> str:
-        return "\n".join(self.lines[self.first(node) - 1 : node.end_lineno])
+    def text(self, node: ast.AST) -> str:
+        first, last = span(node)
+        return "\n".join(self.lines[first - 1 : last])
 
-    @staticmethod
-    def signature(node: ast.AST) -> str:
-        """The header with ... for a body."""
-        shown = type(node)(**{f: getattr(node, f) for f in node._fields if f != "body"}, body=[ast.Expr(ast.Constant(...))])
-        return ast.unparse(ast.fix_missing_locations(ast.copy_location(shown, node)))
+    def chunk(self, kind: str, name: str, at: tuple[int, int], body: str, doc: str | None) -> None:
+        self.chunks.append({"chunk_type": kind, "qualified_name": name, "start_line": at[0], "end_line": at[1], "body": body, "docstring": doc})
 
-    def qualified(self, local: str) -> str:
-        return f"{self.prefix}.{local}" if self.prefix else local
-
-    def chunk(self, kind: str, name: str, a: int, b: int, body: str, doc: str | None) -> None:
-        self.chunks.append({"chunk_type": kind, "qualified_name": name, "start_line": a, "end_line": b, "body": body, "docstring": doc})
-
-    def symbol(self, node: ast.AST, local: str, kind: str, signature: str) -> None:
+    def add(self, node: ast.AST, local: str, kind: str, chunk_type: str, signature: str, body: str) -> None:
+        """A symbol and its chunk."""
+        doc, at = ast.get_docstring(node), span(node)
         self.symbols.append({
-            "qualified_name": self.qualified(local), "kind": kind, "start_line": self.first(node), "end_line": node.end_lineno, "signature": signature,
-            "docstring": ast.get_docstring(node), "decorators": [ast.unparse(d) for d in node.decorator_list],
+            "qualified_name": self.within + local, "kind": kind, "start_line": at[0], "end_line": at[1], "signature": signature,
+            "docstring": doc, "decorators": [ast.unparse(d) for d in node.decorator_list],
         })
-
-    def function(self, node: ast.AST, owner: str, kind: str) -> None:
-        local = f"{owner}.{node.name}" if owner else node.name
-        self.symbol(node, local, kind, self.signature(node))
-        self.chunk(kind, local, self.first(node), node.end_lineno, self.cut(node), ast.get_docstring(node))
-        for stmt in node.body:
-            for call in ast.walk(stmt):
-                if isinstance(call, ast.Call):
-                    self.calls.append({
-                        "caller_qualified_name": self.qualified(local), "callee_name": ast.unparse(call.func),
-                        "enclosing_class": self.qualified(owner) if owner else None, "line": call.lineno,
-                    })
-
-    def klass(self, node: ast.ClassDef, owner: str) -> None:
-        local = f"{owner}.{node.name}" if owner else node.name
-        head = self.signature(node).splitlines()
-        header = next(x for x in head if x.startswith("class "))
-        self.symbol(node, local, "class", header)
-        shown = [ast.unparse(b) for b in node.bases]
-        self.bases += [{"class_qualified_name": self.qualified(local), "base_name": b} for b in shown]
-        parts = [f"class {node.name}({', '.join(shown)}):" if shown else f"class {node.name}:"]
-        if doc := ast.get_docstring(node):
-            parts.append(f'    """{doc}"""')
-        members = []
-        for item in node.body:
-            if isinstance(item, _DEF):
-                members.append("\n".join("    " + x for x in self.signature(item).splitlines()))
-            elif isinstance(item, ast.ClassDef):
-                members.append(f"    class {item.name}: ...")
-        parts.append("\n\n".join(members) if members else "    ...")
-        self.chunk("class_skeleton", local, self.first(node), node.end_lineno, "\n".join(parts), ast.get_docstring(node))
-        for item in node.body:
-            if isinstance(item, _DEF):
-                self.function(item, local, "method")
-            elif isinstance(item, ast.ClassDef):
-                self.klass(item, local)
-
-    def read_imports(self, tree: ast.Module) -> None:
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Import):
-                self.imports += [{"module": a.name, "name": None, "level": 0, "star": False} for a in node.names]
-            elif isinstance(node, ast.ImportFrom):
-                if any(a.name == "*" for a in node.names):
-                    self.imports.append({"module": node.module or "", "name": None, "level": node.level, "star": True})
-                else:
-                    self.imports += [{"module": node.module or "", "name": a.name, "level": node.level, "star": False} for a in node.names]
+        self.chunk(chunk_type, local, at, body, doc)
+
+
+def imported(node: ast.AST) -> Iterator[dict]:
+    """What an import statement names; a star stands alone."""
+    if isinstance(node, ast.Import):
+        for a in node.names:
+            yield {"module": a.name, "name": None, "level": 0, "star": False}
+    elif isinstance(node, ast.ImportFrom):
+        star = any(a.name == "*" for a in node.names)
+        for name in (None,) if star else (a.name for a in node.names):
+            yield {"module": node.module or "", "name": name, "level": node.level, "star": star}
 
 
 def parse(files: DataFrame) -> DataFrame:

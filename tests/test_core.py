@@ -31,7 +31,7 @@ def test_lines_are_those_of_python(spark, text):
     [("a/b.py", "a.b", "a"), ("src/pkg/a.py", "pkg.a", "pkg"), ("pkg/__init__.py", "pkg", "pkg"), ("__init__.py", "", ""), ("top.py", "top", ""), ("src/a/__init__.py", "a", "a"), ("srcs/a.py", "srcs.a", "srcs")],
 )
 def test_module_names(spark, path, module, package):
-    assert one(spark, T.module_name(F.col("p")), p=path) == module == parse.module_of(path)
+    assert one(spark, T.module_name(F.col("p")), p=path) == module == parse.dotted(path)
     assert one(spark, T.package_of(F.col("p")), p=path) == package
 
 
