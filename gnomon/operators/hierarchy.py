@@ -1,6 +1,6 @@
 """Parent-child links to full hierarchies: components, loops, paths, descendants.
 
-The work runs in three stages, each over the whole table:
+The work runs in stages, each over the whole table:
 
 1. `forest`: weighted disjoint sets.  Every task joins the links it holds into local trees,
    keeping for each node the offset to the local root (a child lies one below its parent).
@@ -12,7 +12,9 @@ The work runs in three stages, each over the whole table:
    the paths down from the roots.
 3. Larger components stay spread: `loops` searches those with a conflict by distributed
    colouring, and `paths` doubles upward segments each round by a join on the segment's top
-   node, so a hierarchy of depth d takes log2(d) joins.
+   node, so a hierarchy of depth d takes log2(d) joins.  The two ways give the same rows.
+4. `closure` joins pairs of nodes, not paths: a round doubles the distance it knows, so the work
+   grows with the pairs however many paths lead from one to the other.
 
 Defined results for odd rows: a null child or parent makes no link (the other name is still a
 node); repeated links count once; a null group is a group of its own; an empty name is a name
@@ -24,7 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 import pandas as pd
@@ -35,6 +37,7 @@ from pyspark.sql.window import Window
 from gnomon.session import cut
 
 CYCLE, BELOW, JOIN = "(cycle)", "(below cycle)", " > "
+MOST_HUBS = 100_000  # that are broadcast
 
 
 def node_id(group: Column, name: Column) -> Column:
@@ -111,7 +114,9 @@ def forest(links: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
     """(v, root, off, conflict) for every end of `links` (a, b, w: a lies w below b).
 
     Links are spread by the end that comes first in a hash order of the level, so a task
-    joins whole stars and every level leaves fewer roots than the one before.
+    joins whole stars and every level leaves fewer roots than the one before.  The star of a node
+    with more than `rows_per_task` links is split over as many tasks as it takes; the pieces
+    meet at that node on the next level.
     """
     levels: list[DataFrame] = []
     now, count, level = links, links.count(), 0
@@ -119,7 +124,14 @@ def forest(links: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
         parts = max(1, math.ceil(count / rows_per_task))
         if parts > 1:
             ha, hb = (F.xxhash64(F.lit(level), F.col(x)) for x in "ab")
-            now = now.repartition(parts, F.when(ha < hb, F.col("a")).otherwise(F.col("b")))
+            now = now.withColumns({"key": F.when(ha < hb, F.col("a")).otherwise(F.col("b")), "end": F.when(ha < hb, hb).otherwise(ha)})
+            hubs = cut(now.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_task))
+            few = hubs.count()  # at most count / rows_per_task
+            piece = F.lit(0)
+            if few:
+                now = now.join(F.broadcast(hubs) if few <= MOST_HUBS else hubs, "key", "left")
+                piece = F.when(F.col("n").isNotNull(), F.pmod("end", F.ceil(F.col("n") / rows_per_task))).otherwise(0)
+            now = now.repartition(parts, "key", piece).select("a", "b", "w")
         else:
             now = now.coalesce(1)
         local = cut(now.mapInPandas(_local_forest, "v binary, root binary, off long, conflict boolean"))
@@ -377,18 +389,54 @@ def paths(links: DataFrame, state: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done).withColumnRenamed("top", "root")
 
 
-@dataclass
-class Hierarchy:
-    """Frames over one edge table: nodes (g, name), links, sets, and a row per path or loop node.
+def closure(links: DataFrame) -> DataFrame:
+    """(a, d, depth): every two different nodes with a way of links (cid below pid) from a down to d, and the least number of links.
 
-    `found` is (g, name, root, names); for a node on or below a loop root is the state and names
-    is empty; roots themselves are not listed.
+    With all pairs up to a distance k known, those of up to 2k are a pair at exactly k and one that
+    begins where it ends.  Loops end by themselves, as a pair that is known is not taken again.
     """
+    known = cut(links.where("cid <> pid").select(F.col("pid").alias("a"), F.col("cid").alias("d"), F.lit(1).alias("depth")).distinct())
+    k = 1
+    while True:
+        far = known.where(F.col("depth") == k).select("a", F.col("d").alias("mid"))
+        on = known.select(F.col("a").alias("mid"), "d", "depth")
+        longer = far.join(on, "mid").where("a <> d").groupBy("a", "d").agg((F.min("depth") + k).alias("depth"))
+        new = cut(longer.join(known, ["a", "d"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known, k = cut(known.unionByName(new)), 2 * k
+
+
+@dataclass
+class Hierarchy:
+    """Frames over one edge table: nodes (g, name), links and weighted sets; the rest is found when it is asked for."""
 
     nodes: DataFrame
     links: DataFrame
     sets: DataFrame
-    found: DataFrame
+    local_links: int
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """(g, name, root, names), a row per path; for a node on or below a loop root is the state and names is empty; roots themselves are not listed."""
+        links, sets = self.links, self.sets
+        placed = cut(links.join(sets.select(F.col("v").alias("cid"), "root", "conflict"), "cid"))
+        sizes = placed.groupBy("root").agg(F.count("*").alias("size"))
+        large = cut(sizes.where(F.col("size") > self.local_links).select("root"))
+        kind = links.schema["g"].dataType.simpleString()
+        if large.isEmpty():
+            small, rest = placed, None
+        else:
+            small, rest = placed.join(large, "root", "left_anti"), cut(placed.join(large, "root", "left_semi"))
+        small = small.select("root", "g", "c", "p", "conflict").repartition("root").sortWithinPartitions("root")
+        found = small.mapInPandas(_local_hierarchy, f"g {kind}, name string, root string, names array<string>")
+        if rest is not None:
+            left = rest.select("g", "c", "p", "cid", "pid")
+            state = cut(loops(left, sets, self.local_links))
+            bad = _named(left).join(state, "v").select("g", "name", F.col("state").alias("root"), F.array().cast("array<string>").alias("names"))
+            long_ways = paths(left, state).withColumn("_path", F.array_join("names", JOIN)).dropDuplicates(["g", "name", "_path"]).select("g", "name", "root", "names")
+            found = found.unionByName(bad).unionByName(long_ways)
+        return found
 
     def table(self) -> DataFrame:
         """(g, name, root, depth, path): a row per path, roots and loop nodes included."""
@@ -400,10 +448,18 @@ class Hierarchy:
         return roots.unionByName(full)
 
     def descendants(self) -> DataFrame:
-        """(g, ancestor, descendant, depth): the shortest distance of every pair on a path."""
-        pairs = self.found.select("g", F.col("name").alias("descendant"), F.posexplode("names").alias("at", "ancestor"), F.size("names").alias("n"))
-        pairs = pairs.where(F.col("at") < F.col("n") - 1)
-        return pairs.groupBy("g", "ancestor", "descendant").agg(F.min(F.col("n") - 1 - F.col("at")).alias("depth"))
+        """(g, ancestor, descendant, depth): every two nodes with a way down from one to the other, and the shortest.
+
+        Nodes of one loop are no descendants of each other (`table` reports the loop); what lies
+        below a loop descends from its nodes and from all above it.
+        """
+        pairs = closure(self.links)
+        if not self.sets.where("conflict").isEmpty():  # there may be loops
+            pairs = pairs.join(pairs.select(F.col("d").alias("a"), F.col("a").alias("d")), ["a", "d"], "left_anti")
+        names = _named(self.links)
+        above = names.select(F.col("v").alias("a"), "g", F.col("name").alias("ancestor"))
+        below = names.select(F.col("v").alias("d"), F.col("name").alias("descendant"))
+        return pairs.join(above, "a").join(below, "d").select("g", "ancestor", "descendant", "depth")
 
     def components(self) -> DataFrame:
         """(g, root name of the weighted set, members, span of levels, conflict)."""
@@ -414,27 +470,16 @@ class Hierarchy:
         )
 
 
+def _named(links: DataFrame) -> DataFrame:
+    """(g, v, name) of the ends of links."""
+    ends = F.array(F.struct(F.col("cid").alias("v"), F.col("c").alias("name")), F.struct(F.col("pid").alias("v"), F.col("p").alias("name")))
+    return links.select("g", F.explode(ends).alias("x")).select("g", "x.*").distinct()
+
+
 def build(
     edges: DataFrame, group: str = "repo", child: str = "class_qualified_name", parent: str = "base_qualified_name", rows_per_task: int = 200_000, local_links: int = 200_000
 ) -> Hierarchy:
     """The hierarchies of an edge table; see the module's text for odd rows."""
     links = cut(links_of(edges, group, child, parent))
     sets = forest(links.select(F.col("cid").alias("a"), F.col("pid").alias("b"), F.lit(1).cast("long").alias("w")), rows_per_task)
-    placed = cut(links.join(sets.select(F.col("v").alias("cid"), "root", "conflict"), "cid"))
-    sizes = placed.groupBy("root").agg(F.count("*").alias("size"))
-    large = cut(sizes.where(F.col("size") > local_links).select("root"))
-    kind = links.schema["g"].dataType.simpleString()
-    if large.isEmpty():
-        small, rest = placed, None
-    else:
-        small, rest = placed.join(large, "root", "left_anti"), cut(placed.join(large, "root", "left_semi"))
-    small = small.select("root", "g", "c", "p", "conflict").repartition("root").sortWithinPartitions("root")
-    found = small.mapInPandas(_local_hierarchy, f"g {kind}, name string, root string, names array<string>")
-    if rest is not None:
-        links_left = rest.select("g", "c", "p", "cid", "pid")
-        state = cut(loops(links_left, sets, local_links))
-        named = links_left.select("g", F.explode(F.array(F.struct(F.col("cid").alias("v"), F.col("c").alias("name")), F.struct(F.col("pid").alias("v"), F.col("p").alias("name")))).alias("x")).select("g", "x.*").distinct()
-        bad = named.join(state, "v").select("g", "name", F.col("state").alias("root"), F.array().cast("array<string>").alias("names"))
-        long_ways = paths(links_left, state).withColumn("_path", F.array_join("names", JOIN)).dropDuplicates(["g", "name", "_path"]).select("g", "name", "root", "names")
-        found = found.unionByName(bad).unionByName(long_ways)
-    return Hierarchy(nodes_of(edges, group, child, parent), links, sets, found)
+    return Hierarchy(nodes_of(edges, group, child, parent), links, sets, local_links)

@@ -53,10 +53,18 @@ SELECT repo, name AS class_qualified_name, root AS root_qualified_name, CAST(dep
 UNION ALL SELECT repo, c, '(cycle)', -1, '(cycle)' FROM cyc
 UNION ALL SELECT repo, c, '(below cycle)', -1, '(below cycle)' FROM low
 WHERE NOT EXISTS (SELECT 1 FROM cyc WHERE cyc.repo IS NOT DISTINCT FROM low.repo AND cyc.c = low.c)""",
-    "p1_descendants": _BASE + """
-SELECT repo, ancestor, descendant, CAST(min(depth) AS INTEGER) AS depth FROM (
-  SELECT repo, name AS descendant, names[i] AS ancestor, len(names) - i AS depth
-  FROM (SELECT repo, name, names, unnest(range(1, len(names))) AS i FROM p)) GROUP BY ALL""",
+    "p1_descendants": """
+WITH RECURSIVE
+l AS (SELECT DISTINCT repo, class_qualified_name AS c, base_qualified_name AS b FROM inherits_edges
+      WHERE class_qualified_name IS NOT NULL AND base_qualified_name IS NOT NULL AND class_qualified_name <> base_qualified_name),
+r(repo, ancestor, descendant, depth) USING KEY (repo, ancestor, descendant) AS (
+  SELECT repo, b, c, 1 FROM l
+  UNION
+  SELECT r.repo, r.ancestor, l.c, min(r.depth + 1) FROM r JOIN l ON r.repo IS NOT DISTINCT FROM l.repo AND l.b = r.descendant
+  LEFT JOIN recurring.r AS o ON o.repo IS NOT DISTINCT FROM r.repo AND o.ancestor = r.ancestor AND o.descendant = l.c
+  WHERE o.ancestor IS NULL AND l.c <> r.ancestor GROUP BY ALL)
+SELECT repo, ancestor, descendant, CAST(depth AS INTEGER) AS depth FROM r
+WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.repo IS NOT DISTINCT FROM r.repo AND x.ancestor = r.descendant AND x.descendant = r.ancestor)""",
     "p1_components": """
 WITH RECURSIVE
 l AS (SELECT DISTINCT repo, class_qualified_name AS c, base_qualified_name AS b FROM inherits_edges

@@ -82,11 +82,74 @@ def test_levels_and_colours_agree(spark, kw):
     assert run(spark, rows, **kw)[0] == brute(rows)
 
 
-def test_descendants(spark):
-    rows = CASES["diamond of uneven arms"]
+def brute_pairs(rows):
+    """(group, ancestor, descendant, least number of links) of all pairs that are not on one loop."""
+    children = defaultdict(set)
+    for g, c, p in rows:
+        if c is not None and p is not None:
+            children[(g, p)].add((g, c))
+    dist = {}
+    for top in list(children):
+        front, k, seen = [top], 0, {top: 0}
+        while front:
+            k += 1
+            front = [c for c in {x for v in front for x in children[v]} if c not in seen]
+            seen.update(dict.fromkeys(front, k))
+        dist.update({(top, v): n for v, n in seen.items() if v != top})
+    return {(a[0], a[1], d[1], n) for (a, d), n in dist.items() if (d, a) not in dist}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_descendants(spark, name):
+    _, h = run(spark, CASES[name])
+    got = [(r["g"], r["ancestor"], r["descendant"], r["depth"]) for r in h.descendants().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(CASES[name])
+
+
+def test_descendants_below_loops(spark):
+    """A keeps B and C though B also inherits from a loop."""
+    rows = [("r", "B", "A"), ("r", "C", "B"), ("r", "B", "x"), ("r", "x", "y"), ("r", "y", "x")]
     _, h = run(spark, rows)
-    got = {(r["ancestor"], r["descendant"], r["depth"]) for r in h.descendants().collect()}
-    assert got == {("a", "b", 1), ("a", "d", 1), ("b", "d", 1), ("a", "e", 2), ("b", "e", 2), ("d", "e", 1)}
+    assert {(r["ancestor"], r["descendant"], r["depth"]) for r in h.descendants().collect()} == {("A", "B", 1), ("A", "C", 2), ("B", "C", 1), ("x", "B", 1), ("x", "C", 2), ("y", "B", 2), ("y", "C", 3)}
+
+
+def test_descendants_of_many_paths(spark):
+    """A chain of thirty diamonds has 2^30 paths and some thousand pairs."""
+    rows = [("r", f"{side}{i}", f"m{i - 1}") for i in range(1, 31) for side in "ab"] + [("r", f"m{i}", f"{side}{i}") for i in range(1, 31) for side in "ab"]
+    df = spark.createDataFrame([(g, c, "b", p, "extra") for g, c, p in rows], SCHEMA)
+    got = {(r["g"], r["ancestor"], r["descendant"], r["depth"]) for r in H.build(df).descendants().collect()}
+    assert got == brute_pairs(rows)
+
+
+def test_random_pairs(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice("pq"), f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(60)]
+    _, h = run(spark, rows)
+    assert {(r["g"], r["ancestor"], r["descendant"], r["depth"]) for r in h.descendants().collect()} == brute_pairs(rows)
+
+
+def test_a_skewed_table_by_both_ways(spark):
+    """A hub with a third of the links, a deep chain, uneven trees and loops: tasks of any size and either way give the same rows."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(7)
+    rows = [("r", f"leaf{i}", "hub") for i in range(12_000)] + [("r", "hub", "top")] + [("r", f"c{i}", f"c{i - 1}") for i in range(1, 60)] + [("r", "hub", "c3")]
+    rows += [(f"g{k}", f"n{i}", f"n{rnd.randrange(max(1, i // 3 + 1))}") for k in range(60) for i in range(1, 350)]
+    rows += [(f"g{k}", f"n{rnd.randrange(20)}", f"n{rnd.randrange(300)}") for k in range(0, 60, 5) for _ in range(2)]
+    df = spark.createDataFrame([(g, c, "b", p, "extra") for g, c, p in rows], SCHEMA).cache()
+    one = H.build(df).table().select(F.xxhash64("*").alias("h")).groupBy("h").count().cache()
+    two = H.build(df, rows_per_task=3000, local_links=1000).table().select(F.xxhash64("*").alias("h")).groupBy("h").count()
+    assert one.count() > 30_000 and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def test_hubs_are_split(spark):
+    """No task joins a whole star that is larger than its share."""
+    from pyspark.sql import functions as F
+
+    links = spark.range(5000).select(F.encode(F.concat(F.lit("n"), "id"), "utf-8").alias("a"), F.encode(F.lit("hub"), "utf-8").alias("b"), F.lit(1).cast("long").alias("w"))
+    sets = H.forest(links, rows_per_task=200)
+    assert sets.select("root").distinct().count() == 1 and sets.count() == 5001 and sets.where("conflict").isEmpty()
+    assert {r[0] for r in sets.groupBy("off").count().collect()} <= {-1, 0, 1} and sets.groupBy("off").count().count() == 2
 
 
 @settings(max_examples=60, deadline=None)
