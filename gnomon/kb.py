@@ -81,8 +81,8 @@ class KnowledgeBase:
     def search(self, query: str, k: int = 8) -> DataFrame:
         """The chunks nearest to a text, with their distance."""
         spark = self.t.chunks.sparkSession
-        q = spark.createDataFrame([(0, query)], "query_id long, text string").select("query_id", vectors.embed(F.col("text")).alias("embedding"))
-        hits = vectors.nearest(self.t.chunks.select(F.col("chunk_ord").alias("id"), vectors.embed(F.col("content")).alias("embedding")), q, k)
+        q = spark.createDataFrame([(0, query)], "query_id long, text string").select("query_id", self.t.embed(F.col("text")).alias("embedding"))
+        hits = vectors.nearest(self.t.chunks.select(F.col("chunk_ord").alias("id"), self.t.embed(F.col("content")).alias("embedding")), q, k)
         return hits.join(self.t.chunks.withColumnRenamed("id", "chunk_id").withColumnRenamed("chunk_ord", "id"), "id").orderBy("rank")
 
     def exact(self, name: str, limit: int = 8) -> DataFrame:

@@ -7,8 +7,9 @@ evidence.  Answers come as JSON text: answer, confidence, evidence_sufficient, c
 from __future__ import annotations
 
 from functools import reduce
+from string import Template
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gnomon.functions import text as T
@@ -29,6 +30,19 @@ def prompts(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("qid").agg(F.array_join(F.transform(rows, lambda x: x["block"]), "\n\n---\n\n").alias("evidence_text"))
 
 
+def filled(template: str, fields: dict[str, Column]) -> Column:
+    """A template with `$name` and `${name}` filled in per row, `$$` for a dollar sign; KeyError for a name without a column, ValueError for a stray sign."""
+    parts, at = [], 0
+    for m in Template.pattern.finditer(template):
+        parts.append(F.lit(template[at : m.start()]))
+        name = m["named"] or m["braced"]
+        if name is None and m["escaped"] is None:
+            raise ValueError(f"stray $ at {m.start()}")
+        parts.append(F.coalesce(fields[name].cast("string"), F.lit("")) if name else F.lit("$"))
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
 def parse(answers: DataFrame, column: str = "output") -> DataFrame:
     """(qid, answer, confidence, evidence_sufficient, citations); text that is no JSON object gives an empty answer of low confidence."""
     a = F.from_json(column, ANSWER)
@@ -45,6 +59,7 @@ def citations(parsed: DataFrame, evidence: DataFrame) -> DataFrame:
     return cited.join(evidence.select("qid", "item", "source", "qualified_name", "file_path", "start_line", "end_line"), ["qid", "item"])
 
 
+#: The messages are fixed values.
 def issues(parsed: DataFrame, evidence: DataFrame) -> DataFrame:
     """(qid, severity, message): numbers out of range, sufficiency without evidence, empty answers, answers that cite nothing."""
     n = evidence.groupBy("qid").agg(F.count("*").alias("n"))

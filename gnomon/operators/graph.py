@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,22 +55,23 @@ def import_rings(imports: DataFrame, local_links: int = 200_000) -> DataFrame:
     return own.withColumnRenamed("ring", "id").join(sets, "id").select("repo", "ring", "file", "files")
 
 
-def import_cycles(imports: DataFrame, longest: int = 8) -> DataFrame:
-    """(repo, cycle): the elementary cycles of up to `longest` files, each starting at its least file."""
+def import_cycles(imports: DataFrame, longest: int | None = 8) -> DataFrame:
+    """(repo, cycle): the elementary cycles of up to `longest` files (None: of any length), each starting at its least file."""
     return bounded_cycles(imports, longest)[0]
 
 
-def bounded_cycles(imports: DataFrame, longest: int = 8) -> tuple[DataFrame, DataFrame]:
+def bounded_cycles(imports: DataFrame, longest: int | None = 8) -> tuple[DataFrame, DataFrame]:
     """`import_cycles`, and the repositories (repo) in which ways of more than `longest` files were left unfollowed.
 
     Edges outside of any cycle go first: those that do not join two files of one strongly
-    connected set.  Paths then grow by a join a round, over files greater than the start.
+    connected set.  Paths then grow by a join a round, over files greater than the start; without
+    a bound the rounds end with the longest path, and the rows grow with the number of cycles.
     """
     e = _ring_edges(imports, 200_000).select("g", "c", "p")
     step = e.select(F.col("g").alias("g2"), F.col("c").alias("c2"), F.col("p").alias("p2"))
     paths = e.where("c < p").select("g", F.col("c").alias("start"), F.col("p").alias("last"), F.array("c", "p").alias("cycle"))
     found = [paths.limit(0).select(F.col("g").alias("repo"), "cycle")]
-    for _ in range(2, longest + 1):
+    for _ in count(2) if longest is None else range(2, longest + 1):
         back = (F.col("g") == F.col("g2")) & (F.col("last") == F.col("c2"))
         found.append(paths.join(step, back & (F.col("p2") == F.col("start")), "left_semi").select(F.col("g").alias("repo"), "cycle"))
         nxt = paths.join(step, back & (F.col("p2") > F.col("start"))).where(~F.array_contains("cycle", F.col("p2")))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from gnomon.functions import text as T
 from gnomon.functions.complexity import complexity_column
 from gnomon.operators.graph import bounded_cycles, import_rings
+from gnomon.session import cut
 
 FINDING = ["repo", "id", "category", "severity", "title", "description", "qualified_name", "file_path", "start_line", "end_line", "details"]
 
@@ -25,6 +26,7 @@ def finding(df: DataFrame, category: str, severity: str, key: list[Column], titl
     )
 
 
+#: Titles and descriptions of the findings below.
 def dead_code(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """Symbols that no resolved call names, without entry points, dunder names and tests."""
     called = calls.where(F.col("callee_qualified_name").isNotNull()).select("repo", F.col("callee_qualified_name").alias("qualified_name")).distinct()
@@ -37,13 +39,15 @@ def dead_code(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     return finding(dead, "dead_code", "warning", [q, F.col("start_line")], F.concat(F.lit("No callers found for '"), q, F.lit("'")), note, F.to_json(F.struct("kind")), q, F.col("file_path"), F.col("start_line"), F.col("end_line"))
 
 
-def circular_dependencies(imports: DataFrame, longest: int = 8) -> DataFrame:
-    """One finding per elementary import cycle of up to `longest` files, and one per larger set of files that all reach each other."""
+def circular_dependencies(imports: DataFrame, longest: int | None = 8) -> DataFrame:
+    """One finding per elementary import cycle of up to `longest` files (of any length for None), and one per larger set of files that all reach each other."""
     c, _ = bounded_cycles(imports, longest)
     n = F.size("cycle")
     path = F.concat(F.array_join("cycle", " -> "), F.lit(" -> "), F.element_at("cycle", 1))
     shown = F.concat(F.array_join(F.slice("cycle", 1, 3), " -> "), F.when(n > 3, F.lit("...")).otherwise(F.lit("")))
     short = finding(c, "circular_dependency", "warning", [path], F.concat(F.lit("Circular import: "), shown), F.concat(F.lit("These files import each other in a cycle: "), path), F.to_json(F.struct(n.alias("cycle_length"), path.alias("cycle"))), path=F.element_at("cycle", 1))
+    if longest is None:
+        return short
     r = import_rings(imports).where(F.col("files") > longest).groupBy("repo", "ring", "files").agg(F.array_sort(F.collect_list("file")).alias("members"))
     size = F.col("files").cast("string")
     title = F.concat(F.lit("Circular imports among "), size, F.lit(" files: "), F.array_join(F.slice("members", 1, 3), ", "), F.lit("..."))
@@ -131,8 +135,7 @@ def report(analyzers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | N
     frames, ran, warned = [], [], []
     for name, make in analyzers.items():
         try:
-            frame = make().select(*FINDING).persist()
-            frame.count()  # failures show here, inside the guard
+            frame = cut(make().select(*FINDING))  # failures show here, inside the guard
         except Exception as e:  # noqa: BLE001
             warned.append((name, str(e).splitlines()[0] if str(e) else type(e).__name__))
             continue

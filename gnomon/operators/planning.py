@@ -20,6 +20,18 @@ def target(question: Column) -> Column:
     return F.when(quoted != "", quoted).when(plain != "", plain)
 
 
+def in_context(question: Column, active_symbol: Column | None = None, active_file: Column | None = None) -> Column:
+    """A question with what its asker is looking at; without either it stays as it is.  The wording is a fixed value."""
+    hints = [
+        F.when(x != "", F.concat(F.lit(said), x, F.lit("`")))
+        for x, said in ((active_symbol, "the user is currently viewing symbol `"), (active_file, "in file `")) if x is not None
+    ]
+    if not hints:
+        return question
+    text = F.array_join(F.array_compact(F.array(*hints)), " and ")
+    return F.when(text != "", F.concat(question, F.lit("\n\n(Context: "), text, F.lit(".)"))).otherwise(question)
+
+
 def _step(strategy: str, name: Column, query: Column, direction: str | None = None) -> Column:
     return F.struct(F.lit(strategy).alias("strategy"), name.cast("string").alias("target"), query.cast("string").alias("query"), F.lit(direction).cast("string").alias("direction"))
 

@@ -26,7 +26,10 @@ def resolve_names(pending: DataFrame, symbols: DataFrame, raw: str, out: str, en
     by_repo = s.groupBy("repo", "short").agg(F.sum("n").alias("n"), F.first("qualified_name").alias("q")).where("n = 1")
     name = F.col(raw)
     own = F.when(name.rlike(r"^(self|cls)\.[^.]+$") & enclosing.isNotNull(), F.concat(enclosing, F.lit("."), F.substring_index(name, ".", -1))) if enclosing is not None else F.lit(None).cast("string")
-    work = pending.withColumns({"_own": own, "_short": T.short_name(name), "_file": file_path if file_path is not None else F.lit(None).cast("string")})
+    # a name that is absent meets nothing: each row gets one of its own, so that they do not all meet in one task
+    alone = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    absent = lambda x: F.coalesce(x, alone)
+    work = pending.withColumns({"_own": absent(own), "_short": absent(T.short_name(name)), "_file": absent(file_path) if file_path is not None else F.lit(None).cast("string")})
     work = work.join(names.select(F.col("r1").alias("ra"), F.col("q1").alias("qa")), (F.col("repo") == F.col("ra")) & (F.col("_own") == F.col("qa")), "left").drop("ra")
     work = work.join(names.select(F.col("r1").alias("rb"), F.col("q1").alias("qb")), (F.col("repo") == F.col("rb")) & (name == F.col("qb")), "left").drop("rb")
     f = by_file.select(F.col("repo").alias("rc"), F.col("file_path").alias("fc"), F.col("short").alias("sc"), F.col("q").alias("qc"))

@@ -7,6 +7,7 @@ question's items as its steps name them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 
 from gnomon.functions import text as T
 from gnomon.functions import vectors
+from gnomon.session import cut
 
 EVIDENCE = ["qid", "repo", "ord", "source", "qualified_name", "file_path", "start_line", "end_line", "content", "explanation", "confidence"]
 STRATEGIES = ("symbol_lookup", "semantic_search", "call_graph", "import_graph", "hierarchy")
@@ -37,6 +39,7 @@ class Tables:
     calls: DataFrame
     inherits: DataFrame
     chunks: DataFrame
+    embed: Callable[[Column], Column] = vectors.embed  # of texts; a model is another one
 
 
 # ---- plans ---------------------------------------------------------------------
@@ -70,24 +73,25 @@ def steps_of(plans: DataFrame) -> DataFrame:
 
 
 def candidates(symbols: DataFrame, steps: DataFrame) -> DataFrame:
-    """Symbols that each step's target may mean: (qid, step, target, direction, found, confidence, symbol columns).
+    """Symbols that each step's target may mean: (qid, repo, step, target, direction, found, confidence, symbol columns).
 
     An exact name means one symbol (the last of its definitions); else all of that short name; else,
-    for dotted targets, all names that end in it.  Suffixes are a column to join on, not a scan.
+    for dotted targets, all names that end in it.  Only targets without an exact symbol go on to the
+    ends of names, of which the short name is the shortest; ends are a column to join on, not a scan.
     """
-    s = symbols.where(F.col("qualified_name").isNotNull())
-    t = steps.where(F.col("target").isNotNull()).select("qid", "step", "repo", "target", "direction")
     cols = ["sym_ord", "qualified_name", "kind", "file_path", "start_line", "end_line", "signature"]
-    body = F.struct(*cols).alias("s")
+    s = symbols.where(F.col("qualified_name").isNotNull()).select("repo", *cols)
+    t = steps.where(F.col("target").isNotNull()).select("qid", "step", "repo", "target", "direction")
     last = s.groupBy("repo", F.col("qualified_name").alias("target")).agg(F.max_by(F.struct(*cols), "sym_ord").alias("s"))
-    by_short = s.select("repo", T.short_name(F.col("qualified_name")).alias("target"), body)
+    # what has an exact symbol gets a key that meets nothing
+    onward = F.when(F.col("s").isNull(), F.col("target")).otherwise(F.concat(F.lit("\x00"), F.xxhash64("qid", "step").cast("string")))
+    first = t.join(last, ["repo", "target"], "left").withColumn("key", onward)
     parts = F.split("qualified_name", r"\.")
-    ends = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    by_end = s.where(F.size(parts) > 2).select("repo", F.explode(ends).alias("target"), body)
-    tiers = [t.join(d, ["repo", "target"]).withColumn("tier", F.lit(k)) for k, d in ((1, last), (2, by_short), (3, by_end))]
-    w = Window.partitionBy("qid", "step")
-    both = reduce(DataFrame.unionByName, tiers).withColumn("best", F.min("tier").over(w)).where("tier = best").withColumn("found", F.count("*").over(w))
-    confidence = F.when((F.col("tier") == 1) | (F.col("found") == 1), F.lit(RESOLVED)).otherwise(F.lit(AMBIGUOUS))
+    ends = F.transform(F.sequence(F.least(F.lit(2), F.size(parts)), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    by_end = s.select("repo", F.explode(ends).alias("key"), F.struct(*cols).alias("s2"))
+    both = first.join(by_end, ["repo", "key"], "left").withColumn("s", F.coalesce("s", "s2")).where(F.col("s").isNotNull())
+    both = both.withColumn("found", F.count("*").over(Window.partitionBy("qid", "step")))
+    confidence = F.when(F.col("found") == 1, F.lit(RESOLVED)).otherwise(F.lit(AMBIGUOUS))
     return both.select("qid", "repo", "step", "target", "direction", "found", confidence.alias("confidence"), "s.*")
 
 
@@ -132,30 +136,35 @@ def _wanted(c: DataFrame, kind: str, other: str) -> DataFrame:
     return c.where(~F.coalesce(F.col("direction") == other, F.lit(False)))
 
 
+def _ends(edges: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """Every edge once for each of its ends: `node` is the end and `side` which of the two names it has."""
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(n).alias("node")) for k, n in enumerate(names)])
+    return edges.select("*", F.explode(sides).alias("x")).select(*edges.columns, "x.*").where(F.col("node").isNotNull())
+
+
+def _facing(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Rows of the side (0 or 1) that the direction asks for; a direction that names neither means both."""
+    other = F.when(F.col("side") == 0, F.lit(second)).otherwise(F.lit(first))
+    return df.where(~F.coalesce(F.col("direction") == other, F.lit(False)))
+
+
 def call_evidence(t: Tables, steps: DataFrame) -> DataFrame:
     """Callers and callees, the first twenty edges per target and direction."""
     c = candidates(t.symbols, steps).select("qid", "repo", "step", "direction", "sym_ord", "confidence", F.col("qualified_name").alias("node"))
     e = t.calls.select("repo", "edge_ord", "caller_qualified_name", "callee_name", "callee_qualified_name", F.col("file_path").alias("at"), "line")
-    w = Window.partitionBy("qid", "step", "node", "sym_ord").orderBy("edge_ord")
-    first = lambda df: df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= EDGES_PER_TARGET)
-    target = F.coalesce("callee_qualified_name", "callee_name")
-    line = F.col("line").cast("string")
-    a = first(_wanted(c, "callers", "callees").join(e.withColumn("node", F.col("callee_qualified_name")), ["repo", "node"]))
-    a = _with_source(a, t.sources, "caller_qualified_name")
-    callers = _evidence(
-        a, "call_graph", [F.col("sym_ord"), F.lit(0), F.col("edge_ord")], F.col("caller_qualified_name"), F.col("at"), F.col("line"), F.col("line"),
-        T.source_or(F.col("_source"), F.concat(F.col("caller_qualified_name"), F.lit(" calls this at line "), line)), F.concat(F.lit("Calls "), target, F.lit(" (line "), line, F.lit(")")), F.col("confidence"),
-    )
-    b = first(_wanted(c, "callees", "callers").join(e.withColumn("node", F.col("caller_qualified_name")), ["repo", "node"]))
-    b = _with_source(b, t.sources, "callee_qualified_name")
-    resolved = F.col("callee_qualified_name").isNotNull()
-    text = F.concat(F.lit("Called by "), F.col("caller_qualified_name"), F.lit(" (line "), line, F.lit(")"), F.when(resolved, F.lit("")).otherwise(F.lit(" - target not resolved to a known symbol")))
-    callees = _evidence(
-        b, "call_graph", [F.col("sym_ord"), F.lit(1), F.col("edge_ord")], F.col("callee_qualified_name"), F.col("at"), F.col("line"), F.col("line"),
-        T.source_or(F.col("_source"), F.concat(F.col("caller_qualified_name"), F.lit(" calls "), target, F.lit(" at line "), line)), text,
-        F.least(F.col("confidence"), F.when(resolved, F.lit(RESOLVED)).otherwise(F.lit(UNRESOLVED))),
-    )
-    return callers.unionByName(callees)
+    x = _facing(c.join(_ends(e, ("callee_qualified_name", "caller_qualified_name")), ["repo", "node"]), "callers", "callees")
+    w = Window.partitionBy("qid", "step", "node", "sym_ord", "side").orderBy("edge_ord")
+    x = x.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= EDGES_PER_TARGET)
+    is_caller, resolved = F.col("side") == 0, F.col("callee_qualified_name").isNotNull()
+    x = _with_source(x.withColumn("shown", F.when(is_caller, F.col("caller_qualified_name")).otherwise(F.col("callee_qualified_name"))), t.sources, "shown")
+    target, line = F.coalesce("callee_qualified_name", "callee_name"), F.col("line").cast("string")
+    fallback = F.when(is_caller, F.concat(F.col("caller_qualified_name"), F.lit(" calls this at line "), line)).otherwise(F.concat(F.col("caller_qualified_name"), F.lit(" calls "), target, F.lit(" at line "), line))
+    calls = F.concat(F.lit("Calls "), target, F.lit(" (line "), line, F.lit(")"))
+    called = F.concat(F.lit("Called by "), F.col("caller_qualified_name"), F.lit(" (line "), line, F.lit(")"), F.when(resolved, F.lit("")).otherwise(F.lit(" - target not resolved to a known symbol")))
+    trust = F.when(is_caller | resolved, F.col("confidence")).otherwise(F.least(F.col("confidence"), F.lit(UNRESOLVED)))
+    return _evidence(
+        x, "call_graph", [F.col("sym_ord"), F.col("side"), F.col("edge_ord")], F.col("shown"), F.col("at"), F.col("line"), F.col("line"), T.source_or(F.col("_source"), fallback), F.when(is_caller, calls).otherwise(called), trust
+    )
 
 
 def import_evidence(t: Tables, steps: DataFrame) -> DataFrame:
@@ -175,30 +184,28 @@ def hierarchy_evidence(t: Tables, steps: DataFrame) -> DataFrame:
     """Base classes and subclasses."""
     c = candidates(t.symbols, steps).select("qid", "repo", "step", "direction", "sym_ord", "confidence", F.col("qualified_name").alias("node"))
     e = t.inherits.select("repo", "edge_ord", "class_qualified_name", "base_name", "base_qualified_name")
-    cols = ["file_path", "start_line", "end_line"]
-    place = t.symbols.groupBy("repo", F.col("qualified_name").alias("shown")).agg(F.max_by(F.struct(*cols), "sym_ord").alias("p"))
+    x = _facing(c.join(_ends(e, ("class_qualified_name", "base_qualified_name")), ["repo", "node"]), "bases", "subclasses")
+    is_base, known = F.col("side") == 0, F.col("base_qualified_name").isNotNull()
+    x = x.withColumn("shown", F.when(is_base, F.col("base_qualified_name")).otherwise(F.col("class_qualified_name")))
+    place = t.symbols.groupBy("repo", F.col("qualified_name").alias("shown")).agg(F.max_by(F.struct("file_path", "start_line", "end_line"), "sym_ord").alias("p"))
+    x = _with_source(x.join(place, ["repo", "shown"], "left"), t.sources, "shown")
+    base_of = F.concat(F.lit("Base class of "), F.col("class_qualified_name"), F.when(known, F.lit("")).otherwise(F.lit(" (external, not part of this repo)")))
+    text = F.when(is_base, base_of).otherwise(F.concat(F.lit("Subclass of "), F.coalesce("base_qualified_name", "base_name")))
     fallback = F.concat(F.col("class_qualified_name"), F.lit(" inherits from "), F.col("base_name"))
-    out = []
-    for kind, join_on, shown, other in (("bases", "class_qualified_name", "base_qualified_name", 0), ("subclasses", "base_qualified_name", "class_qualified_name", 1)):
-        x = _wanted(c, kind, "subclasses" if kind == "bases" else "bases").join(e.withColumn("node", F.col(join_on)), ["repo", "node"]).withColumn("shown", F.col(shown))
-        x = _with_source(x.join(place, ["repo", "shown"], "left"), t.sources, "shown")
-        if other:
-            text, most = F.concat(F.lit("Subclass of "), F.coalesce("base_qualified_name", "base_name")), F.lit(RESOLVED)
-        else:
-            known = F.col("base_qualified_name").isNotNull()
-            text = F.concat(F.lit("Base class of "), F.col("class_qualified_name"), F.when(known, F.lit("")).otherwise(F.lit(" (external, not part of this repo)")))
-            most = F.when(known, F.lit(RESOLVED)).otherwise(F.lit(UNRESOLVED))
-        out.append(_evidence(x, "hierarchy", [F.col("sym_ord"), F.lit(other), F.col("edge_ord")], F.col("shown"), F.col("p.file_path"), F.col("p.start_line"), F.col("p.end_line"), T.source_or(F.col("_source"), fallback), text, F.least(F.col("confidence"), most)))
-    return out[0].unionByName(out[1])
+    trust = F.when(~is_base | known, F.col("confidence")).otherwise(F.least(F.col("confidence"), F.lit(UNRESOLVED)))
+    return _evidence(
+        x, "hierarchy", [F.col("sym_ord"), F.col("side"), F.col("edge_ord")], F.col("shown"), F.col("p.file_path"), F.col("p.start_line"), F.col("p.end_line"), T.source_or(F.col("_source"), fallback), text, trust
+    )
 
 
+#: The texts of explanations here and above are fixed values.
 def semantic_evidence(t: Tables, steps: DataFrame, k: int = 8) -> DataFrame:
     """The chunks nearest to each step's query (or target), within its repository."""
     q = steps.withColumn("text", F.coalesce(F.when(F.col("query") != "", F.col("query")), F.col("target"))).where(F.col("text").isNotNull())
     key = F.xxhash64("qid", "step")
     q = q.withColumn("query_id", key)
     hits = vectors.nearest(
-        t.chunks.select(F.col("chunk_ord").alias("id"), "repo", vectors.embed(F.col("content")).alias("embedding")), q.select("query_id", "repo", vectors.embed(F.col("text")).alias("embedding")), k, within="repo"
+        t.chunks.select(F.col("chunk_ord").alias("id"), "repo", t.embed(F.col("content")).alias("embedding")), q.select("query_id", "repo", t.embed(F.col("text")).alias("embedding")), k, within="repo"
     )
     c = t.chunks.select(F.col("chunk_ord").alias("id"), "qualified_name", "file_path", "start_line", "end_line", "content")
     x = hits.join(q.select("query_id", "qid", "repo", "step", "text"), "query_id").join(c, "id")
@@ -233,41 +240,58 @@ def capped(evidence: DataFrame, plans: DataFrame) -> DataFrame:
     return e.where(~F.coalesce(cut_here, F.lit(False)) | (F.col("item") <= F.col("max_results"))).select(*EVIDENCE, "item")
 
 
-def retrievers_used(steps: DataFrame) -> DataFrame:
-    """(qid, retrievers): distinct strategies in the order of their first step."""
+def retrievers_used(steps: DataFrame, fallen_back: DataFrame | None = None) -> DataFrame:
+    """(qid, retrievers): distinct strategies in the order of their first step; last the search of the questions (qid) that fell back on it."""
     first = steps.groupBy("qid", "strategy").agg(F.min("step").alias("at"))
+    if fallen_back is not None:
+        first = first.unionByName(fallen_back.select("qid", F.lit("semantic_search").alias("strategy"), F.lit(2**31 - 1).alias("at")).distinct())
     return first.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "strategy"))), lambda x: x["strategy"]).alias("retrievers"))
 
 
-def execute(t: Tables, plans: DataFrame, retrievers: dict | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Evidence of all plans, and warnings of strategies that failed or are not registered.
+@dataclass
+class Execution:
+    """What a set of plans gave: evidence, warnings (strategy, message) and the questions (qid) that fell back on a search."""
+
+    evidence: DataFrame
+    warnings: list[tuple[str, str]]
+    fallen_back: DataFrame
+
+
+def run(t: Tables, plans: DataFrame, retrievers: dict | None = None) -> Execution:
+    """Runs every strategy over all its steps at once; one that fails or is not registered becomes a warning and the others go on.
 
-    A question whose steps found nothing and asked for no semantic search gets one over its text.
+    A question whose steps found nothing and asked for no semantic search gets one over its text,
+    under the same guard.  Results are written to the shared folder once, which shows failures.
     """
     known = retrievers or RETRIEVERS
-    steps = steps_of(plans).persist()
-    out, warned = [], []
-    asked = {r[0] for r in steps.select("strategy").distinct().collect()}  # at most one row per strategy
-    for name in sorted(asked):
+    steps = cut(steps_of(plans))
+    out: list[DataFrame] = []
+    warned: list[tuple[str, str]] = []
+
+    def guarded(name: str, some: DataFrame, absent: str) -> None:
         if name not in known:
-            warned.append((name, f"No retriever registered for {name}"))
-            continue
+            warned.append((name, absent))
+            return
         try:
-            frame = known[name](t, steps.where(F.col("strategy") == name)).select(*EVIDENCE).persist()
-            frame.count()  # failures show here, inside the guard
-            out.append(frame)
+            out.append(cut(known[name](t, some).select(*EVIDENCE)))
         except Exception as e:  # noqa: BLE001
             warned.append((name, str(e).splitlines()[0] if str(e) else type(e).__name__))
-    structured = plans.join(steps.where("strategy = 'semantic_search'").select("qid").distinct(), "qid", "left_anti")
-    empty = structured
+
+    for name in sorted(r[0] for r in steps.select("strategy").distinct().collect()):  # at most one row per strategy
+        guarded(name, steps.where(F.col("strategy") == name), f"No retriever registered for {name}")
+    empty = plans.join(steps.where("strategy = 'semantic_search'").select("qid").distinct(), "qid", "left_anti")
     for frame in out:
         empty = empty.join(frame.select("qid").distinct(), "qid", "left_anti")
-    if "semantic_search" in known:
-        null = F.lit(None).cast("string")
-        again = empty.select("qid", "repo", "question", F.lit(0).alias("step"), F.lit("semantic_search").alias("strategy"), null.alias("target"), F.col("question").alias("query"), null.alias("direction"))
-        if not again.isEmpty():
-            out.append(known["semantic_search"](t, again).select(*EVIDENCE))
-    elif not empty.isEmpty():
-        warned.append(("semantic_search", "No retriever registered for semantic_search fallback"))
-    frames = reduce(DataFrame.unionByName, out) if out else plans.sparkSession.createDataFrame([], "qid long, repo string, ord array<long>, source string, qualified_name string, file_path string, start_line int, end_line int, content string, explanation string, confidence double")
-    return capped(frames, plans), warned
+    null = F.lit(None).cast("string")
+    again = cut(empty.select("qid", "repo", "question", F.lit(0).alias("step"), F.lit("semantic_search").alias("strategy"), null.alias("target"), F.col("question").alias("query"), null.alias("direction")))
+    if not again.isEmpty():
+        guarded("semantic_search", again, "No retriever registered for semantic_search fallback")
+    kind = "repo string, ord array<long>, source string, qualified_name string, file_path string, start_line int, end_line int, content string, explanation string, confidence double"
+    frames = reduce(DataFrame.unionByName, out) if out else plans.sparkSession.createDataFrame([], f"qid long, {kind}")
+    return Execution(capped(frames, plans), warned, again.select("qid"))
+
+
+def execute(t: Tables, plans: DataFrame, retrievers: dict | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Evidence of all plans, and warnings of strategies that failed or are not registered."""
+    done = run(t, plans, retrievers)
+    return done.evidence, done.warnings

@@ -12,7 +12,7 @@ from gnomon.functions import vectors
 from gnomon.functions.complexity import complexity_column
 from gnomon.functions.register import ParsePython
 from gnomon.operators import answers, graph, insights, packing, parse, planning, resolve, retrieval
-from gnomon.session import shared_folder
+from gnomon.session import cut, shared_folder
 from gnomon.streaming import ingest
 from gnomon.tables import once, table
 
@@ -30,13 +30,19 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-def _files(s: SparkSession, d: str, *more: str) -> DataFrame:
-    return once(s, d, "source_files", "repo", "path", *more)
+def _files(s: SparkSession, d: str) -> DataFrame:
+    return once(s, d, "source_files", "repo", "path")
+
+
+def _python(s: SparkSession, d: str) -> DataFrame:
+    """The Python files with their contents, repeated rows included: what is made of them drops the repetitions, so that no content is moved for it."""
+    return table(s, d, "source_files").where(F.col("path").endswith(".py"))
 
 
 def _tables(s: SparkSession, d: str) -> retrieval.Tables:
-    symbols, files = once(s, d, "symbols"), _files(s, d, "content")
-    return retrieval.Tables(files, symbols, resolve.symbol_sources(symbols, files), once(s, d, "import_edges"), once(s, d, "call_edges"), once(s, d, "inherits_edges"), once(s, d, "chunks"))
+    symbols, chunks = once(s, d, "symbols"), once(s, d, "chunks")
+    sources = resolve.symbol_sources(symbols, table(s, d, "source_files"))
+    return retrieval.Tables(_files(s, d), symbols, sources, once(s, d, "import_edges"), once(s, d, "call_edges"), once(s, d, "inherits_edges"), chunks)
 
 
 def _steps(df: DataFrame, key: str, target: str, strategy: str, direction: str | None = None) -> DataFrame:
@@ -63,8 +69,8 @@ _DEAD = f"""qualified_name IS NOT NULL AND NOT ({_SHORT_Q} IN ('main', '__init__
 WHERE ends_with(path, '.py') AND strlen(content) BETWEEN 1 AND 500000 AND NOT contains(content, chr(0))
 AND NOT list_has_any(string_split(path, '/'), ['.git', '__pycache__', '.venv', 'venv', 'node_modules', 'dist', 'build', '.mypy_cache', '.pytest_cache', '.ruff_cache'])""")
 def q01_scan_filter(s: SparkSession, d: str) -> DataFrame:
-    f = _files(s, d, "content").where(F.col("path").endswith(".py") & F.octet_length("content").between(1, 500_000) & ~T.ignored(F.col("path")))
-    return f.where(~F.contains("content", F.lit("\x00"))).select("file_id", "repo", "path", T.line_count(F.col("content")).alias("line_count"))
+    f = _python(s, d).where(F.octet_length("content").between(1, 500_000) & ~T.ignored(F.col("path")) & ~F.contains("content", F.lit("\x00")))
+    return f.select("file_id", "repo", "path", T.line_count(F.col("content")).alias("line_count")).distinct()
 
 
 @query(rf"""WITH {_F}, l AS (SELECT repo, path, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS n FROM f WHERE ends_with(path, '.py')),
@@ -89,9 +95,18 @@ def q05_hub_files(s: SparkSession, d: str) -> DataFrame:
     return insights.hubs(once(s, d, "import_edges", "repo", "resolved_file"))
 
 
-@query(f"WITH {_S} SELECT sym_ord, repo, qualified_name FROM s WHERE kind = 'function' AND {_SHORT_Q} = 'main'")
+@query(f"""WITH {_S} SELECT sym_ord, repo, qualified_name, kind = 'function' AND {_SHORT_Q} = 'main' AS entry_point, {_SHORT_Q} IN ('main', '__init__', '__main__') OR regexp_matches({_SHORT_Q}, '^__.+__$') AS called_by_name,
+ starts_with({_SHORT_Q}, 'test_') OR len([x FOR x IN string_split(file_path, '/') IF x IN ('test', 'tests') OR starts_with(x, 'test_')]) > 0 AS test FROM s WHERE NOT ({_DEAD}) OR kind = 'function' AND {_SHORT_Q} = 'main'""")
 def q06_entry_points(s: SparkSession, d: str) -> DataFrame:
-    return insights.entry_points(once(s, d, "symbols", "repo", "qualified_name", "kind")).select("sym_ord", "repo", "qualified_name")
+    """Symbols that are called from outside, which findings of unused code pass over: entry points, names with a meaning of their own, tests."""
+    symbols = once(s, d, "symbols", "repo", "qualified_name", "kind", "file_path").where(F.col("qualified_name").isNotNull())
+    entries = insights.entry_points(symbols).select("sym_ord", F.lit(True).alias("entry_point"))
+    short = T.short_name(F.col("qualified_name"))
+    by_name = short.isin("main", "__init__", "__main__") | short.rlike("^__.+__$")
+    rest = symbols.where(T.is_test_or_entry(F.col("qualified_name"), F.col("file_path"))).join(entries, "sym_ord", "full")
+    rest = rest.withColumns({"entry_point": F.coalesce("entry_point", F.lit(False)), "called_by_name": by_name})
+    in_tests = short.startswith("test_") | T.is_test_or_entry(F.lit("x"), F.col("file_path"))
+    return rest.select("sym_ord", "repo", "qualified_name", "entry_point", "called_by_name", in_tests.alias("test"))
 
 
 @query(f"""WITH {_F}, {_S}, {_C}, {_I}, {_H},
@@ -119,15 +134,17 @@ def q08_dead_code(s: SparkSession, d: str) -> DataFrame:
     return insights.dead_code(symbols, table(s, d, "call_edges")).select("repo", "id", "title", "qualified_name", "file_path", "start_line")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT repo, importer_file AS c, resolved_file AS p FROM import_edges WHERE resolved_file IS NOT NULL AND importer_file <> resolved_file),
+@query("""WITH RECURSIVE e0 AS (SELECT DISTINCT repo, importer_file AS c, resolved_file AS p FROM import_edges WHERE importer_file IS NOT NULL AND resolved_file IS NOT NULL AND importer_file <> resolved_file),
+r AS (SELECT repo, c AS x, p AS y FROM e0 UNION SELECT r.repo, r.x, e0.p FROM r JOIN e0 ON r.repo = e0.repo AND r.y = e0.c),
+e AS (SELECT e0.* FROM e0 JOIN r ON r.repo = e0.repo AND r.x = e0.p AND r.y = e0.c),
 w AS (SELECT repo, c AS first, p AS last, [c, p] AS names FROM e WHERE c < p
- UNION ALL SELECT w.repo, w.first, e.p, list_append(w.names, e.p) FROM w JOIN e ON e.repo = w.repo AND e.c = w.last AND e.p > w.first AND NOT list_contains(w.names, e.p) WHERE len(w.names) < 4)
-SELECT w.repo, array_to_string(names, ' > ') AS cycle, CAST(len(names) AS INTEGER) AS length FROM w JOIN e ON e.repo = w.repo AND e.c = w.last AND e.p = w.first""")
+ UNION ALL SELECT w.repo, w.first, e.p, list_append(w.names, e.p) FROM w JOIN e ON e.repo = w.repo AND e.c = w.last AND e.p > w.first AND NOT list_contains(w.names, e.p) WHERE len(w.names) < 9)
+SELECT w.repo, array_to_string(names, ' > ') AS cycle, CAST(len(names) AS INTEGER) AS length FROM w JOIN e ON e.repo = w.repo AND e.c = w.last AND e.p = w.first WHERE len(names) <= 8
+UNION ALL SELECT DISTINCT repo, '(longer not listed)', -1 FROM w WHERE len(names) = 9""")
 def q09_cycles(s: SparkSession, d: str) -> DataFrame:
     """Elementary import cycles of up to eight files, and a row of length -1 per repository where longer ways were not followed.
 
     The number of cycles grows with length; q47_import_rings holds every file on a cycle of any length.
-    The SQL lists cycles of up to four files only.
     """
     c, left = graph.bounded_cycles(table(s, d, "import_edges"))
     c = c.select("repo", F.array_join("cycle", " > ").alias("cycle"), F.size("cycle").alias("length"))
@@ -178,7 +195,7 @@ def q12_import_resolution(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_S}, {_F} SELECT s.repo, s.qualified_name, arg_max(array_to_string({_LINES}[start_line:end_line], chr(10)), sym_ord) AS source
 FROM s JOIN f ON f.repo = s.repo AND f.path = s.file_path WHERE content IS NOT NULL GROUP BY s.repo, s.qualified_name""")
 def q13_symbol_sources(s: SparkSession, d: str) -> DataFrame:
-    return resolve.symbol_sources(once(s, d, "symbols", "repo", "qualified_name", "file_path", "start_line", "end_line"), _files(s, d, "content"))
+    return resolve.symbol_sources(once(s, d, "symbols", "repo", "qualified_name", "file_path", "start_line", "end_line"), table(s, d, "source_files"))
 
 
 @query(f"""WITH {_S}, {_C}, t AS (SELECT edge_ord AS qid, repo, callee_name AS target FROM c WHERE edge_ord % 20 = 0),
@@ -246,13 +263,31 @@ def q19_nearest(s: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query()
+def _embedded(name: str, key: str, text: str) -> str:
+    """SQL of the default embedder: hashed words, damped, of length one, in single precision."""
+    return f"""{name}w AS (SELECT {key} AS id, repo, lower(unnest(regexp_extract_all({text}, '[A-Za-z]+|[0-9]+'))) AS w FROM {name}),
+{name}h AS (SELECT id, repo, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM {name}w),
+{name}b AS (SELECT id, repo, h % 256 AS b, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS n FROM {name}h GROUP BY ALL),
+{name}l AS (SELECT id, repo, b, sign(n) * ln(1 + abs(n)) AS x FROM {name}b),
+{name}n AS (SELECT id, sqrt(sum(x * x)) AS n FROM {name}l GROUP BY id),
+{name}v AS (SELECT l.id, repo, b, CAST(CAST(x / n AS FLOAT) AS DOUBLE) AS x FROM {name}l l JOIN {name}n k ON k.id = l.id WHERE n > 0)"""
+
+
+@query(f"""WITH c AS (SELECT DISTINCT chunk_ord, repo, content FROM chunks), q AS (SELECT DISTINCT doc_id, repo, text FROM documents WHERE doc_id % 20 = 0 AND length(trim(text)) > 0),
+{_embedded("c", "chunk_ord", "content")}, {_embedded("q", "doc_id", "text")},
+cz AS (SELECT id, sqrt(sum(x * x)) AS n FROM cv GROUP BY id), qz AS (SELECT id, sqrt(sum(x * x)) AS n FROM qv GROUP BY id),
+p AS (SELECT q.id AS q, c.id AS c, sum(q.x * c.x) AS s FROM qv q JOIN cv c ON c.repo = q.repo AND c.b = q.b GROUP BY ALL),
+d AS (SELECT q.id AS q, c.id AS c, 1 - coalesce(p.s, 0) / (qz.n * cz.n) AS distance FROM (SELECT DISTINCT id, repo FROM qv) q JOIN (SELECT DISTINCT id, repo FROM cv) c ON c.repo = q.repo
+ JOIN qz ON qz.id = q.id JOIN cz ON cz.id = c.id LEFT JOIN p ON p.q = q.id AND p.c = c.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(distance, 12), c) AS k FROM d)
+SELECT DISTINCT q AS qid, qualified_name, file_path, start_line, round(greatest(0, 1 - distance), 6) AS confidence, CAST(k AS BIGINT) AS place FROM r JOIN chunks ON chunk_ord = c WHERE k <= 8""")
 def q20_semantic_evidence(s: SparkSession, d: str) -> DataFrame:
     """Every twentieth document's text against the chunks of its repository."""
     t = retrieval.Tables(*[once(s, d, "chunks")] * 7)
     docs = once(s, d, "documents", "repo", "text").where(F.length(F.trim("text")) > 0)
     steps = _steps(docs, "doc_id", "text", "semantic_search")
-    return retrieval.semantic_evidence(t, steps).select("qid", "qualified_name", "file_path", "start_line", F.round("confidence", 6).alias("confidence"))
+    e = retrieval.semantic_evidence(t, steps)
+    return e.select("qid", "qualified_name", "file_path", "start_line", F.round("confidence", 6).alias("confidence"), F.element_at("ord", 2).alias("place"))
 
 
 @query("""WITH c AS (SELECT DISTINCT repo, qualified_name, id FROM chunks), r AS (SELECT *, row_number() OVER (PARTITION BY repo, qualified_name ORDER BY id) AS rank FROM c)
@@ -279,20 +314,34 @@ def _plans(s: SparkSession, d: str) -> DataFrame:
     return syms.select(F.col("sym_ord").alias("qid"), "repo", F.concat(F.lit("What calls "), F.col("qualified_name"), F.lit("?")).alias("question"), F.array(step("symbol_lookup"), step("call_graph", F.lit("callers"))).alias("steps"), F.lit(5).alias("max_results"))
 
 
-@query()
+_RUN = f"""{_S}, {_C}, {_F},
+t AS (SELECT sym_ord AS qid, repo, qualified_name AS node FROM s WHERE sym_ord % 20 = 0 AND qualified_name IS NOT NULL),
+src AS (SELECT s.repo, s.qualified_name, arg_max(array_to_string({_LINES}[start_line:end_line], chr(10)), sym_ord) AS source FROM s JOIN f ON f.repo = s.repo AND f.path = s.file_path WHERE content IS NOT NULL GROUP BY s.repo, s.qualified_name),
+l AS (SELECT repo, qualified_name, max(sym_ord) AS o, arg_max(file_path, sym_ord) AS p, arg_max(start_line, sym_ord) AS a, arg_max(end_line, sym_ord) AS b, arg_max(coalesce(signature, chr(0)), sym_ord) AS g FROM s GROUP BY ALL),
+u AS (SELECT qid, t.repo, 0 AS step, CAST(0 AS BIGINT) AS e, 'symbol' AS source, node AS qualified_name, p AS file_path, a AS start_line, b AS end_line, 'Exact match for ''' || node || '''' AS explanation, nullif(g, chr(0)) AS fallback
+ FROM t JOIN l ON l.repo = t.repo AND l.qualified_name = node
+ UNION ALL SELECT qid, t.repo, 1, edge_ord, 'call_graph', caller_qualified_name, file_path, line, line, 'Calls ' || coalesce(callee_qualified_name, callee_name) || ' (line ' || line || ')', caller_qualified_name || ' calls this at line ' || line
+ FROM t JOIN c ON c.repo = t.repo AND c.callee_qualified_name = node),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY step, e) AS INTEGER) AS item FROM u QUALIFY item <= 5),
+v AS (SELECT r.*, coalesce(nullif(src.source, ''), fallback) AS content FROM r LEFT JOIN src ON src.repo = r.repo AND src.qualified_name = r.qualified_name)"""
+
+
+@query(f"WITH {_RUN} SELECT qid, item, source, qualified_name, explanation, CAST(1 AS DOUBLE) AS confidence FROM v")
 def q23_execute(s: SparkSession, d: str) -> DataFrame:
     """Plans run to evidence with caps and the semantic fallback."""
     evidence, _ = retrieval.execute(_tables(s, d), _plans(s, d))
     return evidence.select("qid", "item", "source", "qualified_name", "explanation", "confidence")
 
 
-@query()
+@query(f"""WITH {_RUN}, k AS (SELECT qid, item, '[' || item || '] source=' || source || ' location=' || CASE WHEN file_path IS NULL THEN '(no location)' WHEN start_line IS NULL OR end_line IS NULL THEN file_path ELSE file_path || ':' || start_line || '-' || end_line END
+ || ' confidence=1.00' || chr(10) || 'reason: ' || explanation || chr(10) || coalesce(content, '') AS block FROM v)
+SELECT qid, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY item) AS evidence_text FROM k GROUP BY qid""")
 def q24_prompts(s: SparkSession, d: str) -> DataFrame:
     evidence, _ = retrieval.execute(_tables(s, d), _plans(s, d))
     return answers.prompts(evidence)
 
 
-@query()
+@query(f"WITH {_RUN} SELECT qid, item - 1 AS place, item, source, qualified_name, file_path, start_line, end_line FROM v WHERE item <= 3")
 def q25_answers(s: SparkSession, d: str) -> DataFrame:
     """Extractive answers, their citations resolved to evidence."""
     evidence, _ = retrieval.execute(_tables(s, d), _plans(s, d))
@@ -310,11 +359,13 @@ def q26_batch_packing(s: SparkSession, d: str) -> DataFrame:
     return packing.pack(docs, "repo", "doc_id", "n_chars")
 
 
-@query("""WITH c AS (SELECT DISTINCT chunk_ord, repo, length(content) AS n FROM chunks) SELECT repo, CAST(count_if(n > 512) AS BIGINT) AS truncated, CAST(max(n) AS INTEGER) AS longest, CAST(sum(least(n, 512)) AS BIGINT) AS kept FROM c GROUP BY repo""")
+@query("""WITH c AS (SELECT DISTINCT chunk_ord, repo, len(regexp_extract_all(content, '[A-Za-z]+|[0-9]+')) AS n FROM chunks)
+SELECT repo, CAST(count_if(n > 64) AS BIGINT) AS truncated, CAST(max(n) AS INTEGER) AS longest, CAST(sum(least(n, 64)) AS BIGINT) AS kept FROM c GROUP BY repo""")
 def q27_truncate(s: SparkSession, d: str) -> DataFrame:
+    """Chunks cut at 64 tokens, as for a model that takes no more."""
     c = once(s, d, "chunks", "repo", "content")
-    kept = F.length(F.substring("content", 1, 512))
-    return c.groupBy("repo").agg(F.count_if(F.length("content") > 512).alias("truncated"), F.max(F.length("content")).alias("longest"), F.sum(kept).alias("kept"))
+    n, kept = F.size(vectors.tokens(F.col("content"))), F.size(vectors.tokens(vectors.truncated(F.col("content"), 64)))
+    return c.groupBy("repo").agg(F.count_if(n > 64).alias("truncated"), F.max(n).alias("longest"), F.sum(kept.cast("long")).alias("kept"))
 
 
 @query(rf"""WITH f AS (SELECT DISTINCT repo, path FROM source_files WHERE ends_with(path, '.py')), m AS (SELECT *, {_MODULE} AS module FROM f)
@@ -426,32 +477,36 @@ def q37_flagship_report(s: SparkSession, d: str) -> DataFrame:
 @query()
 def q38_complexity(s: SparkSession, d: str) -> DataFrame:
     symbols = once(s, d, "symbols", "repo", "qualified_name", "kind", "file_path", "start_line", "end_line")
-    return insights.complexity(symbols, resolve.symbol_sources(symbols, _files(s, d, "content")), 4).select("repo", "qualified_name", "start_line", "details")
+    return insights.complexity(symbols, resolve.symbol_sources(symbols, table(s, d, "source_files")), 4).select("repo", "qualified_name", "start_line", "details")
 
 
-@query()
+@query(f"WITH {_S} SELECT sym_ord, repo, qualified_name, kind, file_path, start_line, end_line, signature FROM s")
 def q39_parse_symbols(s: SparkSession, d: str) -> DataFrame:
-    """The source files parsed again to symbols."""
-    f = _files(s, d, "content").where(F.col("path").endswith(".py"))
-    return parse.symbols(parse.parse(f)).select("repo", "qualified_name", "kind", "file_path", "start_line", "end_line", "signature", "docstring")
+    """The given symbols as parsing all files again reads them; the SQL has what the table says."""
+    keys = ["repo", "file_path", "qualified_name", "start_line"]
+    read = parse.symbols(parse.parse(_python(s, d))).select(*keys, "kind", "end_line", "signature").dropDuplicates(keys)
+    return once(s, d, "symbols", *keys).join(read, keys, "left").select("sym_ord", "repo", "qualified_name", "kind", "file_path", "start_line", "end_line", "signature")
 
 
-@query()
+@query("WITH c AS (SELECT DISTINCT * EXCLUDE (docstring) FROM chunks) SELECT chunk_ord, repo, id, chunk_type, qualified_name, start_line, end_line, md5(content) AS content FROM c")
 def q40_parse_chunks(s: SparkSession, d: str) -> DataFrame:
-    f = _files(s, d, "content").where(F.col("path").endswith(".py"))
-    return parse.chunks(parse.parse(f)).select("repo", "id", "chunk_type", "qualified_name", "start_line", "end_line")
+    """The given chunks as parsing all files again reads them, their contents as a hash."""
+    read = parse.chunks(parse.parse(_python(s, d))).select("repo", "id", "chunk_type", "qualified_name", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("content")).dropDuplicates(["repo", "id"])
+    return once(s, d, "chunks", "repo", "id").join(read, ["repo", "id"], "left").select("chunk_ord", "repo", "id", "chunk_type", "qualified_name", "start_line", "end_line", "content")
 
 
-@query()
+@query(f"""WITH {_C}, {_I} SELECT edge_ord, repo, 'call' AS kind, file_path AS at, callee_name AS name, callee_qualified_name AS target FROM c
+UNION ALL SELECT edge_ord, repo, 'import', importer_file, imported_module, resolved_file FROM i""")
 def q41_parse_edges(s: SparkSession, d: str) -> DataFrame:
-    """Calls and imports of the source files, parsed and resolved."""
-    f = _files(s, d, "content").where(F.col("path").endswith(".py"))
-    p = parse.parse(f)
-    sym = parse.symbols(p)
-    calls = resolve.resolve_names(parse.calls(p), sym, "callee_name", "target", F.col("enclosing_class"), F.col("file_path"))
-    imports = resolve.resolve_imports(parse.imports(p), resolve.module_map(f, "file_id"), "target")
-    a = calls.select("repo", F.lit("call").alias("kind"), F.col("file_path").alias("at"), F.col("callee_name").alias("name"), "target")
-    return a.unionByName(imports.select("repo", F.lit("import").alias("kind"), F.col("importer_file").alias("at"), F.col("imported_module").alias("name"), "target"))
+    """The given call and import edges as parsing all files again finds and resolves them."""
+    p = cut(parse.parse(_python(s, d)))
+    sym = parse.symbols(p).dropDuplicates(["repo", "file_path", "ord"])
+    keys = ["repo", "file_path", "caller_qualified_name", "callee_name", "line"]
+    calls = resolve.resolve_names(parse.calls(p).dropDuplicates(keys), sym, "callee_name", "target", F.col("enclosing_class"), F.col("file_path")).select(*keys, "target")
+    imports = resolve.resolve_imports(parse.imports(p), resolve.module_map(_files(s, d), "file_id"), "target").select("repo", "importer_file", "imported_module", "target").distinct()
+    a = once(s, d, "call_edges", *keys).join(calls, keys, "left").select("edge_ord", "repo", F.lit("call").alias("kind"), F.col("file_path").alias("at"), F.col("callee_name").alias("name"), "target")
+    b = once(s, d, "import_edges", "repo", "importer_file", "imported_module").join(imports, ["repo", "importer_file", "imported_module"], "left")
+    return a.unionByName(b.select("edge_ord", "repo", F.lit("import").alias("kind"), F.col("importer_file").alias("at"), F.col("imported_module").alias("name"), "target"))
 
 
 @query("""SELECT chunk_type, count(*) AS chunks FROM (SELECT DISTINCT chunk_ord, chunk_type FROM chunks) GROUP BY chunk_type""")
@@ -479,12 +534,16 @@ def q44_rule_plans(s: SparkSession, d: str) -> DataFrame:
     return p.select("qid", planning.target(F.col("question")).alias("target"), "intent")
 
 
-@query()
+@query(f"WITH {_S} SELECT repo, kind, count(*) AS symbols FROM s GROUP BY ALL")
 def q45_parse_table_function(s: SparkSession, d: str) -> DataFrame:
-    """The table function parse_python over the files of each repository: symbols per kind."""
+    """The given symbols that the table function parse_python finds in the files, per repository and kind."""
     s.udtf.register("parse_python", ParsePython)
-    _files(s, d, "content").where(F.col("path").endswith(".py") & F.col("content").isNotNull()).createOrReplaceTempView("gnomon_files")
-    return s.sql("SELECT f.repo, p.kind, count(*) AS symbols FROM gnomon_files f, LATERAL parse_python(f.path, f.content) p GROUP BY f.repo, p.kind")
+    _python(s, d).where(F.col("content").isNotNull()).createOrReplaceTempView("gnomon_files")
+    once(s, d, "symbols", "repo", "file_path", "qualified_name", "start_line").createOrReplaceTempView("gnomon_symbols")
+    return s.sql(
+        """WITH found AS (SELECT DISTINCT f.repo, f.path, p.qualified_name, p.start_line, p.kind FROM gnomon_files f, LATERAL parse_python(f.path, f.content) p)
+        SELECT repo, kind, count(*) AS symbols FROM gnomon_symbols JOIN found USING (repo, qualified_name, start_line) WHERE path = file_path GROUP BY repo, kind"""
+    )
 
 
 @query(r"""SELECT strftime(date_trunc('day', ingested_at), '%Y-%m-%d') AS day, repo, count(*) AS files, CAST(sum(coalesce(len(regexp_extract_all(content, '(?i)#\s*(TODO|FIXME|HACK|XXX)\b')), 0)) AS BIGINT) AS markers

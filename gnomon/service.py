@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gnomon.operators import answers, insights, parse, planning, resolve, retrieval
-from gnomon.sources.scan import scan
+from gnomon.sources.scan import NothingTracked, scan, tracked
 from gnomon.sources.store import SCHEMA_VERSION, Store
 from gnomon.session import cut
 
@@ -21,8 +21,14 @@ CATEGORIES = ("dead_code", "circular_dependency", "complexity", "todo", "archite
 
 
 def ingest(spark: SparkSession, root: str, repo: str, store: Store, files: DataFrame | None = None) -> None:
-    """Parses a repository once and replaces its tables."""
-    found = files if files is not None else scan(spark, root, repo)
+    """Parses a repository once and replaces its tables; of a git repository on this machine only what git tracks."""
+    if files is not None:
+        found = files
+    else:
+        try:
+            found = scan(spark, root, repo, tracked=None if "://" in root else tracked(spark, root))
+        except NothingTracked as e:
+            raise IngestionFailed(f"git tracks no file below {root}") from e
     found = cut(found.withColumn("file_id", F.xxhash64("repo", "path")))
     if found.isEmpty():
         raise IngestionFailed(f"no readable source files below {root}")

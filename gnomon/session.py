@@ -62,21 +62,28 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is
-    unset (a local test) is a folder made.  The files are removed with the last reference
-    where spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    The folder is the one the cluster names in spark.checkpoint.dir.  The files are removed with
+    the last reference where spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder all executors share; a local session, whose executors are this process, may make its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the shared one that the cluster names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/gnomon-{uuid.uuid4().hex}"
+    return f"{_shared(spark).rstrip('/')}/gnomon-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +29,22 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, absolute_path string, size long")
 
 
+class NothingTracked(Exception):
+    """A git repository whose index lists no file: a broken index or an unfinished checkout, not an empty project."""
+
+
+def tracked(spark: SparkSession, root: str) -> DataFrame | None:
+    """(path) of the files that git tracks below `root`, a local path; None where it is no repository or git is missing."""
+    try:
+        out = subprocess.run(["git", "ls-files", "-z"], cwd=root, capture_output=True, text=True, check=True).stdout
+    except (subprocess.CalledProcessError, FileNotFoundError, NotADirectoryError):
+        return None
+    names = [(x,) for x in out.split("\0") if x]
+    if not names:
+        raise NothingTracked(root)
+    return spark.createDataFrame(names, "path string")
+
+
 def scan(spark: SparkSession, root: str, repo: str, extension: str = ".py", most: int = MAX_BYTES, tracked: DataFrame | None = None) -> DataFrame:
     """(repo, path, absolute_path, content, line_count) of the readable text files below `root`.
 

@@ -41,6 +41,8 @@ class Store:
             df = self.spark.read.schema(f"{TABLES[name]}, repo string").parquet(f"{self.root}/{name}")
         except AnalysisException:
             return None
+        if name == "chunks":  # an empty text is none
+            df = df.withColumn("docstring", F.nullif("docstring", F.lit("")))
         return df if repo is None else df.where(F.col("repo") == repo)
 
     def repos(self) -> list[str]:

@@ -224,7 +224,7 @@ def test_nearest(spark):
     rnd = random.Random(1)
     rows = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(90)] + [(200, None), (201, []), (202, [0.0] * 6), (203, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
-    got = vectors.nearest(df, df.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 4, block=2).collect()
+    got = vectors.nearest(df, df.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 4, row_block=20, query_block=2).collect()
     for q in range(0, 90, 20):
         def dist(v, w=rows[q][1]):
             return 1 - sum(a * b for a, b in zip(v, w, strict=True)) / math.sqrt(sum(a * a for a in v) * sum(b * b for b in w))
@@ -234,6 +234,108 @@ def test_nearest(spark):
     assert vectors.nearest(df.limit(0), df.limit(0).withColumnRenamed("id", "query_id")).count() == 0
 
 
+def test_nearest_within_groups(spark):
+    """Blocks of any size give the same rows; groups do not meet, and null ones meet nothing."""
+    import random
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice(["a", "a", "a", "b", None]), [float(rnd.randrange(3)) for _ in range(4)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, repo string, embedding array<float>")
+    q = df.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    one, two = ({tuple(r) for r in vectors.nearest(df, q, 5, within="repo", row_block=a, query_block=b).select("query_id", "id", "rank").collect()} for a, b in ((10**6, 10**6), (7, 3)))
+    assert one == two
+    group = {i: (g, v) for i, g, v in rows}
+    for k in range(0, 150, 3):
+        g, v = group[k]
+        n = math.sqrt(sum(x * x for x in v))
+        near = sorted((round(1 - sum(a * b for a, b in zip(v, w, strict=True)) / n / math.sqrt(sum(b * b for b in w)), 12), i) for i, (h, w) in group.items() if g is not None and h == g and n and any(w))
+        assert [i for _, i, _ in sorted((rank, i, q_) for q_, i, rank in one if q_ == k)] == [i for _, i in near[:5]]
+
+
+def test_the_embedder_is_given(spark):
+    t = tables(spark, {"a.py": "def xx(): pass\ndef yyyy(): pass\n"})
+    by_length = lambda c: F.array(F.length(c).cast("float"), F.lit(1.0).cast("float"))
+    t = retrieval.Tables(**{**t.__dict__, "embed": by_length})
+    step = "qid long, repo string, step int, strategy string, target string, query string, direction string"
+    got = retrieval.semantic_evidence(t, spark.createDataFrame([(0, "r", 0, "semantic_search", None, "x" * 40, None)], step)).collect()
+    assert len(got) == 2 and all(r["confidence"] > 0.99 for r in got)
+    assert one(spark, vectors.truncated(F.col("x"), 2), x="a, b-c d") == "a b" and one(spark, vectors.truncated(F.col("x"), 9), x="a, b-c d") == "a, b-c d"
+
+
+def test_hints_and_templates(spark):
+    from gnomon.operators import planning
+
+    df = spark.createDataFrame([("q?", "a.b", "f.py"), ("q?", None, "f.py"), ("q?", "", None), ("q?", "a.b", "")], "q string, s string, f string")
+    got = [r[0] for r in df.select(planning.in_context(F.col("q"), F.col("s"), F.col("f"))).collect()]
+    assert got == ["q?\n\n(Context: the user is currently viewing symbol `a.b` and in file `f.py`.)", "q?\n\n(Context: in file `f.py`.)", "q?", "q?\n\n(Context: the user is currently viewing symbol `a.b`.)"]
+    assert one(spark, planning.in_context(F.col("q")), q="q?") == "q?"
+    assert [r[0] for r in df.select(answers.filled("Q: $q, ${s}! $$5", {"q": F.col("q"), "s": F.col("s")})).collect()][:2] == ["Q: q?, a.b! $5", "Q: q?, ! $5"]
+    with pytest.raises(KeyError):
+        answers.filled("$nope", {})
+    with pytest.raises(ValueError):
+        answers.filled("5 $ a", {})
+
+
+def test_tracked_files(spark, tmp_path):
+    import subprocess
+
+    from gnomon.sources.scan import NothingTracked, tracked
+
+    assert tracked(spark, str(tmp_path)) is None and tracked(spark, str(tmp_path / "no")) is None
+    (tmp_path / "a.py").write_text("x = 1\n")
+    (tmp_path / "b.py").write_text("y = 1\n")
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    with pytest.raises(NothingTracked):
+        tracked(spark, str(tmp_path))
+    store = Store(spark, str(tmp_path / "store"))
+    with pytest.raises(service.IngestionFailed):
+        service.ingest(spark, str(tmp_path), "r", store)
+    subprocess.run(["git", "-C", str(tmp_path), "add", "a.py"], check=True)
+    service.ingest(spark, str(tmp_path), "r", store)
+    assert [r[0] for r in store.read("files", "r").select("path").collect()] == ["a.py"]
+
+
+def test_empty_documentation_is_none(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.write("chunks", spark.createDataFrame([("i", "", "r"), ("j", "Doc.", "r")], "id string, docstring string, repo string"))
+    assert {(r["id"], r["docstring"]) for r in store.read("chunks", "r").collect()} == {("i", None), ("j", "Doc.")}
+
+
+def test_a_failing_fallback_is_a_warning(spark):
+    t = tables(spark, {"a.py": "def f(): pass\n"})
+    plan = "qid long, repo string, question string, steps array<struct<strategy: string, target: string, query: string, direction: string>>, max_results int"
+    plans = spark.createDataFrame([(0, "r", "?", [("symbol_lookup", "f", None, None)], None), (1, "r", "?", [("symbol_lookup", "nothing", None, None)], None)], plan)
+
+    def broken(t, steps):
+        raise RuntimeError("no index")
+
+    done = retrieval.run(t, plans, {**retrieval.RETRIEVERS, "semantic_search": broken})
+    assert done.warnings == [("semantic_search", "no index")] and {r["qid"] for r in done.evidence.collect()} == {0}
+    used = {r["qid"]: r["retrievers"] for r in retrieval.retrievers_used(retrieval.steps_of(plans), done.fallen_back).collect()}
+    assert used == {0: ["symbol_lookup"], 1: ["symbol_lookup", "semantic_search"]}
+    del_search = {k: v for k, v in retrieval.RETRIEVERS.items() if k != "semantic_search"}
+    assert retrieval.run(t, plans, del_search).warnings == [("semantic_search", "No retriever registered for semantic_search fallback")]
+
+
+def test_cycles_of_any_length(spark):
+    ring = [("r", i, f"f{i:02}", "m", f"f{(i + 1) % 12:02}") for i in range(12)]
+    df = spark.createDataFrame(ring, "repo string, edge_ord long, importer_file string, imported_module string, resolved_file string")
+    assert [len(r["cycle"]) for r in graph.import_cycles(df, None).collect()] == [12] and graph.import_cycles(df).count() == 0
+    assert [json.loads(r["details"])["cycle_length"] for r in insights.circular_dependencies(df, None).collect()] == [12]
+
+
+def test_the_shared_folder_is_not_guessed(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from gnomon import session
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://h:7077"))
+    with pytest.raises(RuntimeError):
+        session._shared(cluster)
+    cluster.sparkContext.master = "local[4]"
+    assert session._shared(cluster).startswith("/tmp/")
+
+
 def test_packing(spark):
     def batches(rows, most, budget):
         df = spark.createDataFrame([("g", i, n) for i, n in enumerate(rows)], "g string, i long, n long")
@@ -356,7 +458,7 @@ def test_streaming(spark, tmp_path):
     assert {(r["repo"], r["files"], r["markers"]) for r in spark.table("markers").collect()} == {("r", 2, 2), ("q", 1, 1)}
 
 
-@pytest.mark.parametrize("name", ["q05_hub_files", "q08_dead_code", "q10_call_resolution", "q14_symbol_candidates", "q19_nearest", "q26_batch_packing", "p1_found"])
+@pytest.mark.parametrize("name", ["q01_scan_filter", "q05_hub_files", "q06_entry_points", "q08_dead_code", "q09_cycles", "q10_call_resolution", "q13_symbol_sources", "q14_symbol_candidates", "q16_call_evidence", "q18_hierarchy_evidence", "q19_nearest", "q20_semantic_evidence", "q23_execute", "q24_prompts", "q25_answers", "q26_batch_packing", "q27_truncate", "q39_parse_symbols", "q40_parse_chunks", "q41_parse_edges", "q45_parse_table_function", "p1_found", "p1_descendants"])
 def test_queries_against_sql(spark, name):
     import __spark_entry__ as entry
 
