@@ -3,8 +3,9 @@
 A packrat grammar per language reads a function's header and the documentation that belongs to
 it, with source offsets: for Python the string that opens the body, for JavaScript the `/** */`
 comment before a function.  Symbols and chunks of the same repository, file and lines are joined;
-the documentation is the first that survives of the symbol's, the chunk's and the one the grammar
-finds in the chunk's code.  Texts that say no more than name and parameters are dropped.
+the documentation is the one the grammar finds in the chunk's code, and only where the code has
+lost it the chunk's own or the symbol's (`found_in` tells which).  Texts that say no more than
+name and parameters are dropped.
 
 Defined results: a null or blank docstring counts as absent; null contents have no documentation
 of their own; rows with a null repository, file or line join nothing; repeated rows count once;
@@ -228,7 +229,7 @@ def _chunk_docs(chunks: DataFrame) -> DataFrame:
         F.when(F.length(F.trim("docstring")) > 0, F.col("docstring")).alias("doc"), "content",
     )
     fields = "chunk_ord string, repo string, file_path string, a string, b string, doc string, own_name string, own_doc string"
-    return src.mapInPandas(run, fields).select("chunk_ord", "repo", "file_path", "a", "b", "own_name", F.coalesce("doc", "own_doc").alias("chunk_doc"))
+    return src.mapInPandas(run, fields).select("chunk_ord", "repo", "file_path", "a", "b", "own_name", F.when(F.length(F.trim("own_doc")) > 0, F.col("own_doc")).alias("code_doc"), F.col("doc").alias("chunk_doc"))
 
 
 @F.pandas_udf(BooleanType())
@@ -237,16 +238,17 @@ def informs_udf(doc: pd.Series, name: pd.Series, signature: pd.Series) -> pd.Ser
 
 
 def pairs(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(sym_ord, chunk_ord, repo, qualified_name, signature, documentation), informative ones only."""
+    """(sym_ord, chunk_ord, repo, qualified_name, signature, documentation, found_in), informative ones only."""
     s = symbols.where(F.col("kind").isin("function", "method")).select(
         "sym_ord", "repo", "file_path", F.col("start_line").cast("string").alias("a"), F.col("end_line").cast("string").alias("b"), "qualified_name", "signature",
         F.when(F.length(F.trim("docstring")) > 0, F.col("docstring")).alias("sym_doc"),
     )
     short = F.substring_index("qualified_name", ".", -1)
     joined = s.join(_chunk_docs(chunks), ["repo", "file_path", "a", "b"]).where(F.col("own_name").isNull() | F.col("qualified_name").isNull() | (F.col("own_name") == short))
-    out = joined.withColumn("documentation", F.coalesce("sym_doc", "chunk_doc")).where(F.col("documentation").isNotNull())
+    found_in = F.when(F.col("code_doc").isNotNull(), "code").when(F.col("chunk_doc").isNotNull(), "chunk").otherwise("symbol")
+    out = joined.withColumns({"documentation": F.coalesce("code_doc", "chunk_doc", "sym_doc"), "found_in": found_in}).where(F.col("documentation").isNotNull())
     out = out.where(informs_udf("documentation", short, "signature"))
-    return out.select("sym_ord", F.col("chunk_ord").cast("long").alias("chunk_ord"), "repo", "qualified_name", "signature", "documentation").dropDuplicates(["sym_ord", "chunk_ord"])
+    return out.select("sym_ord", F.col("chunk_ord").cast("long").alias("chunk_ord"), "repo", "qualified_name", "signature", "documentation", "found_in").dropDuplicates(["sym_ord", "chunk_ord"])
 
 
 def javascript(files: DataFrame) -> DataFrame:
