@@ -4,8 +4,9 @@ A packrat grammar per language reads a function's header and the documentation t
 it, with source offsets: for Python the string that opens the body, for JavaScript the `/** */`
 comment before a function.  Symbols and chunks of the same repository, file and lines are joined;
 the documentation is the one the grammar finds in the chunk's code, and only where the code has
-lost it the chunk's own or the symbol's (`found_in` tells which).  Texts that say no more than
-name and parameters are dropped.
+lost it, or has one that tells nothing, the chunk's own or the symbol's (`found_in` tells which).  Texts that say no more than
+name and parameters are dropped; what the grammar reads is judged by the header it reads with it,
+in the task that holds the code, so that no text is shuffled to be judged.
 
 Defined results: a null or blank docstring counts as absent; null contents have no documentation
 of their own; rows with a null repository, file or line join nothing; repeated rows count once;
@@ -64,8 +65,8 @@ def _literal(text: str, start: int, end: int, value: Any) -> tuple[str, int, int
 
 
 def _function(text: str, start: int, end: int, value: list) -> dict[str, Any]:
-    _, _, intro, name, _, _, _, _, _, _, doc = value
-    return {"name": text[name[0] : name[1]], "start": intro[0], "end": end, "doc": doc[0] if doc else None}
+    _, _, intro, name, _, _, _, _, _, colon, doc = value
+    return {"name": text[name[0] : name[1]], "start": intro[0], "end": end, "head": text[intro[0] : colon[1][1]], "doc": doc[0] if doc else None}
 
 
 _docstring = Rule(_literal).define(Many(Seq(_string, _gap), 1))
@@ -78,16 +79,25 @@ _def = Rule(_function).define(
 )
 
 
-def python_doc(code: str) -> tuple[str | None, str | None]:
-    """(function name, documentation) of a chunk that holds one function."""
+_MARK = re.compile(r"(?m)^[ \t]*@.*$")
+
+
+def python_pair(code: str) -> tuple[str | None, str | None, str]:
+    """(function name, documentation, header with decorators) of a chunk that holds one function."""
     try:
         got = _def.parse(code)
     except RecursionError:  # brackets nested beyond any hand-written header
-        return None, None
+        return None, None, ""
     if got is None:
-        return None, None
-    doc = got[1]["doc"]
-    return got[1]["name"], doc[0] if doc else None
+        return None, None, ""
+    found = got[1]
+    head = "\n".join([*_MARK.findall(code[: found["start"]]), found["head"]])
+    return found["name"], found["doc"][0] if found["doc"] else None, head
+
+
+def python_doc(code: str) -> tuple[str | None, str | None]:
+    """(function name, documentation) of a chunk that holds one function."""
+    return python_pair(code)[:2]
 
 
 # ---- JavaScript --------------------------------------------------------------
@@ -214,22 +224,27 @@ def informs(doc: str | None, name: str, signature: str | None = None) -> bool:
 
 
 def _chunk_docs(chunks: DataFrame) -> DataFrame:
-    """Function and method chunks with the name and the documentation that the grammar finds."""
+    """Function and method chunks with the name and the documentation that the grammar finds, and whether that informs (null where there is none)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [python_doc(c) if c else (None, None) for c in pdf["content"]]
+            rows = []
+            for code in pdf["content"]:
+                name, doc, head = python_pair(code) if code else (None, None, "")
+                doc = doc if doc and doc.strip() else None
+                rows.append((name, doc, None if doc is None else informs(doc, name or "", head)))
             out = pdf.drop(columns=["content"])
-            out["own_name"] = [a for a, _ in found]
-            out["own_doc"] = [b for _, b in found]
+            out["own_name"], out["code_doc"], out["told"] = (pd.Series([r[k] for r in rows], dtype=object, index=out.index) for k in range(3))
             yield out
 
     src = chunks.where(F.col("chunk_type").isin("function", "method")).select(
         F.col("chunk_ord").cast("string").alias("chunk_ord"), "repo", "file_path", F.col("start_line").cast("string").alias("a"), F.col("end_line").cast("string").alias("b"),
         F.when(F.length(F.trim("docstring")) > 0, F.col("docstring")).alias("doc"), "content",
     )
-    fields = "chunk_ord string, repo string, file_path string, a string, b string, doc string, own_name string, own_doc string"
-    return src.mapInPandas(run, fields).select("chunk_ord", "repo", "file_path", "a", "b", "own_name", F.when(F.length(F.trim("own_doc")) > 0, F.col("own_doc")).alias("code_doc"), F.col("doc").alias("chunk_doc"))
+    fields = "chunk_ord string, repo string, file_path string, a string, b string, doc string, own_name string, code_doc string, told boolean"
+    found = src.mapInPandas(run, fields)
+    # the column's text is of use only where the code's tells nothing
+    return found.select("chunk_ord", "repo", "file_path", "a", "b", "own_name", "code_doc", "told", F.when(~F.coalesce("told", F.lit(False)), F.col("doc")).alias("chunk_doc"))
 
 
 @F.pandas_udf(BooleanType())
@@ -245,9 +260,13 @@ def pairs(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     short = F.substring_index("qualified_name", ".", -1)
     joined = s.join(_chunk_docs(chunks), ["repo", "file_path", "a", "b"]).where(F.col("own_name").isNull() | F.col("qualified_name").isNull() | (F.col("own_name") == short))
-    found_in = F.when(F.col("code_doc").isNotNull(), "code").when(F.col("chunk_doc").isNotNull(), "chunk").otherwise("symbol")
-    out = joined.withColumns({"documentation": F.coalesce("code_doc", "chunk_doc", "sym_doc"), "found_in": found_in}).where(F.col("documentation").isNotNull())
-    out = out.where(informs_udf("documentation", short, "signature"))
+    told = F.coalesce("told", F.lit(False))
+    open_ = lambda x: F.when(~told, x)
+    judged = lambda doc: informs_udf(open_(F.col(doc)), open_(short), open_(F.col("signature")))
+    out = joined.where(told | F.col("chunk_doc").isNotNull() | F.col("sym_doc").isNotNull()).withColumns({"by_chunk": judged("chunk_doc"), "by_symbol": judged("sym_doc")})
+    out = out.where(told | F.col("by_chunk") | F.col("by_symbol"))
+    source = lambda code, chunk, symbol: F.when(told, code).when(F.col("by_chunk"), chunk).otherwise(symbol)
+    out = out.withColumns({"documentation": source(F.col("code_doc"), F.col("chunk_doc"), F.col("sym_doc")), "found_in": source(F.lit("code"), F.lit("chunk"), F.lit("symbol"))})
     return out.select("sym_ord", F.col("chunk_ord").cast("long").alias("chunk_ord"), "repo", "qualified_name", "signature", "documentation", "found_in").dropDuplicates(["sym_ord", "chunk_ord"])
 
 

@@ -71,12 +71,12 @@ def test_pairs_table(spark):
     chk = "chunk_ord long, repo string, id string, file_path string, chunk_type string, qualified_name string, start_line int, end_line int, content string, docstring string, signature string"
     code = lambda n, doc: f"# file: a.py\n# {n}\ndef {n}():\n    {doc}\n    pass"
     s = [(1, "r", "a.f", "function", "a.py", 1, 3, "def f(): ...", "Closes the pool.", "x"), (2, "r", "a.g", "function", "a.py", 5, 7, "def g(): ...", None, "x"), (3, "r", "a.h", "function", "a.py", 9, 11, "def h(): ...", " ", "x"), (4, "r", "a.k", "function", "a.py", 13, 15, "def k(): ...", "TODO", "x"),
-         (5, "r", "a.C", "class", "a.py", 17, 19, "class C:", "A class.", "x"), (6, None, "a.z", "function", "a.py", 1, 3, "", "Closes it.", "x"), (7, "q", "a.f", "function", "a.py", 1, 3, "def f(): ...", "Closes the pool.", "x"), (8, "r", "a.n", "function", "a.py", None, 3, "", "Closes it.", "x")]
+         (5, "r", "a.C", "class", "a.py", 17, 19, "class C:", "A class.", "x"), (6, None, "a.z", "function", "a.py", 1, 3, "", "Closes it.", "x"), (7, "q", "a.f", "function", "a.py", 1, 3, "def f(): ...", "Closes the pool.", "x"), (8, "r", "a.n", "function", "a.py", None, 3, "", "Closes it.", "x"), (9, "r", "a.m", "function", "a.py", 21, 23, "def m(): ...", "Weighs the load.", "x"), (10, "r", "a.o", "function", "a.py", 25, 27, "def o(): ...", "o", "x")]
     c = [(1, "r", "i", "a.py", "function", "f", 1, 3, code("f", "pass"), None, "x"), (2, "r", "i", "a.py", "function", "g", 5, 7, code("g", "pass"), "Opens the pool.", "x"), (3, "r", "i", "a.py", "function", "h", 9, 11, code("h", '"""Drains the pool."""'), "", "x"), (4, "r", "i", "a.py", "function", "k", 13, 15, code("k", '"""TODO"""'), None, "x"),
-         (5, "r", "i", "a.py", "class_skeleton", "C", 17, 19, "class C: ...", "A class.", "x"), (9, "r", "i", "a.py", "function", "w", 1, 3, None, None, "x")]
+         (5, "r", "i", "a.py", "class_skeleton", "C", 17, 19, "class C: ...", "A class.", "x"), (9, "r", "i", "a.py", "function", "w", 1, 3, None, None, "x"), (10, "r", "i", "a.py", "function", "m", 21, 23, code("m", '"""TODO"""'), None, "x"), (11, "r", "i", "a.py", "function", "o", 25, 27, code("o", '"""Waits for the lock."""'), "TODO", "x")]
     sd, cd = spark.createDataFrame(s * 2, sym), spark.createDataFrame(c * 2, chk)
     got = sorted((r["sym_ord"], r["chunk_ord"], r["documentation"]) for r in docpairs.pairs(sd, cd).collect())
-    assert got == [(1, 1, "Closes the pool."), (1, 9, "Closes the pool."), (2, 2, "Opens the pool."), (3, 3, "Drains the pool.")]
+    assert got == [(1, 1, "Closes the pool."), (1, 9, "Closes the pool."), (2, 2, "Opens the pool."), (3, 3, "Drains the pool."), (9, 10, "Weighs the load."), (10, 11, "Waits for the lock.")]
     assert docpairs.pairs(sd.limit(0), cd).count() == 0
     js = spark.createDataFrame([(1, "r", "a.js", "js", "/** Sorts. rows by age */\nfunction f(x) {}\n", "", ""), (2, "r", "b.js", "js", None, "", ""), (3, "r", None, "js", "x", "", "")], FILES)
     assert [r["name"] for r in docpairs.javascript(js).collect()] == ["f"]
