@@ -26,25 +26,30 @@ def positions(df: DataFrame, keys: list[str], tasks: int | None = None) -> DataF
     return placed.withColumn("position", starts[part] + at).drop("_m")
 
 
-def _starts(pdf: pd.DataFrame, group: str, most: int, budget: int) -> pd.DataFrame:
-    """The batches of one group from its histogram of lengths: (group, batch, first row, one past the last row)."""
+def _runs(pdf: pd.DataFrame, group: str, most: int, budget: int) -> pd.DataFrame:
+    """The batches of one group from its histogram of lengths, as runs of equal ones: (group, batch, first row, rows per batch, batches).
+
+    There are at most three runs per length, however many rows have it.
+    """
     rows, batch, start, size = [], 0, 0, 0
     for length, count in sorted(zip(pdf["length"], pdf["n"], strict=True)):
-        left = int(count)
-        while left:
-            room = most - size if not length else min(most, int(budget // length)) - size
-            if room <= 0:
-                if size:
-                    rows.append((batch, start, start + size))
-                    batch, start, size = batch + 1, start + size, 0
-                    continue
-                room = 1  # a row longer than the budget is a batch of its own
-            take = min(room, left)
-            size += take
-            left -= take
+        left, room = int(count), most if not length else max(1, min(most, int(budget // length)))  # a row longer than the budget is a batch of its own
+        if size and (take := min(room - size, left)) > 0:  # what the open batch still takes
+            size, left = size + take, left - take
+        if not left:
+            continue
+        if size:
+            rows.append((batch, start, size, 1))
+            batch, start, size = batch + 1, start + size, 0
+        full, size = divmod(left, room)
+        if full and not size:  # the last one stays open for rows that follow
+            full, size = full - 1, room
+        if full:
+            rows.append((batch, start, room, full))
+            batch, start = batch + full, start + full * room
     if size:
-        rows.append((batch, start, start + size))
-    out = pd.DataFrame(rows, columns=["batch", "first", "past"])
+        rows.append((batch, start, size, 1))
+    out = pd.DataFrame(rows, columns=["batch", "first", "size", "batches"])
     out.insert(0, group, pdf[group].iloc[0])
     return out
 
@@ -61,8 +66,9 @@ def pack(df: DataFrame, group: str, row_id: str, length: str, most: int = 32, bu
     lows = ranked.groupBy("g").agg(F.min("position").alias("low"))
     hist = ranked.groupBy("g", "length").agg(F.count("*").alias("n"))
     kind = src.schema["g"].dataType.simpleString()
-    batches = hist.groupBy("g").applyInPandas(lambda pdf: _starts(pdf, "g", most, budget), f"g {kind}, batch long, first long, past long")
-    places = batches.select(F.col("g").alias("g2"), "batch", F.explode(F.sequence("first", F.col("past") - 1)).alias("place"))
+    runs = hist.groupBy("g").applyInPandas(lambda pdf: _runs(pdf, "g", most, budget), f"g {kind}, batch long, first long, size long, batches long")
+    places = runs.select(F.col("g").alias("g2"), "batch", "first", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") * F.col("size") - 1)).alias("k"))
+    places = places.select("g2", (F.col("batch") + F.floor(F.col("k") / F.col("size"))).alias("batch"), (F.col("first") + F.col("k")).alias("place"))
     rows = ranked.join(lows.withColumnRenamed("g", "g3"), F.col("g").eqNullSafe(F.col("g3"))).withColumn("_place", F.col("position") - F.col("low"))
     out = rows.join(places, F.col("g").eqNullSafe(F.col("g2")) & (F.col("_place") == F.col("place")))
     return out.select(F.col("g").alias(group), F.col("r").alias(row_id), "length", "batch")
