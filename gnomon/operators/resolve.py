@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gnomon.functions import text as T
+from gnomon.session import spread
 
 
 def resolve_names(pending: DataFrame, symbols: DataFrame, raw: str, out: str, enclosing: Column | None = None, file_path: Column | None = None) -> DataFrame:
@@ -62,7 +63,8 @@ def resolve_imports(pending: DataFrame, modules: DataFrame, out: str = "resolved
 
 def symbol_sources(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, qualified_name, source): the lines of each symbol; the last of several definitions wins."""
-    f = files.where(F.col("content").isNotNull()).select("repo", F.col("path").alias("file_path"), T.lines(F.col("content")).alias("_l"))
+    f = spread(files.where(F.col("content").isNotNull()).select("repo", F.col("path").alias("file_path"), "content"))
+    f = f.select("repo", "file_path", T.lines(F.col("content")).alias("_l"))
     j = symbols.join(f, ["repo", "file_path"])
     body = F.array_join(F.slice("_l", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n")
     return j.groupBy("repo", "qualified_name").agg(F.max_by(body, "sym_ord").alias("source"))
