@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The line ends that Python's str.splitlines() knows.
@@ -118,6 +118,11 @@ def ignored(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in IGNORED_DIRS]))
 
 
+def row_json(df: DataFrame) -> Column:
+    """A row as a JSON object."""
+    return F.to_json(F.struct(*df.columns))
+
+
 def known_or(value: Column, allowed: tuple[str, ...], default: str) -> Column:
     return F.when(value.isin(*allowed), value).otherwise(F.lit(default))
 

@@ -14,6 +14,7 @@ from gnomon.functions.complexity import complexity_column
 from gnomon.operators.graph import bounded_cycles, import_rings
 from gnomon.session import cut
 
+SEVERITIES = ("info", "warning")
 FINDING = ["repo", "id", "category", "severity", "title", "description", "qualified_name", "file_path", "start_line", "end_line", "details"]
 
 
@@ -125,6 +126,13 @@ def statistics(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls:
     return out.na.fill(0)
 
 
+def only(findings: DataFrame, category: str | None = None, severity: str | None = None) -> DataFrame:
+    """The findings of a category, of a severity, or of both."""
+    for column, value in (("category", category), ("severity", severity)):
+        findings = findings if value is None else findings.where(F.col(column) == value)
+    return findings
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """Findings per repository, category and severity; no rows of zero."""
     return findings.groupBy("repo", "category", "severity").agg(F.count("*").alias("findings"))

@@ -228,6 +228,11 @@ RETRIEVERS = {"symbol_lookup": symbol_evidence, "semantic_search": semantic_evid
 # ---- bundles -------------------------------------------------------------------
 
 
+def by_source(evidence: DataFrame, source: str) -> DataFrame:
+    """The items that one strategy found."""
+    return evidence.where(F.col("source") == source)
+
+
 def capped(evidence: DataFrame, plans: DataFrame) -> DataFrame:
     """Numbers each question's items; where there are more than max_results, the most confident stay, in that order."""
     e = evidence.join(plans.select("qid", "max_results"), "qid")

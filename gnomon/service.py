@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from gnomon.operators import answers, insights, parse, planning, resolve, retrieval
 from gnomon.sources.scan import NothingTracked, scan, tracked
-from gnomon.sources.store import SCHEMA_VERSION, Store
+from gnomon.sources.store import SCHEMA_VERSION, GnomonError, Store
 from gnomon.session import cut
 
 
-class IngestionFailed(Exception):
-    pass
+class IngestionFailed(GnomonError):
+    """Nothing usable could be read."""
+
+
+class UnknownCategory(GnomonError, ValueError):
+    """There is no such analyzer."""
 
 
 CATEGORIES = ("dead_code", "circular_dependency", "complexity", "todo", "architecture")
@@ -65,7 +69,7 @@ def tables(store: Store, repo: str) -> retrieval.Tables:
 def analyze(t: retrieval.Tables, category: str | None = None) -> tuple[DataFrame | None, list[str], list[tuple[str, str]]]:
     """Findings, the analyzers that ran and warnings; one category's only, if it is named."""
     if category is not None and category not in CATEGORIES:
-        raise ValueError(f"unknown category {category}")
+        raise UnknownCategory(f"unknown category {category}")
     every = {
         "dead_code": lambda: insights.dead_code(t.symbols, t.calls),
         "circular_dependency": lambda: insights.circular_dependencies(t.imports),

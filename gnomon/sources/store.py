@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gnomon.functions import text as T
+
 SCHEMA_VERSION = 1
 TABLES = {
     "files": "path string, absolute_path string, content string, line_count int, file_id long",
@@ -19,12 +21,16 @@ TABLES = {
 }
 
 
-class NotIngested(Exception):
-    pass
+class GnomonError(Exception):
+    """Base of what the service and the command line raise on purpose."""
+
+
+class NotIngested(GnomonError):
+    """No run has stored this repository."""
 
 
-class SchemaMismatch(Exception):
-    pass
+class SchemaMismatch(GnomonError):
+    """A repository was stored by another version."""
 
 
 class Store:
@@ -49,6 +55,16 @@ class Store:
         df = self.read("repo_metadata")
         return [] if df is None else [r[0] for r in df.select("repo").distinct().orderBy("repo").collect()]
 
+    def collections(self) -> list[str]:
+        """The slugs of the repositories that have chunks."""
+        df = self.read("chunks")
+        return [] if df is None else [r[0] for r in df.select(T.slug(F.col("repo")).alias("slug")).distinct().orderBy("slug").collect()]
+
+    def has(self, repo: str) -> bool:
+        """Whether a repository has chunks."""
+        df = self.read("chunks", repo)
+        return df is not None and not df.isEmpty()
+
     def check(self, repo: str) -> None:
         df = self.read("repo_metadata", repo)
         row = None if df is None else df.select("schema_version").first()

@@ -404,6 +404,40 @@ def test_store_and_demo(spark, tmp_path):
         service.tables(store, "demo")
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from gnomon import cli
+
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.py").write_text("import b\n# TODO: later\ndef f():\n    return g()\ndef g():\n    return 1\n")
+    (root / "b.py").write_text("import a\n")
+    at = ["--store", str(tmp_path / "s")]
+
+    def said(*args, code=0):
+        assert cli.main([*at, *args]) == code
+        out = capsys.readouterr()
+        return out.out if not code else out.err
+
+    assert "My Repo" in said("info", "My Repo", code=1)
+    assert said("ingest", str(root), "My Repo") == "" and said("list") == "My Repo\n"
+    info = said("info", "My Repo")
+    assert info.startswith("My Repo\n  source: ") and "files: 2, symbols: 2" in info
+    assert json.loads(said("--json", "info", "My Repo"))["symbol_count"] == 2
+    report = said("analyze", "My Repo")
+    assert "statistics: files 2, symbols 2, functions 2" in report and "todo: 1\n" in report and "[info] TODO in a.py:2 (a.py:2)\n    later\n" in report and "[warning] Circular import: a.py -> b.py (a.py)" in report
+    assert "TODO" not in said("analyze", "My Repo", "--severity", "warning")
+    rows = [json.loads(x) for x in said("--json", "analyze", "My Repo", "--category", "todo").splitlines()]
+    assert [r["title"] for r in rows] == ["TODO in a.py:2"]
+    answer = said("ask", "My Repo", "What does `g` do?")
+    assert "[1] symbol a.g a.py:5-6" in answer and "confidence medium, evidence sufficient" in answer
+    assert said("analyze", "My Repo", "--category", "nope", code=1) and said("ask", "other", "x", code=1)
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.collections() == ["my-repo"] and store.has("My Repo") and not store.has("other")
+    t = service.tables(store, "My Repo")
+    found, _, _ = service.analyze(t)
+    assert insights.only(found, "todo").count() == 1 and insights.only(found, "todo", "warning").count() == 0 and insights.only(found).count() == found.count()
+
+
 def test_knowledge_base(spark, tmp_path):
     from gnomon.kb import KnowledgeBase, Registry
 
