@@ -109,6 +109,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 r = ranks.get(piece[b:e])
                 if r is not None:
                     queue.push(r, b)
+            # a pair with the new part was learned after it, so in a trained vocabulary no lower rank comes up here
             if 0 <= queue.first() < rank:  # a lower rank came up: it goes first
                 for later in waiting[k + 1 :]:
                     queue.push(rank, later)
